@@ -35,7 +35,7 @@ def _walk(step: StepFn, state: list, rows) -> tuple[list, list]:
 
 
 def _rows(pdf: pd.DataFrame, inputs: Sequence[str]):
-    return list(zip(*[pdf[c].to_numpy() for c in inputs])) if len(pdf) else []
+    return list(zip(*[pdf[c].tolist() for c in inputs]))
 
 
 def _guess(step: StepFn, pdf: pd.DataFrame, inputs: Sequence[str]) -> list:

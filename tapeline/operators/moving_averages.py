@@ -87,15 +87,14 @@ def wma(n: int, x: str = "close", out: str = "wma") -> Step:
 
 
 def dema(n: int, x: str = "close", out: str = "dema") -> Step:
-    value = F.col("_e1") * 2 - F.col("_e2")
-    chain = ema(n, x, "_e1") >> ema(n, "_e1", "_e2") >> Step(lambda laid: laid.add({out: value}))
-    return dropping(chain, "_e1", "_e2")
+    value = Step(lambda laid: laid.add({out: F.col("_e1") * 2 - F.col("_e2")}))
+    return dropping(ema(n, x, "_e1") >> ema(n, "_e1", "_e2") >> value, "_e1", "_e2")
 
 
 def tema(n: int, x: str = "close", out: str = "tema") -> Step:
-    value = (F.col("_e1") - F.col("_e2")) * 3 + F.col("_e3")
+    value = Step(lambda laid: laid.add({out: (F.col("_e1") - F.col("_e2")) * 3 + F.col("_e3")}))
     chain = ema(n, x, "_e1") >> ema(n, "_e1", "_e2") >> ema(n, "_e2", "_e3")
-    return dropping(chain >> Step(lambda laid: laid.add({out: value})), "_e1", "_e2", "_e3")
+    return dropping(chain >> value, "_e1", "_e2", "_e3")
 
 
 def hma(n: int, x: str = "close", out: str = "hma") -> Step:
@@ -200,10 +199,13 @@ def kalman(length: int, x: str = "close", out: str = "kalman", noise: float = 0.
 def mcginley(n: int, x: str = "close", out: str = "mcginley") -> Step:
     def step(state, row):
         price = row[0]
+        if price is None or price != price:
+            return state, [np.nan]
         if not state:
             return [price], [price]
-        prev = state[0]
-        value = prev + (price - prev) / (n * (price / prev) ** 4)
+        prev = np.float64(state[0])
+        with np.errstate(all="ignore"):
+            value = float(prev + (price - prev) / (n * (price / prev) ** 4))
         return [value], [value]
 
     return fold_step(step, [x], [out], warmup=64 * n)

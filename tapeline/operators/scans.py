@@ -65,7 +65,7 @@ def prefix_carry(
     """Prefix (or suffix) results over the whole series: ``name -> (kind, input)``.
 
     ``kind`` is ``sum``, ``max``, ``min`` or ``last``. Inside a chunk it is a running frame; between chunks one summary
-    row per chunk is scanned and joined back.
+    row per chunk is scanned and joined back. Of the overlap, only the row next to the chunk keeps a right value.
     """
     bound = 0 if inclusive else (1 if reverse else -1)
     if reverse:

@@ -38,9 +38,9 @@ register(
 )
 register(
     "bars_heikin_ashi",
-    lambda s, d: rounded(ops.heikin_ashi(daily(s, d), DAY), 4, "open", "high", "low", "close"),
-    f"""WITH RECURSIVE {DAILY_SQL}, {HA_SQL} SELECT symbol, ts, round(open, 4) AS open, round(high, 4) AS high,
-    round(low, 4) AS low, round(close, 4) AS close FROM ha""",
+    lambda s, d: rounded(ops.heikin_ashi(daily(s, d), DAY), 6, "open", "high", "low", "close"),
+    f"""WITH RECURSIVE {DAILY_SQL}, {HA_SQL} SELECT symbol, ts, round(open, 6) AS open, round(high, 6) AS high,
+    round(low, 6) AS low, round(close, 6) AS close FROM ha""",
 )
 register(
     "bars_to_path",
