@@ -269,7 +269,7 @@ ADX_SQL = f"""{TR_SQL},
 dm0 AS (SELECT *, high - lag(high) OVER (PARTITION BY symbol ORDER BY pos) AS u, lag(low) OVER (PARTITION BY symbol ORDER BY pos) - low AS d FROM t),
 dm AS MATERIALIZED (SELECT *, CASE WHEN u > d AND u > 0 THEN u ELSE 0 END AS pdm, CASE WHEN d > u AND d > 0 THEN d ELSE 0 END AS mdm FROM dm0),
 {ewm_sql('xt', 'dm', 'tr', '13.0 / 14')}, {ewm_sql('xp', 'dm', 'pdm', '13.0 / 14')}, {ewm_sql('xm', 'dm', 'mdm', '13.0 / 14')},
-di AS MATERIALIZED (SELECT symbol, pos, 100 * xp.v / xt.v AS plus_di, 100 * xm.v / xt.v AS minus_di FROM xt JOIN xp USING (symbol, pos) JOIN xm USING (symbol, pos)),
+di AS MATERIALIZED (SELECT symbol, pos, 100 * xp.v / nullif(xt.v, 0) AS plus_di, 100 * xm.v / nullif(xt.v, 0) AS minus_di FROM xt JOIN xp USING (symbol, pos) JOIN xm USING (symbol, pos)),
 dn AS (SELECT symbol, pos AS src, plus_di, minus_di FROM di WHERE plus_di + minus_di <> 0),
 dx AS MATERIALIZED (SELECT symbol, row_number() OVER (PARTITION BY symbol ORDER BY src) AS pos, src, 100 * abs(plus_di - minus_di) / (plus_di + minus_di) AS dx FROM dn),
 {ewm_sql('xa', 'dx', 'dx', '13.0 / 14', '1')},

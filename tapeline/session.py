@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 CHUNK_ROWS_KEY = "spark.tapeline.chunkRows"
 DEFAULT_CHUNK_ROWS = 4096
@@ -29,6 +29,16 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         raise ValueError("set spark.checkpoint.dir to a folder that all executors can reach")
 
 
+def materialize(df: DataFrame) -> DataFrame:
+    """Write an intermediate table once to the shared checkpoint folder and go on from there.
+
+    Used for sparse tables (events, swings, summaries) that several later joins read: without it each of them would
+    run the whole plan again.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint()
+
+
 def local_session(cpus: int | str = 8, name: str = "tapeline") -> SparkSession:
     """Session for tests and the benchmark."""
     spark = (
