@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapeline.operators.layout import epoch_seconds
+from tapeline.session import materialize
 
 
 def asof_join(
@@ -39,6 +40,7 @@ def asof_join(
     local = merged.withColumn("_seen", F.last("_pick", ignorenulls=True).over(order)).filter("_left")
 
     tops = rights.groupBy(*keys, "_bucket").agg(F.max_by("_pick", ts).alias("_top"))
+    tops = materialize(tops)
     spine = lefts.select(*keys, "_bucket").distinct().join(tops, [*keys, "_bucket"], "full")
     earlier = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     carry = spine.select(*keys, "_bucket", F.last("_top", ignorenulls=True).over(earlier).alias("_carry"))

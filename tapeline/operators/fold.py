@@ -18,7 +18,7 @@ from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from tapeline.operators.layout import CHUNK, CORE, POS, Laid, spread
 from tapeline.operators.steps import Step
-from tapeline.session import ensure_checkpoint_dir
+from tapeline.session import materialize
 
 # step(state, row) -> (state, emitted). ``state`` is a list of floats, empty before the first row.
 StepFn = Callable[[list, tuple], tuple[list, object]]
@@ -58,7 +58,6 @@ def settle_states(laid: Laid, step: StepFn, inputs: Sequence[str]) -> DataFrame
     keys = [*laid.keys, CHUNK]
     if laid.df.filter(F.col(CORE) & (F.col(CHUNK) > 0)).select(F.lit(1)).limit(1).count() == 0:
         return None
-    ensure_checkpoint_dir(laid.df.sparkSession)
     source = laid.df.select(*keys, POS, CORE, *[F.col(c).cast("double") for c in inputs])
     schema = StructType(
         [f for f in source.schema.fields if f.name in keys]
@@ -81,16 +80,16 @@ def settle_states(laid: Laid, step: StepFn, inputs: Sequence[str]) -> DataFrame
         return pd.DataFrame({**head, "_entry": [list(entry)], "_exit": [list(leave)]})
 
     order = Window.partitionBy(*laid.keys).orderBy(CHUNK)
-    states = source.groupBy(*keys).applyInPandas(first_pass, schema).checkpoint()
+    states = materialize(source.groupBy(*keys).applyInPandas(first_pass, schema))
     while True:
         linked = states.withColumn("_due", F.lag("_exit").over(order))
         wrong = linked.filter(F.col("_due").isNotNull() & ~_same("_entry", "_due"))
-        wrong = wrong.select(*keys, F.col("_due").alias("_entry")).checkpoint()
+        wrong = materialize(wrong.select(*keys, F.col("_due").alias("_entry")))
         if wrong.isEmpty():
             return states.select(*keys, "_entry")
         again = source.filter(CORE).join(wrong.select(*keys), keys, "left_semi")
         fixed = again.groupBy(*keys).cogroup(wrong.groupBy(*keys)).applyInPandas(rerun, schema)
-        states = states.join(wrong.select(*keys), keys, "left_anti").unionByName(fixed).checkpoint()
+        states = materialize(states.join(wrong.select(*keys), keys, "left_anti").unionByName(fixed))
 
 
 def _run_chunks(laid: Laid, step: StepFn, inputs: Sequence[str], shape, schema: StructType) -> DataFrame:

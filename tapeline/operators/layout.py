@@ -14,7 +14,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from tapeline.session import chunk_rows
+from tapeline.session import chunk_rows, materialize
 
 POS, TOTAL, CHUNK, CORE, SLOT = "_pos", "_total", "_chunk", "_core", "_slot"
 BUCKET_ROWS = 4096  # unique timestamps per position bucket: bounds the rows of one ranking window
@@ -60,7 +60,7 @@ def with_positions(
     keys = list(keys)
     width = max(1, int(seconds * BUCKET_ROWS))
     bucketed = df.withColumn("_bucket", F.floor(epoch_seconds(ts) / width))
-    counts = bucketed.groupBy(*keys, "_bucket").agg(F.count("*").alias("_n"))
+    counts = materialize(bucketed.groupBy(*keys, "_bucket").agg(F.count("*").alias("_n")))
     offsets = running_total(counts, keys, "_bucket", "_n", "_offset")
     if total:
         sizes = counts.groupBy(*keys).agg(F.sum("_n").alias(TOTAL))

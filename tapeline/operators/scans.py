@@ -8,6 +8,7 @@ from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
 from tapeline.operators.layout import CHUNK, CORE, POS, SLOT, Laid
+from tapeline.session import materialize
 
 FADE = 38.0  # exp(-38) < 2**-54: older terms no longer change a double
 SAFE_EXPONENT = 640.0  # keeps q**-slot inside the double range
@@ -107,7 +108,7 @@ def prefix_carry(
 
     keys = [*laid.keys, CHUNK]
     tops = staged.df.groupBy(*keys).agg(*[summary(k, n).alias(f"_sum_{n}") for n, (k, _) in specs.items()])
-    carry = tops.select(*keys, *[between(k, n).alias(f"_before_{n}") for n, (k, _) in specs.items()])
+    carry = materialize(tops).select(*keys, *[between(k, n).alias(f"_before_{n}") for n, (k, _) in specs.items()])
     local = staged.add({f"_local_{n}": inside(k, n) for n, (k, _) in specs.items()})
     joined = local.on(local.df.join(carry, keys, "left"))
     done = joined.add({n: merged(k, n) for n, (k, _) in specs.items()})

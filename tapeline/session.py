@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,13 +31,16 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Write an intermediate table once to the shared checkpoint folder and go on from there.
+    """Write an intermediate table once below the shared checkpoint folder and read it back.
 
-    Used for sparse tables (events, swings, summaries) that several later joins read: without it each of them would
-    run the whole plan again.
+    Used for small tables (chunk summaries, bucket offsets, events) that later stages join: it cuts the lineage, keeps
+    nested operators from running each other's plans again and again, and gives the planner the true size.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/tables/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def local_session(cpus: int | str = 8, name: str = "tapeline") -> SparkSession:
