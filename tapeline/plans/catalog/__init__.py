@@ -1,6 +1,6 @@
 """Every registered query with the SQL that checks it."""
 
-from tapeline.plans.catalog import averages_and_oscillators, bars_and_features, structures, trading, trends  # noqa: F401
+from tapeline.plans.catalog import averages_and_oscillators, bars_and_features, books, strategies, structures, trading, trends  # noqa: F401
 from tapeline.plans.catalog.common import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
