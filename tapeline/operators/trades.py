@@ -198,7 +198,7 @@ def lagged_trades(
             "cost": F.col("units") * cost,
         }
     )
-    out = laid.add({"profit": F.col("gross") - F.col("cost")}).core()
+    out = laid.add({"profit": F.col("gross") - F.col("cost")}).core(keep)
     return out.select(
         *keys, "ts", F.col("_taken").alias("traded"), "entry_ts", "exit_ts", "units", "entry_price", "exit_price", "gross",
         "cost", "profit", "equity", *keep,
