@@ -17,8 +17,8 @@ from tapeline.streaming import live
 _RULE_SQL = f"""WITH RECURSIVE {DAILY_SQL}, {FEATURE_SQL},
 l AS (SELECT *, lead(open, 1) OVER w AS ep, lead(open, 6) OVER w AS xp, lead(close, 5) OVER w / close - 1 AS f5 FROM feats WINDOW w AS (PARTITION BY symbol ORDER BY pos)),
 g AS (SELECT *, coalesce(close > sma_10 AND xp IS NOT NULL, false) AS traded, CASE WHEN close > sma_10 AND xp IS NOT NULL THEN ln(1 + 0.002 * (xp - ep - 30) / ep) ELSE 0 END AS lg FROM l),
-e AS (SELECT *, 100000 * exp(sum(lg) OVER (PARTITION BY symbol ORDER BY pos)) AS equity FROM g),
-lt AS MATERIALIZED (SELECT *, CASE WHEN traded THEN equity / exp(lg) * 0.002 / ep * (xp - ep - 30) END AS profit FROM e),
+eqy AS (SELECT *, 100000 * exp(sum(lg) OVER (PARTITION BY symbol ORDER BY pos)) AS equity FROM g),
+lt AS MATERIALIZED (SELECT *, CASE WHEN traded THEN equity / exp(lg) * 0.002 / ep * (xp - ep - 30) END AS profit FROM eqy),
 m AS (SELECT symbol, {METRIC_SQL}, round(avg(CASE WHEN f5 > 0 THEN 1 ELSE 0 END), 6) AS label_rate FROM lt WHERE traded GROUP BY symbol),
 dd AS ({_drawdown_sql('lt', 'equity', 'pos', 100000.0).replace('d1 AS', 'WITH d1 AS', 1)})
 SELECT symbol, trades, wins, losses, label_rate, {", ".join(f"round({n}, 2) AS {n}" for n in _METRICS)}, round(max_drawdown, 2) AS max_drawdown, round(max_drawdown_percent, 2) AS max_drawdown_percent FROM m JOIN dd USING (symbol)"""

@@ -151,11 +151,11 @@ _COLOR = "CASE WHEN close > {0} THEN 'blue' WHEN close < {1} THEN 'red' ELSE 'gr
 register(
     "trend_ssl_hybrid",
     lambda s, d: rounded(
-        trend.ssl_hybrid(daily(s, d), DAY), 3, "atr_upper", "atr_lower", "baseline", "ssl1", "ssl2", "ssl_exit", "upperk", "lowerk", "atr_percentile",
+        trend.ssl_hybrid(daily(s, d), DAY).withColumns({c: F.round(c) for c in ("baseline", "ssl1", "ssl_exit", "upperk", "lowerk")}), 3, "atr_upper", "atr_lower", "baseline", "ssl1", "ssl2", "ssl_exit", "upperk", "lowerk", "atr_percentile",
         plain=("symbol", "ts", "baseline_color", "ssl1_color", "ssl2_color", "ssl_exit_color", "risk_level", "entry_distance"),
     ),
-    f"""WITH RECURSIVE {DAILY_SQL}, {SSL_SQL} SELECT symbol, ts, round(close + atr, 3) AS atr_upper, round(close - atr, 3) AS atr_lower, round(base, 3) AS baseline,
-    round(ssl1, 3) AS ssl1, round(ssl2, 3) AS ssl2, round(ssl_exit, 3) AS ssl_exit, round(base + 0.2 * rm, 3) AS upperk, round(base - 0.2 * rm, 3) AS lowerk,
+    f"""WITH RECURSIVE {DAILY_SQL}, {SSL_SQL} SELECT symbol, ts, round(close + atr, 3) AS atr_upper, round(close - atr, 3) AS atr_lower, round(base, 0) AS baseline,
+    round(ssl1, 0) AS ssl1, round(ssl2, 3) AS ssl2, round(ssl_exit, 0) AS ssl_exit, round(base + 0.2 * rm, 0) AS upperk, round(base - 0.2 * rm, 0) AS lowerk,
     round(pct, 3) AS atr_percentile, {_COLOR.format('base + 0.2 * rm', 'base - 0.2 * rm')} AS baseline_color, {_COLOR.format('ssl1', 'ssl1')} AS ssl1_color,
     {_COLOR.format('ssl2', 'ssl2')} AS ssl2_color, {_COLOR.format('ssl_exit', 'ssl_exit')} AS ssl_exit_color,
     CASE WHEN (pct / 100) ** 2 * 100 > 75 THEN 'High' WHEN (pct / 100) ** 2 * 100 < 25 THEN 'Low' ELSE 'Normal' END AS risk_level,
