@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tapeline.operators.asof import asof_join
 from tapeline.operators.layout import POS, TOTAL, lay_out
 from tapeline.operators.scans import prefix_carry, shift
+from tapeline.session import materialize
 
 
 def trade_metrics(
@@ -56,8 +57,8 @@ def balance_curve(
     ts: str = "exit_ts",
     tie: Sequence[str] = (),
 ) -> DataFrame:
-    """Balance after every trade, in order of exit."""
-    laid = lay_out(trades, seconds, keys=keys, ts=ts, tie=tie)
+    """Balance after every trade, in order of exit. The trades are written once, as several passes read them."""
+    laid = lay_out(materialize(trades), seconds, keys=keys, ts=ts, tie=tie)
     laid = prefix_carry(laid, {"_sum": ("sum", F.col("profit"))})
     return laid.add({"balance": F.col("_sum") + initial_balance}).drop("_sum").core(keep=[POS, TOTAL])
 
@@ -113,6 +114,7 @@ def worst_daily_drawdown(
     A bar is inside a trade after its entry bar and up to its exit bar; ``worth`` is money per price unit.
     """
     keys = list(keys)
+    trades = materialize(trades)
     numbered = lay_out(bars, seconds, keys=keys).core(keep=[POS]).select(*keys, "ts", "close", F.to_date("ts").alias("day"))
     curve = balance_curve(trades, seconds, initial_balance, keys)
     known = curve.select(*keys, F.col("exit_ts").alias("ts"), "balance")
@@ -140,7 +142,7 @@ def streaks(trades: DataFrame, seconds: float, keys: Sequence[str] = ("symbol",)
     kind = F.when((F.col("exit_reason") == "SL") & (F.col("profit") < 0), "sl").when(F.col("exit_reason") == "TP", "tp")
     kind = kind.when(F.col("exit_reason") == "Manual Close", "manual")
     counted = trades.withColumn("_kind", kind).filter("_kind IS NOT NULL").select(*keys, "exit_ts", "_kind")
-    laid = lay_out(counted, seconds, 1, keys=keys, ts="exit_ts")
+    laid = lay_out(materialize(counted), seconds, 1, keys=keys, ts="exit_ts")
     changed = shift(laid, "_kind").isNull() | (shift(laid, "_kind") != F.col("_kind"))
     laid = laid.add({"_turn": changed.cast("long")})
     laid = prefix_carry(laid, {"_run": ("sum", F.col("_turn"))})

@@ -12,6 +12,7 @@ from tapeline.session import materialize
 
 FADE = 38.0  # exp(-38) < 2**-54: older terms no longer change a double
 SAFE_EXPONENT = 640.0  # keeps q**-slot inside the double range
+SHORT_FADE = 64  # up to this many rows a fold over a list is the cheaper form
 
 
 def fade_rows(q: float) -> int:
@@ -22,17 +23,34 @@ def fade_rows(q: float) -> int:
 def decayed_sum(laid: Laid, b: Column, q: float) -> Column:
     """``x[t] = q * x[t-1] + b[t]`` with ``b`` null counted as zero.
 
-    Needs ``fade_rows(q)`` rows of lookback. Slow decay: one running sum of ``b / q**slot``, scaled back. Fast decay,
-    where those powers would overflow: a fold over the few rows that still count.
+    Needs ``fade_rows(q)`` rows of lookback. Slow decay: one running sum of ``b / q**slot``, scaled back. Where those
+    powers would leave the double range, either a fold over the few rows that still count, or running sums in blocks:
+    two block grids lie half a block apart, and every row reads the one in which it is in the second half, which is
+    further from the block start than any term that still counts.
     """
     if q <= 0.0:
         return b
     rate = -math.log(q)
+    slot = F.col(SLOT)
+
+    def scaled(place: Column, frame) -> Column:
+        at = place.cast("double")
+        return F.sum(b * F.pow(F.lit(q), -at)).over(frame) * F.pow(F.lit(q), at)
+
     if laid.span * rate < SAFE_EXPONENT:
-        slot = F.col(SLOT).cast("double")
-        return F.sum(b * F.pow(F.lit(q), -slot)).over(laid.prefix()) * F.pow(F.lit(q), slot)
-    recent = F.collect_list(F.coalesce(b, F.lit(0.0))).over(laid.frame(-fade_rows(q), 0))
-    return F.aggregate(recent, F.lit(0.0), lambda acc, v: acc * F.lit(q) + v)
+        return scaled(slot, laid.prefix())
+    if fade_rows(q) <= SHORT_FADE:
+        recent = F.collect_list(F.coalesce(b, F.lit(0.0))).over(laid.frame(-fade_rows(q), 0))
+        return F.aggregate(recent, F.lit(0.0), lambda acc, v: acc * F.lit(q) + v)
+    half = int(SAFE_EXPONENT / rate) // 2
+    grids = []
+    for start in (0, half):
+        block = F.floor((slot + start) / (2 * half))
+        # the first block starts at the first row, which so keeps its exact value
+        place = slot - F.greatest(block * (2 * half) - start, F.lit(0))
+        frame = Window.partitionBy(*laid.keys, CHUNK, block).orderBy(POS).rowsBetween(Window.unboundedPreceding, 0)
+        grids.append(scaled(place, frame))
+    return F.when(slot % (2 * half) >= half, grids[0]).otherwise(grids[1])
 
 
 def ewm_adjusted(laid: Laid, x: Column, q: float) -> Column:
@@ -41,6 +59,12 @@ def ewm_adjusted(laid: Laid, x: Column, q: float) -> Column:
     return F.when(x.isNotNull(), decayed_sum(laid, x, q) / weight)
 
 
+def ewm_from_start(laid: Laid, x: Column, q: float) -> Column:
+    """``ewm_adjusted`` of a column without gaps: the sum of the weights follows from the row number."""
+    weight = (1.0 - F.pow(F.lit(q), F.col(POS).cast("double") + 1.0)) / (1.0 - q)
+    return decayed_sum(laid, x, q) / weight
+
+
 def ewm_columns(laid: Laid, specs: dict[str, tuple[Column, float]]) -> Laid:
     """Several ``ewm`` columns at once: ``name -> (input, q)``, not adjusted, null until the first known value."""
     inputs = {f"_in_{n}": x for n, (x, _) in specs.items()}

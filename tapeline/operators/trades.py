@@ -227,7 +227,9 @@ def fill_orders(
     """
     from tapeline.operators.bars import mid_price
 
-    placed = with_positions(ticks, seconds, tie=("seq",), total=False).withColumn("_price", mid_price())
+    # the positioned ticks are read by every level of the touch search, so they are written once
+    placed = with_positions(ticks.select("symbol", "ts", "seq", "bid", "ask"), seconds, tie=("seq",), total=False)
+    placed = materialize(placed.withColumn("_price", mid_price()))
     known = placed.groupBy("symbol", "ts").agg(F.max(POS).alias("start_pos"))
     dated = asof_join(orders, known, ["start_pos"], seconds=seconds)
     buy = F.col("side") == "buy"
@@ -239,6 +241,7 @@ def fill_orders(
             "_down": F.when(buy, sl).otherwise(tp),
         }
     )
+    asked = materialize(asked)
     touched = first_touch(asked, placed, ["trade_id"], "start_pos", "_up", "_down", "_price", "_price", out="exit_pos")
     exits = placed.select(
         "symbol", F.col(POS).alias("exit_pos"), F.col("ts").alias("exit_ts"), "_price", "bid", F.coalesce("ask", "bid").alias("_ask"),

@@ -9,8 +9,8 @@ from tapeline.operators import moving_averages as ma
 from tapeline.operators import trend
 from tapeline.operators.bars import calendar_windows, resample
 from tapeline.operators.layout import POS, TOTAL
-from tapeline.operators.scans import shift
-from tapeline.operators.steps import Step, run, together
+from tapeline.operators.scans import ewm_from_start, fade_rows, shift
+from tapeline.operators.steps import Step, run
 from tapeline.plans import sweeps
 from tapeline.plans.catalog.averages_and_oscillators import ADX_SQL, ICHIMOKU_SQL, macd_sql
 from tapeline.plans.catalog.common import (
@@ -175,14 +175,15 @@ def sweep_params(spark):
 
 
 def _sweep_bars(bars, seconds, params, keys=("symbol",)):
-    """One EMA column per distinct period, positions kept."""
+    """One EMA column per distinct period and its previous value, positions kept."""
     periods = sorted({v for p in params for v in p.values()})
-    steps = [ma.ema(n, out=f"_e{n}", adjust=True) for n in periods]
 
-    def before(laid):
+    def means(laid):
+        laid = laid.add({f"_e{n}": ewm_from_start(laid, F.col("close"), ma.span_decay(n)) for n in periods})
         return laid.add({f"_p{n}": shift(laid, f"_e{n}") for n in periods})
 
-    return run(bars, seconds, together(*steps) >> Step(before, 1), keys=keys, keep=[POS, TOTAL]), periods
+    reach = max(fade_rows(ma.span_decay(n)) for n in periods) + 1
+    return run(bars, seconds, Step(means, reach), keys=keys, keep=[POS, TOTAL]), periods
 
 
 def _cross_signal(periods):

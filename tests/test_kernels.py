@@ -16,8 +16,8 @@ from tapeline.operators import trend
 from tapeline.operators.asof import asof_join
 from tapeline.operators.features import build_features, feature_names
 from tapeline.operators.fold import fold_columns
-from tapeline.operators.layout import POS, TOTAL, lay_out, with_positions
-from tapeline.operators.scans import prefix_carry
+from tapeline.operators.layout import POS, TOTAL, lay_out, spread, with_positions
+from tapeline.operators.scans import decayed_sum, fade_rows, prefix_carry
 from tapeline.operators.steps import run
 from tapeline.operators.touch import first_touch
 from tests.conftest import MINUTE, collected
@@ -51,6 +51,23 @@ def test_ema_equals_pandas(bars, frame, small_chunks, n):
         np.testing.assert_allclose(series(got, symbol, "a"), want, rtol=1e-12)
 
 
+@pytest.mark.parametrize("q", [0.2, 0.6, 0.8, 0.95])
+def test_every_form_of_the_decayed_sum(spark, q):
+    """Long chunks take the list form or the two block grids, short ones the single running sum."""
+    rng = random.Random(5)
+    values = [rng.uniform(-1, 1) for _ in range(30000)]
+    rows = spark.createDataFrame([("S", i, len(values), v) for i, v in enumerate(values)], "symbol string, _pos long, _total long, v double")
+    want, x = [], 0.0
+    for v in values:
+        x = q * x + v
+        want.append(x)
+    for size in (40, 20000):
+        laid = spread(rows, size, fade_rows(q), 0, ("symbol",))
+        got = laid.add({"x": decayed_sum(laid, F.col("v"), q)}).core(keep=[POS]).orderBy(POS).toPandas()["x"]
+        np.testing.assert_allclose(got, want, rtol=1e-9, atol=1e-12)
+        assert got[0] == values[0]
+
+
 def test_weighted_and_hull_means_equal_pandas(bars, frame, small_chunks):
     def wma(x, n):
         return x.rolling(n).apply(lambda v: np.dot(v, np.arange(1, n + 1)) / (n * (n + 1) / 2), raw=True)
