@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from tapeline.functions.candles import colour
-from tapeline.operators.fold import fold_events
+from tapeline.operators.fold import fold_columns, fold_events
 from tapeline.operators.layout import POS, TOTAL, Laid, lay_out, with_positions
 from tapeline.operators.scans import prefix_carry, rolling, shift
 from tapeline.operators.steps import Step
@@ -636,3 +636,145 @@ def pattern_score(
     return rows.withColumn("score", F.greatest(F.lit(0.0), F.least(F.lit(100.0), total))).drop("_zone")
 
 
+
+
+# -- chart-script superset --------------------------------------------------------------------------------------
+
+
+def structure_levels(bars: DataFrame, seconds: float, warmup: int = 1024) -> DataFrame:
+    """Structure high and low after every bar, and their middle."""
+    core = structure_step(forget=True, join_idm=False, skip_first=False)
+
+    def step(state, row):
+        state, _ = core(state, row)
+        high, low = state[12], -state[13]
+        return state, [high, low, (high + low) / 2]
+
+    laid = lay_out(bars, seconds, warmup).add({"_p": F.col(POS).cast("double")})
+    names = ["structure_high", "structure_low", "equilibrium"]
+    return fold_columns(laid, step, ["_p", "high", "low", "close"], names).core().select("symbol", "ts", *names)
+
+
+SCRIPT_ZONE_EVENTS = ("created", "merged", "breaker", "mitigated", "swept", "expired", "scob")
+CREATED, MERGED, BREAKER, MITIGATED, SWEPT, EXPIRED, SCOB = (float(i) for i in range(7))
+
+
+def script_zone_step(merge_ratio: float, mother_bar: bool, max_age: int):
+    """One bar of the chart-script zones; both sides share the code on mirrored prices.
+
+    Besides creation and merging: a zone broken through in one bar turns into one of the other side, touched zones are
+    mitigated, swept and old ones removed, and a bar that turns inside the newest zone is reported.
+    """
+
+    def step(state, row):
+        pos, close, *flat = row
+        if flat[-1] is None or flat[-1] != flat[-1]:
+            return state, []
+        bars_ = [(flat[2 * k], flat[2 * k + 1]) for k in range(5)]  # (high, low) of this bar and the four before it
+        if state:
+            mothers, rest = state[:9], list(state[9:])
+        else:
+            mothers, rest = [NAN] * 9, [0.0, NAN, NAN, NAN, 0.0] * 2
+        # mother bar after this bar, and those of one and two bars ago: (high, low, whether the bar was inside)
+        (m0h, m0l, m0i, m1h, m1l, m1i), oldest = mothers[:6], mothers[3:6]
+        inside = m0h == m0h and m0h > bars_[0][0] and m0l < bars_[0][1]
+        now = [m0h, m0l, 1.0] if inside else [*bars_[0], 0.0]
+        mothers = [*now, m0h, m0l, m0i, *oldest]
+        sides = []
+        for _ in range(2):
+            armed, top, bottom, at, count = rest[:5]
+            cut = 5 + 4 * int(count)
+            sides.append([armed, top, bottom, at, [rest[i : i + 4] for i in range(5, cut, 4)]])
+            rest = rest[cut:]
+        out = []
+
+        def tell(code, s, zone):
+            top, bottom = (zone[0], zone[1]) if s == 0 else (-zone[1], -zone[0])
+            out.append((code, float(s), zone[2], top, bottom))
+
+        views = [bars_, [(-lo, -h) for h, lo in bars_]]
+        for s, b in enumerate(views):
+            armed, top, bottom, at, zones = sides[s]
+            if not armed:
+                (top, bottom), at = b[3], pos - 3
+                armed = 1.0 if b[3][0] > b[4][0] and b[3][0] > b[2][0] else 0.0
+            elif bottom > b[1][0]:
+                armed = 0.0
+                fresh = [top, bottom, at, 0.0]
+                code = CREATED
+                add = True
+                if zones:
+                    last = zones[-1]
+                    width = last[0] - last[1]
+                    close_edge = width > 0 and min(abs(top - last[0]), abs(bottom - last[1])) / width < merge_ratio
+                    if (top >= last[0] and bottom <= last[1]) or close_edge:
+                        fresh = [max(top, last[0]), min(bottom, last[1]), last[2], 0.0]
+                        zones.pop()
+                        code = MERGED
+                    add = not (fresh[0] <= last[0] and fresh[1] >= last[1])
+                if add:
+                    zones.append(fresh)
+                    tell(code, s, fresh)
+            elif mother_bar and m1i == 1.0:
+                mh, ml = (m1h, m1l) if s == 0 else (-m1l, -m1h)
+                top, bottom = max(top, mh), min(bottom, ml)
+            else:
+                (top, bottom), at = b[2], pos - 2
+            sides[s] = [armed, top, bottom, at, zones]
+        for s, b in enumerate(views):
+            zones = sides[s][4]
+            end = close if s == 0 else -close
+            if zones and m0i == 0.0:
+                top, bottom = zones[-1][0], zones[-1][1]
+                turned = b[1][0] > b[2][0] and b[1][0] > b[0][0] and end < b[1][1]
+                if turned and bottom < b[1][0] < top:
+                    tell(SCOB, s, zones[-1])
+        for s, b in enumerate(views):
+            end = close if s == 0 else -close
+            kept, other = [], sides[1 - s][4]
+            for zone in sides[s][4]:
+                top, bottom, at, touched = zone
+                if b[0][1] < bottom and end > top:
+                    flipped = [-bottom, -top, at, 0.0]
+                    other.append(flipped)
+                    tell(BREAKER, 1 - s, flipped)
+                elif bottom <= b[0][0] < top and not touched:
+                    zone[3] = 1.0
+                    tell(MITIGATED, s, zone)
+                if b[0][0] >= top:
+                    tell(SWEPT, s, zone)
+                elif pos - at > max_age:
+                    tell(EXPIRED, s, zone)
+                else:
+                    kept.append(zone)
+            sides[s][4] = kept
+        flat_state = list(mothers)
+        for armed, top, bottom, at, zones in sides:
+            flat_state += [armed, top, bottom, at, float(len(zones))]
+            for zone in zones:
+                flat_state += zone
+        return flat_state, out
+
+    return step
+
+
+def script_zones(
+    bars: DataFrame, seconds: float, merge_ratio: float = 0.0, mother_bar: bool = False, max_age: int = 2000, warmup: int = 2100
+) -> DataFrame:
+    """Life of chart-script zones: ``symbol, ts, pos, kind, event, start_pos, top, bottom``."""
+    laid = lay_out(bars, seconds, warmup + 4)
+    lags = {f"_{n[0]}{k}": shift(laid, n, k) for k in range(1, 5) for n in ("high", "low")}
+    laid = laid.add({"_p": F.col(POS).cast("double"), **lags})
+    inputs = ["_p", "close", "high", "low"] + [f"_{c}{k}" for k in range(1, 5) for c in ("h", "l")]
+    rows = fold_events(laid, script_zone_step(merge_ratio, mother_bar, max_age), inputs, _ZONE_COLUMNS)
+    names = F.array(*[F.lit(n) for n in SCRIPT_ZONE_EVENTS])
+    return rows.select(
+        "symbol",
+        "ts",
+        F.col(POS).alias("pos"),
+        F.when(F.col("side") == 0, "supply").otherwise("demand").alias("kind"),
+        F.element_at(names, F.col("code").cast("int") + 1).alias("event"),
+        F.col("start_pos").cast("long").alias("start_pos"),
+        "top",
+        "bottom",
+    )

@@ -119,3 +119,8 @@ register(
     SELECT symbol, CASE WHEN sg = 1 THEN 'bullish' ELSE 'bearish' END AS type, ap AS a_pos, bp AS b_pos, cp AS c_pos, ct AS c_ts, round(bc / ab, 6) AS ratio, round(cv - ab * sg, 6) AS d_price
     FROM r WHERE ab > 0 AND bc > 0 AND bc / ab BETWEEN 0.55 AND 0.85""",
 )
+register(
+    "structure_levels",
+    lambda s, d: rounded(structure.structure_levels(daily(s, d), DAY), 4, "structure_high", "structure_low", "equilibrium"),
+)
+register("structure_script_zones", lambda s, d: structure.script_zones(daily(s, d), DAY).drop("pos"))

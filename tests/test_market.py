@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from datetime import datetime, timedelta
 
 import pytest
@@ -166,3 +167,28 @@ def test_reconcile_matches_ids_inside_comments(spark):
     positions = spark.createDataFrame([("S", 1, "other:note", 12)], shape)
     got = {r.trade_id: (r.next_state, r.action, r.ticket) for r in ledger.reconcile(states, orders, positions, now, 120, 1).collect()}
     assert got == {"t:1": ("ACCEPTED", "recovered", 11), "t:2": ("REJECTED", "rejected", 0), "t:3": ("OPEN", "opened", 12), "t:4": ("SENT", "waiting", 0)}
+
+
+def test_script_zones_do_not_depend_on_chunks_and_end_no_more_than_they_start(spark, bars):
+    names = ("symbol", "ts", "kind", "event", "start_pos", "top", "bottom")
+    whole = structure.script_zones(bars, MINUTE, 0.1, True).select(*names).collect()
+    assert {"created", "mitigated", "swept"} <= {r.event for r in whole}
+    # a zone that is broken back and forth starts again each time, so starts and ends are counted per zone
+    starts, ends = Counter(), Counter()
+    for r in whole:
+        key = (r.symbol, r.kind, r.start_pos)
+        starts[key] += r.event in ("created", "merged", "breaker")
+        ends[key] += r.event in ("swept", "expired")
+    assert all(ends[k] <= starts[k] for k in ends)
+    spark.conf.set("spark.tapeline.chunkRows", "64")
+    try:
+        cut = structure.script_zones(bars, MINUTE, 0.1, True, warmup=8).select(*names).collect()
+    finally:
+        spark.conf.unset("spark.tapeline.chunkRows")
+    assert sorted(map(str, whole)) == sorted(map(str, cut))
+
+
+def test_structure_levels_enclose_the_close(spark, bars):
+    levels = structure.structure_levels(bars, MINUTE).join(bars, ["symbol", "ts"])
+    outside = levels.filter("high > structure_high OR low < structure_low OR abs(equilibrium - (structure_high + structure_low) / 2) > 1e-9")
+    assert levels.count() == bars.count() and outside.count() == 0
