@@ -27,9 +27,15 @@ def floor_time(ts: Column | str, timeframe: str | int) -> Column:
     return at_seconds(F.floor(epoch_seconds(ts) / step) * step)
 
 
+def tick_order(ts: str = "ts", seq: str = "seq") -> Column:
+    """Time and sequence number as one number: a fixed-width value keeps the aggregation of ticks hash based."""
+    micros = F.timestamp_diff("MICROSECOND", F.expr(NTZ_EPOCH), F.col(ts).cast("timestamp_ntz"))
+    return micros.cast("decimal(18,0)") * F.lit("10000000000000000000").cast("decimal(20,0)") + F.col(seq).cast("decimal(19,0)")
+
+
 def ticks_to_bars(ticks: DataFrame, timeframe: str | int, price: str = "price", seq: str = "seq") -> DataFrame:
     """First, highest, lowest and last price per symbol and frame; volume is the tick count."""
-    order = F.struct("ts", seq)
+    order = tick_order("ts", seq).cast("decimal(38,0)")
     return (
         ticks.groupBy("symbol", floor_time("ts", timeframe).alias("_start"))
         .agg(
