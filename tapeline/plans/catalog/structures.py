@@ -95,8 +95,83 @@ register(
     f"""WITH {DAILY_SQL}, l AS (SELECT *, open > close AS sh, lag(open > close) OVER w AS psh, lag(high, 2) OVER w AS h2, lag(low, 2) OVER w AS l2 FROM b WINDOW w AS (PARTITION BY symbol ORDER BY pos))
     SELECT symbol, ts, coalesce((high < l2 AND sh AND psh) OR (low > h2 AND NOT sh AND NOT psh), false) AS has_gap FROM l""",
 )
-register("structure_bos", lambda s, d: structure.breaks_of_structure(daily(s, d), DAY))
-register("structure_choch", lambda s, d: structure.changes_of_character(daily(s, d), DAY))
+
+
+def structure_sql(forget: bool) -> str:
+    """CTE ``sx``: structure state after every bar with the events of the bar, one recursive step per bar."""
+    kept = "coalesce(pl2, idm_l)" if not forget else "pl2"
+    kept_h = "coalesce(ph2, idm_h)" if not forget else "ph2"
+    up_ok, down_ok = ("bos_u", "bos_d") if not forget else ("idm_l1 <> 0", "idm_h1 <> 0")
+    clear_l, clear_h = ("CASE WHEN tu THEN NULL ELSE pl2 END", "CASE WHEN td THEN NULL ELSE ph2 END") if forget else ("pl2", "ph2")
+    return f"""
+sx AS (SELECT symbol, CAST(-1 AS BIGINT) AS pos, high AS top, low AS bot, high AS top_h, low AS bot_h, 0 AS leg, 0 AS prev, NULL::DOUBLE AS pl, NULL::DOUBLE AS ph, high AS hh, low AS ll, low AS idm_l, high AS idm_h,
+    high AS last_h, low AS last_l, false AS find, false AS bos_u, false AS bos_d, true AS coc_u, true AS coc_d, false AS e_iu, false AS e_id, false AS e_cu, false AS e_cd, false AS e_bu, false AS e_bd, NULL::DOUBLE AS p_iu, NULL::DOUBLE AS p_id, NULL::DOUBLE AS p_h, NULL::DOUBLE AS p_l
+  FROM b WHERE pos = 0
+  UNION ALL SELECT symbol, pos, top2, bot2, top_h2, bot_h2, leg2, prev2, {clear_l}, {clear_h}, hh2, ll2, idm_l1, idm_h1, greatest(CASE WHEN bd THEN hh2 ELSE last_h2 END, high), least(CASE WHEN bu THEN ll2 ELSE last_l2 END, low),
+    find3 OR bu OR bd, (bos_u3 OR bu) AND NOT bd, (bos_d3 OR bd) AND NOT bu, (coc_u3 OR bu) AND NOT bd, (coc_d3 OR bd) AND NOT bu, tu, td, cu, cd, bu, bd, idm_l1, idm_h1, last_h2, last_l2
+  FROM (SELECT *, NOT find3 AND NOT bu AND NOT bos_d3 AND coc_d3 AND low < last_l2 AND close < last_l2 AS bd FROM (
+  SELECT *, NOT find3 AND NOT bos_u3 AND coc_u3 AND high > last_h2 AND close > last_h2 AS bu FROM (
+  SELECT *, find2 OR cu OR cd AS find3, (bos_u2 OR cu) AND NOT cd AS bos_u3, (bos_d2 AND NOT cu) OR cd AS bos_d3, (coc_u OR cu) AND NOT cd AS coc_u3, (coc_d AND NOT cu) OR cd AS coc_d3 FROM (
+  SELECT *, (coc_u OR cu) AND low < last_l2 AND close < last_l2 AS cd FROM (
+  SELECT *, coc_d AND high > last_h2 AND close > last_h2 AS cu FROM (
+  SELECT *, CASE WHEN tu THEN low ELSE ll1 END AS ll2, CASE WHEN td THEN high ELSE hh1 END AS hh2, CASE WHEN tu THEN hh1 ELSE last_h END AS last_h2, CASE WHEN td THEN ll1 ELSE last_l END AS last_l2,
+    find AND NOT tu AND NOT td AS find2, bos_u AND NOT tu AS bos_u2, bos_d AND NOT td AS bos_d2 FROM (
+  SELECT *, find AND NOT tu AND coc_d AND {down_ok} AND coalesce(high > idm_h1, false) AS td FROM (
+  SELECT *, find AND coc_u AND {up_ok} AND coalesce(low < idm_l1, false) AS tu FROM (
+  SELECT *, CASE WHEN high >= hh THEN {kept} ELSE idm_l END AS idm_l1, CASE WHEN low <= ll THEN {kept_h} ELSE idm_h END AS idm_h1, greatest(hh, high) AS hh1, least(ll, low) AS ll1 FROM (
+  SELECT *, CASE WHEN o AND prev1 = 1 THEN top ELSE top_h END AS top_h2, CASE WHEN o AND prev1 <> 1 THEN bot ELSE bot_h END AS bot_h2, CASE WHEN o THEN prev1 WHEN u OR w THEN 0 ELSE prev END AS prev2,
+    CASE WHEN o THEN 0 WHEN u THEN 1 WHEN w THEN -1 ELSE leg END AS leg2, CASE WHEN o OR u OR w THEN high ELSE top END AS top2, CASE WHEN o OR u OR w THEN low ELSE bot END AS bot2,
+    CASE WHEN u AND leg <= 0 THEN bot WHEN w AND leg = 0 AND prev <> 1 THEN bot_h ELSE pl END AS pl2, CASE WHEN u AND leg = 0 AND prev = 1 THEN top_h WHEN w AND leg >= 0 THEN top ELSE ph END AS ph2 FROM (
+  SELECT *, CASE WHEN leg <> 0 THEN leg ELSE prev END AS prev1 FROM (
+  SELECT s.* EXCLUDE (symbol, pos), x.symbol, x.pos, x.high, x.low, x.close, x.high >= s.top AND x.low <= s.bot AS o, x.high >= s.top AND x.low > s.bot AS u, x.high < s.top AND x.low <= s.bot AS w
+  FROM sx s JOIN b x ON x.symbol = s.symbol AND x.pos = s.pos + 1) q1) q2) q3) q4) q5) q6) q7) q8) q9) q10) q11) q12)"""
+
+
+def _event_sql(rows: list[tuple[str, str, str]], select: str) -> str:
+    return " UNION ALL ".join(f"SELECT sx.symbol, b.ts, {select.format(*r)} AS price FROM sx JOIN b USING (symbol, pos) WHERE {r[2]}" for r in rows)
+
+
+_BOS = [("'BOS_Up'", "p_h", "e_bu"), ("'BOS_Down'", "p_l", "e_bd")]
+_CHOCH = [("'ChoCh_Up'", "p_h", "e_cu"), ("'ChoCh_Down'", "p_l", "e_cd")]
+register(
+    "structure_bos",
+    lambda s, d: structure.breaks_of_structure(daily(s, d), DAY),
+    f"WITH RECURSIVE {DAILY_SQL}, {structure_sql(False)} {_event_sql(_BOS, '{0} AS type, {1}')}",
+)
+register(
+    "structure_choch",
+    lambda s, d: structure.changes_of_character(daily(s, d), DAY),
+    f"WITH RECURSIVE {DAILY_SQL}, {structure_sql(False)} {_event_sql(_CHOCH, '{0} AS type, {1}')}",
+)
+_SCRIPT = [
+    ("'BOS' AS event, 'up'", "p_h", "e_bu"), ("'BOS' AS event, 'down'", "p_l", "e_bd"), ("'CHOCH' AS event, 'up'", "p_h", "e_cu"), ("'CHOCH' AS event, 'down'", "p_l", "e_cd"),
+    ("'IDM' AS event, 'up'", "p_iu", "e_iu"), ("'IDM' AS event, 'down'", "p_id", "e_id"),
+]
+register(
+    "structure_script_breaks",
+    lambda s, d: structure.structure_events(daily(s, d), DAY, forget=True).filter(F.col("event").isin("BOS", "CHOCH", "IDM")).select(
+        "symbol", "ts", "event", "direction", "price"
+    ),
+    f"WITH RECURSIVE {DAILY_SQL}, {structure_sql(True)} {_event_sql(_SCRIPT, '{0} AS direction, {1}')}",
+)
+MOTHER_SQL = """
+mo AS (SELECT symbol, pos, high AS mh, low AS ml, pos AS mp, false AS ins FROM b WHERE pos = 0
+  UNION ALL SELECT x.symbol, x.pos, CASE WHEN i THEN mh ELSE x.high END, CASE WHEN i THEN ml ELSE x.low END, CASE WHEN i THEN mp ELSE x.pos END, i
+  FROM mo m JOIN b x ON x.symbol = m.symbol AND x.pos = m.pos + 1, LATERAL (SELECT m.mh > x.high AND m.ml < x.low AS i) f)"""
+register(
+    "structure_mother_bars",
+    lambda s, d: structure.mother_bars(daily(s, d), DAY),
+    f"WITH RECURSIVE {DAILY_SQL}, {MOTHER_SQL} SELECT symbol, ts, mp AS mother_pos, mh AS mother_high, ml AS mother_low FROM mo JOIN b USING (symbol, pos) WHERE ins",
+)
+OUTSIDE_SQL = """
+ob AS (SELECT symbol, pos, high AS th, low AS bl, false AS hit FROM b WHERE pos = 0
+  UNION ALL SELECT x.symbol, x.pos, CASE WHEN x.high >= th OR x.low <= bl THEN x.high ELSE th END, CASE WHEN x.high >= th OR x.low <= bl THEN x.low ELSE bl END, x.high > th AND x.low < bl
+  FROM ob o JOIN b x ON x.symbol = o.symbol AND x.pos = o.pos + 1)"""
+register(
+    "structure_outside_bars",
+    lambda s, d: structure.outside_bars(daily(s, d), DAY),
+    f"WITH RECURSIVE {DAILY_SQL}, {OUTSIDE_SQL} SELECT symbol, ts, CASE WHEN close > open THEN 'up' ELSE 'down' END AS direction FROM ob JOIN b USING (symbol, pos) WHERE hit",
+)
 register("structure_inducements", lambda s, d: structure.inducements(daily(s, d), DAY))
 register("structure_order_blocks", lambda s, d: structure.order_blocks(daily(s, d), DAY))
 register("structure_zone_events", lambda s, d: structure.zone_events(daily(s, d), DAY))
@@ -104,8 +179,6 @@ register(
     "structure_script_events",
     lambda s, d: structure.structure_events(daily(s, d), DAY, forget=True).drop("pos"),
 )
-register("structure_mother_bars", lambda s, d: structure.mother_bars(daily(s, d), DAY))
-register("structure_outside_bars", lambda s, d: structure.outside_bars(daily(s, d), DAY))
 register(
     "structure_abcd",
     lambda s, d: rounded(
@@ -122,5 +195,6 @@ register(
 register(
     "structure_levels",
     lambda s, d: rounded(structure.structure_levels(daily(s, d), DAY), 4, "structure_high", "structure_low", "equilibrium"),
+    f"""WITH RECURSIVE {DAILY_SQL}, {structure_sql(True)} SELECT symbol, ts, round(last_h, 4) AS structure_high, round(last_l, 4) AS structure_low, round((last_h + last_l) / 2, 4) AS equilibrium FROM sx JOIN b USING (symbol, pos)""",
 )
 register("structure_script_zones", lambda s, d: structure.script_zones(daily(s, d), DAY).drop("pos"))
