@@ -84,7 +84,7 @@ register(
             .otherwise(F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), F.lit("Z"))).alias("ts"),
         )
     ),
-    "SELECT event_id, date_trunc('second', ts) AS ts, NULL AS ts_problem FROM events",
+    "SELECT event_id, date_trunc('second', ts) AS ts, CAST(NULL AS VARCHAR) AS ts_problem FROM events",
 )
 
 # -- deals ------------------------------------------------------------------------------------------------------

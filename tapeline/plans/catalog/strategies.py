@@ -12,12 +12,12 @@ from tapeline.operators.layout import POS, TOTAL
 from tapeline.operators.scans import ewm_from_start, fade_rows, shift
 from tapeline.operators.steps import Step, run
 from tapeline.plans import sweeps
-from tapeline.plans.catalog.averages_and_oscillators import ADX_SQL, ICHIMOKU_SQL, macd_sql
+from tapeline.plans.catalog.averages_and_oscillators import ADX_SQL, ICHIMOKU_SQL, kalman_sql, macd_sql
 from tapeline.plans.catalog.common import (
-    DAILY_SQL, DAY, TR_SQL, daily, ewm_sql, hourly, price_ticks, register, rounded,
+    DAILY_SQL, DAY, ORACLES, TR_SQL, daily, ewm_sql, hourly, price_ticks, register, rounded,
 )
 from tapeline.plans.catalog.trading import CROSS_TRADES_SQL, cross_trades, crossing, trades_sql
-from tapeline.plans.catalog.trends import MAGIC_SQL, SAR_SQL, STV_SQL, supertrend_sql
+from tapeline.plans.catalog.trends import HT_SQL, MAGIC_SQL, SAR_SQL, STV_SQL, UT_SQL, hull_sql, supertrend_sql
 from tapeline.session import materialize
 
 _SIG = ("symbol", "ts", "side", "strategy")
@@ -72,8 +72,18 @@ register(
     f"""WITH RECURSIVE {DAILY_SQL}, {BASE_SQL}, {MAGIC_SQL}, mj AS (SELECT symbol, pos, cci FROM mg JOIN cc USING (symbol, pos))
     {_flip_sql('trend_magic', 'JOIN mj USING (symbol, pos)', 'fu AND cci >= 0', 'fd AND cci < 0')}""",
 )
-register("strategy_vidya", _strategy("vidya"))
-register("strategy_hull", _strategy("hull"))
+register(
+    "strategy_vidya",
+    _strategy("vidya"),
+    f"""WITH RECURSIVE {DAILY_SQL}, {BASE_SQL}, vv AS MATERIALIZED (SELECT symbol, ts, vidya_trend FROM ({ORACLES['trend_volumatic_vidya']}) o)
+    {_flip_sql('vidya', 'JOIN vv USING (symbol, ts)', "fu AND vidya_trend = 'long'", "fd AND vidya_trend = 'short'")}""",
+)
+register(
+    "strategy_hull",
+    _strategy("hull"),
+    f"""WITH RECURSIVE {DAILY_SQL}, {BASE_SQL}, {hull_sql(360)}, hl AS (SELECT symbol, pos, hull > lag(hull, 2) OVER (PARTITION BY symbol ORDER BY pos) AS rising FROM h)
+    {_flip_sql('hull', 'JOIN hl USING (symbol, pos)', 'fu AND pos >= 378 AND rising', 'fd AND pos >= 378 AND NOT rising')}""",
+)
 
 VOTE_SQL = f"""{TR_SQL}, {STV_SQL},
 vg0 AS MATERIALIZED (SELECT *, close - lag(close) OVER (PARTITION BY symbol ORDER BY pos) AS chg FROM b), vg AS MATERIALIZED (SELECT *, greatest(chg, 0) AS gain, greatest(-chg, 0) AS loss FROM vg0),
@@ -108,11 +118,31 @@ register(
     a AS (SELECT *, CASE WHEN pos >= 49 THEN avg(close) OVER (PARTITION BY symbol ORDER BY pos ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) END AS m FROM b)
     SELECT symbol, ts, CASE WHEN up AND NOT pu AND close > m THEN 1 WHEN pu AND NOT up AND close < m THEN -1 ELSE 0 END AS signal FROM a JOIN l USING (symbol, pos)""",
 )
+
+
+def _turn_sql(source: str) -> str:
+    """Trend and its turns from a CTE ``(symbol, pos, trend)``."""
+    return f"""tl AS (SELECT *, lag(trend) OVER (PARTITION BY symbol ORDER BY pos) AS pt FROM {source})
+    SELECT symbol, ts, trend, CASE WHEN pt IS NULL OR trend IS NULL THEN NULL WHEN trend = 'buy' AND pt <> 'buy' THEN 'buy' WHEN trend = 'sell' AND pt <> 'sell' THEN 'sell' ELSE 'hold' END AS signal FROM tl JOIN b USING (symbol, pos)"""
+
+
+_INDICATOR_SQL = {
+    "ema": f"""WITH RECURSIVE {DAILY_SQL}, e AS (SELECT symbol, pos, close AS x, close AS n, 1.0::DOUBLE AS w FROM b WHERE pos = 0
+    UNION ALL SELECT b.symbol, b.pos, close, e.n * (19.0 / 21) + close, e.w * (19.0 / 21) + 1 FROM e JOIN b ON b.symbol = e.symbol AND b.pos = e.pos + 1),
+    tt AS (SELECT symbol, pos, CASE WHEN x > n / w THEN 'buy' WHEN x < n / w THEN 'sell' END AS trend FROM e), {_turn_sql('tt')}""",
+    "ut_bot": f"""WITH RECURSIVE {DAILY_SQL}, {TR_SQL}, {UT_SQL}, tt AS (SELECT symbol, pos, CASE ut_state WHEN 'long' THEN 'buy' WHEN 'short' THEN 'sell' END AS trend FROM us), {_turn_sql('tt')}""",
+    "half_trend": f"WITH RECURSIVE {DAILY_SQL}, {HT_SQL}, tt AS (SELECT symbol, pos, CASE WHEN trend = 0 THEN 'buy' ELSE 'sell' END AS trend FROM ht), {_turn_sql('tt')}",
+    "deviation_trend": f"""WITH {DAILY_SQL}, tt AS (SELECT symbol, b.pos, CASE WHEN deviation_trend = 'long' THEN 'buy' ELSE 'sell' END AS trend FROM ({ORACLES['trend_deviation']}) o JOIN b USING (symbol, ts)), {_turn_sql('tt')}""",
+    "kalman_trend": f"""WITH RECURSIVE {DAILY_SQL}, {kalman_sql('ks', 'b', 20)}, {kalman_sql('kl', 'b', 50)},
+    tt AS (SELECT symbol, pos, CASE WHEN ks.v > kl.v THEN 'buy' ELSE 'sell' END AS trend FROM ks JOIN kl USING (symbol, pos)), {_turn_sql('tt')}""",
+}
 for _name, _params in (
     ("ema", {"window": 20}), ("ut_bot", {"key_value": 3, "atr_period": 10}), ("half_trend", {"amplitude": 2}), ("deviation_trend", {"sma_length": 50}),
     ("stoch_rsi", {}), ("kalman_trend", {"sell_len": 20, "buy_len": 50}),
 ):
-    register(f"indicator_{_name}", lambda s, d, n=_name, p=_params: signals.indicator_signals(daily(s, d), DAY, n, p))
+    register(
+        f"indicator_{_name}", lambda s, d, n=_name, p=_params: signals.indicator_signals(daily(s, d), DAY, n, p), _INDICATOR_SQL.get(_name)
+    )
 register(
     "indicator_ema_cross",
     lambda s, d: signals.indicator_signals(daily(s, d), DAY, "ema_cross", {"fast_period": 10, "slow_period": 30}),

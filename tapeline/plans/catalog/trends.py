@@ -221,19 +221,19 @@ def _hull_sql(start: int) -> str:
     WHEN hull > lag(hull, 2) OVER (PARTITION BY symbol ORDER BY pos) THEN 'long' ELSE 'short' END AS hull_trend"""
 
 
-def _hull_sql_wide() -> str:
-    """Weighted means of long frames by index-weighted sums in exact order."""
+def hull_sql(n: int) -> str:
+    """CTE ``h`` with a Hull mean of length ``n``: weighted means of long frames by index-weighted sums."""
     def w(x, n, start=0):
         f = f"OVER (PARTITION BY symbol ORDER BY pos ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)"
         return f"CASE WHEN pos >= {start + n - 1} THEN (sum(pos * {x}) {f} - (pos - {n}) * sum({x}) {f}) / {n * (n + 1) / 2} END"
 
-    return f"r AS (SELECT *, 2 * {w('close', 60)} - {w('close', 120)} AS raw FROM b), h AS (SELECT *, {w('raw', 10, 119)} AS hull FROM r)"
+    return f"hr AS (SELECT *, 2 * {w('close', n // 2)} - {w('close', n)} AS raw FROM b), h AS MATERIALIZED (SELECT *, {w('raw', int(n**0.5), n - 1)} AS hull FROM hr)"
 
 
 register(
     "trend_hull",
     query(trend.hull_trend(20, 6.0), 2, ["hull"], ["hull_trend"]),
-    f"WITH {DAILY_SQL}, {_hull_sql_wide()} {_hull_sql(128)} FROM h",
+    f"WITH {DAILY_SQL}, {hull_sql(120)} {_hull_sql(128)} FROM h",
 )
 register(
     "trend_hull_ehma",
