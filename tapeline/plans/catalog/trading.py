@@ -152,12 +152,42 @@ def _atr_trades(s, d):
     )
 
 
-register("trades_bar_atr", lambda s, d: _atr_trades(s, d))
+def sized_trades_sql(stop: str, target: str, lot: str) -> str:
+    """Trades from ``sg`` without break-even or opposite closes; ``stop``, ``target`` and ``lot`` are taken at the entry."""
+    return f"""
+rr AS (SELECT DISTINCT symbol, CAST(-1 AS BIGINT) AS pos, 0 AS side, 0::DOUBLE AS entry, CAST(-1 AS BIGINT) AS opened, 0::DOUBLE AS sl, 0::DOUBLE AS tp, 0::DOUBLE AS lot, 5000::DOUBLE AS bal,
+    NULL::INTEGER AS reason, 0 AS t_side, 0::DOUBLE AS t_entry, CAST(-1 AS BIGINT) AS t_at, 0::DOUBLE AS t_exit, 0::DOUBLE AS t_lot, 0::DOUBLE AS profit FROM sg
+  UNION ALL SELECT symbol, pos, CASE WHEN enters THEN sig WHEN hit IS NOT NULL THEN 0 ELSE side END, CASE WHEN enters THEN close ELSE entry END, CASE WHEN enters THEN pos ELSE opened END,
+    CASE WHEN enters THEN close - sig * stp ELSE sl END, CASE WHEN enters THEN close + sig * tgt ELSE tp END, CASE WHEN enters THEN nlot ELSE lot END, bal + coalesce(gain, 0), hit, side, entry, opened, CASE hit WHEN 0 THEN tp ELSE sl END, lot, coalesce(gain, 0)
+  FROM (SELECT *, CASE WHEN hit IS NOT NULL THEN side * (CASE hit WHEN 0 THEN tp ELSE sl END - entry) * round(lot * 0.1::DOUBLE, 3) END AS gain FROM (
+  SELECT *, side = 0 AND sig <> 0 AND nlot IS NOT NULL AS enters, CASE WHEN side = 0 THEN NULL WHEN side * (ahead - tp) >= 0 THEN 0 WHEN side * (behind - sl) <= 0 THEN 1 END AS hit FROM (
+  SELECT s.symbol, s.pos, s.close, s.sig, {stop} AS stp, {target} AS tgt, {lot} AS nlot, t.side, t.entry, t.opened, t.sl, t.tp, t.lot, t.bal, CASE WHEN t.side > 0 THEN s.high ELSE s.low END AS ahead, CASE WHEN t.side > 0 THEN s.low ELSE s.high END AS behind
+  FROM rr t JOIN sg s ON s.symbol = t.symbol AND s.pos = t.pos + 1) q) q2) q3)
+SELECT x.symbol, CASE WHEN t_side > 0 THEN 'buy' ELSE 'sell' END AS side, t_at AS entry_pos, x.pos AS exit_pos, CASE reason WHEN 0 THEN 'TP' ELSE 'SL' END AS exit_reason, round(t_lot, 4) AS lot, round(t_exit, 4) AS exit_price, round(profit, 4) AS profit FROM rr x WHERE reason IS NOT NULL"""
+
+
+def _sized(done):
+    return rounded(done, 4, "lot", "exit_price", "profit", plain=("symbol", "side", "entry_pos", "exit_pos", "exit_reason"))
+
+
+_ATR_SQL = SIGNAL_SQL.replace(
+    "sg AS MATERIALIZED (SELECT b.*,",
+    "ap AS (SELECT *, lag(close) OVER (PARTITION BY symbol ORDER BY pos) AS pc FROM b), at14 AS (SELECT symbol, pos, CASE WHEN pos >= 13 THEN avg(CASE WHEN pc IS NULL THEN high - low ELSE greatest(high - low, abs(high - pc), abs(low - pc)) END) "
+    "OVER (PARTITION BY symbol ORDER BY pos ROWS BETWEEN 13 PRECEDING AND CURRENT ROW) END AS atr FROM ap),\nsg AS MATERIALIZED (SELECT b.*, at14.atr,",
+).replace("FROM b JOIN cl USING (symbol, pos)", "FROM b JOIN cl USING (symbol, pos) JOIN at14 USING (symbol, pos)")
+register(
+    "trades_bar_atr",
+    lambda s, d: _sized(_atr_trades(s, d)),
+    f"WITH RECURSIVE {DAILY_SQL}, {_ATR_SQL}, {sized_trades_sql('2 * s.atr', '3 * s.atr', 'greatest(0.01, round(100 / (2 * s.atr * 0.1::DOUBLE), 2))')}",
+)
 register(
     "trades_bar_running_risk",
-    lambda s, d: trades.bar_trades(
-        run(daily(s, d), DAY, crossing()), DAY, F.col("signal"), F.lit(50000.0), F.lit(100000.0), risk_of_balance=2.0, per_lot=0.1
+    lambda s, d: _sized(
+        trades.bar_trades(
+            run(daily(s, d), DAY, crossing()), DAY, F.col("signal"), F.lit(50000.0), F.lit(100000.0), risk_of_balance=2.0, per_lot=0.1
+        )
     ),
+    f"WITH RECURSIVE {DAILY_SQL}, {SIGNAL_SQL}, {sized_trades_sql('50000', '100000', 'greatest(0.01, round(t.bal * 2.0::DOUBLE / 100 / (50000 * 0.1::DOUBLE), 2))')}",
 )
 
 
