@@ -16,7 +16,7 @@ from tapeline.plans.catalog.averages_and_oscillators import ADX_SQL, ICHIMOKU_SQ
 from tapeline.plans.catalog.common import (
     DAILY_SQL, DAY, ORACLES, TR_SQL, daily, ewm_sql, hourly, price_ticks, register, rounded,
 )
-from tapeline.plans.catalog.trading import CROSS_TRADES_SQL, cross_trades, crossing, trades_sql
+from tapeline.plans.catalog.trading import CROSS_TRADES_SQL, SIGNAL_SQL, cross_trades, crossing, trades_sql
 from tapeline.plans.catalog.trends import HT_SQL, MAGIC_SQL, SAR_SQL, STV_SQL, UT_SQL, hull_sql, supertrend_sql
 from tapeline.session import materialize
 
@@ -318,11 +318,35 @@ def _walk_forward(s, d):
     return rounded(sweeps.walk_forward(materialize(results)), 4, "is_roi", "oos_roi", plain=("symbol", "fold", "param_id", "oos_trades", "status"))
 
 
-register("walk_forward_selection", _walk_forward)
+_DAILY0_SQL = DAILY_SQL.replace("\nb AS MATERIALIZED", "\nb0 AS MATERIALIZED")
+_WALK_SQL = f"""WITH RECURSIVE {_DAILY0_SQL}, pr AS (SELECT unnest([0, 1, 2]) AS pid, unnest([5, 9, 12]) AS f, unnest([12, 21, 30]) AS s),
+b AS MATERIALIZED (SELECT symbol || '|' || (pos // 400) || '|' || pid AS symbol, pos % 400 AS pos, ts, open, high, low, close, volume, f, s FROM b0, pr),
+em AS (SELECT symbol, pos, close AS x, 1.0::DOUBLE AS xw, close AS y, 1.0::DOUBLE AS yw FROM b WHERE pos = 0
+  UNION ALL SELECT b.symbol, b.pos, x * (1 - 2.0 / (f + 1)) + close, xw * (1 - 2.0 / (f + 1)) + 1, y * (1 - 2.0 / (s + 1)) + close, yw * (1 - 2.0 / (s + 1)) + 1 FROM em JOIN b ON b.symbol = em.symbol AND b.pos = em.pos + 1),
+eu AS (SELECT symbol, pos, x / xw > y / yw AS up FROM em), el AS (SELECT *, lag(up) OVER (PARTITION BY symbol ORDER BY pos) AS pu FROM eu),
+sg AS MATERIALIZED (SELECT b.*, CASE WHEN up AND NOT pu THEN 1 WHEN NOT up AND pu THEN -1 ELSE 0 END AS sig FROM b JOIN el USING (symbol, pos)),
+{trades_sql('wf', 'sg', '50000', '100000', '1e18', 'false', '0.002')},
+ks AS (SELECT DISTINCT symbol FROM b), rs AS MATERIALIZED (SELECT split_part(k.symbol, '|', 1) AS symbol, CAST(split_part(k.symbol, '|', 2) AS BIGINT) AS win, CAST(split_part(k.symbol, '|', 3) AS INTEGER) AS pid, nullif(count(profit), 0) AS n, sum(profit) / 50 AS roi
+  FROM ks k LEFT JOIN wf_t t ON t.symbol = k.symbol GROUP BY k.symbol),
+pk AS (SELECT symbol, win, arg_max(pid, (roi, n, -pid)) FILTER (n >= 10) AS pid, arg_max(roi, (roi, n, -pid)) FILTER (n >= 10) AS roi FROM rs GROUP BY 1, 2), lw AS (SELECT symbol, max(win) AS mw FROM rs GROUP BY 1)
+SELECT pk.symbol, pk.win AS fold, pk.pid AS param_id, o.n AS oos_trades, CASE WHEN pk.pid IS NULL THEN 'THIN_IS' ELSE 'OK' END AS status, round(pk.roi, 4) AS is_roi, round(o.roi, 4) AS oos_roi
+FROM pk JOIN lw USING (symbol) LEFT JOIN rs o ON o.symbol = pk.symbol AND o.win = pk.win + 1 AND o.pid = pk.pid WHERE pk.win < mw"""
+register("walk_forward_selection", _walk_forward, _WALK_SQL)
+
+
+_SPEC = {"fast": 9, "slow": 21, "symbol": "orders"}
+_EXPERIMENT_SQL = f"""WITH RECURSIVE {_DAILY0_SQL}, sp AS (SELECT *, CASE WHEN pos < greatest(1, floor(total * 0.7::DOUBLE)) THEN 'train' ELSE 'test' END AS split FROM b0),
+b AS MATERIALIZED (SELECT symbol || '|' || split AS symbol, row_number() OVER (PARTITION BY symbol, split ORDER BY pos) - 1 AS pos, ts, open, high, low, close, volume FROM sp),
+{SIGNAL_SQL}, {trades_sql('xt', 'sg', '50000', '100000', '1e18', 'true', '0.001')},
+xb AS (SELECT symbol, exit_pos, profit, 5000 + sum(profit) OVER (PARTITION BY symbol ORDER BY exit_pos) AS bal FROM xt_t), xp AS (SELECT *, greatest(5000, max(bal) OVER (PARTITION BY symbol ORDER BY exit_pos)) AS pk FROM xb),
+xm AS (SELECT symbol, count(*) AS n, sum(profit) AS net, max(pk - bal) AS dd, arg_max(pk, (pk - bal, -exit_pos)) AS at_pk FROM xp GROUP BY 1),
+xw AS (SELECT split_part(symbol, '|', 1) AS symbol, max(n) FILTER (symbol LIKE '%|train') AS train_trades, max(n) FILTER (symbol LIKE '%|test') AS test_trades, max(net) FILTER (symbol LIKE '%|train') AS train_net, max(net) FILTER (symbol LIKE '%|test') AS test_net,
+  max(dd) FILTER (symbol LIKE '%|test') AS test_dd, max(dd / at_pk * 100) FILTER (symbol LIKE '%|test') AS test_pct FROM xm GROUP BY split_part(symbol, '|', 1)),
+xr AS MATERIALIZED (SELECT *, '{sweeps.experiment_id(_SPEC)}' AS experiment_id, coalesce(test_trades >= 1 AND test_pct <= 20 AND test_net > 0, false) AS passed, test_net - test_dd * 0.5 AS score FROM xw)"""
 
 
 def _experiment(s, d):
-    spec = {"fast": 9, "slow": 21, "symbol": "orders"}
+    spec = _SPEC
     split = labels.two_way_split(daily(s, d), DAY).drop("row", "rows")
     bars = run(split, DAY, crossing(), keys=("symbol", "split"))
     done = trades.bar_trades(
@@ -333,9 +357,14 @@ def _experiment(s, d):
 
 register(
     "experiment_gate",
-    lambda s, d: rounded(_experiment(s, d), 4, "train_net_profit", "test_net_profit", "test_max_drawdown", "score", plain=("symbol", "experiment_id", "train_trades", "test_trades", "passed")),
+    lambda s, d: rounded(_experiment(s, d), 6, "train_net_profit", "test_net_profit", "test_max_drawdown", "score", plain=("symbol", "experiment_id", "train_trades", "test_trades", "passed")),
+    f"{_EXPERIMENT_SQL} SELECT symbol, experiment_id, train_trades, test_trades, passed, round(train_net, 6) AS train_net_profit, round(test_net, 6) AS test_net_profit, round(test_dd, 6) AS test_max_drawdown, round(score, 6) AS score FROM xr",
+)
+register(
+    "experiment_best",
+    lambda s, d: sweeps.best_experiment(_experiment(s, d)).select("symbol", "experiment_id", F.round("score", 4).alias("score")),
+    f"{_EXPERIMENT_SQL} SELECT symbol, experiment_id, round(score, 4) AS score FROM xr WHERE passed ORDER BY xr.score DESC LIMIT 1",
 )
-register("experiment_best", lambda s, d: sweeps.best_experiment(_experiment(s, d)).select("symbol", "experiment_id", F.round("score", 4).alias("score")))
 register(
     "experiment_equivalence",
     lambda s, d: sweeps.equivalence(_small_metrics(cross_trades(s, d)), _small_metrics(cross_trades(s, d).repartition(7)), ["symbol"], ["net_profit", "win_rate"]).select("symbol"),
