@@ -229,21 +229,22 @@ register(
 
 
 def _in_flight(s, d):
+    """Orders as trades in four states; at the broker, status O is an order, P a position, F nothing."""
     k = F.col("o_orderkey")
     states = table(s, d, "orders").select(
         F.concat(F.lit("T"), F.lpad(k.cast("string"), 12, "0")).alias("trade_id"), F.element_at(F.array(F.lit("SENT"), F.lit("ACCEPTED"), F.lit("OPEN"), F.lit("CLOSED")), (k % 4 + 1).cast("int")).alias("state"),
         F.col("o_orderpriority").alias("symbol"), F.concat(F.lit("S"), k % 50000 + 7).alias("strategy"), F.col("o_orderdate").cast("timestamp_ntz").alias("updated_at"), F.lit(0).cast("long").alias("ticket"),
     )
     broker = table(s, d, "orders").select(
-        F.col("o_orderpriority").alias("symbol"), F.lit(9).alias("magic"), F.concat(F.lit("T"), F.lpad(k.cast("string"), 12, "0"), F.lit(":x")).alias("comment"), (k + 1000).alias("ticket"), (k % 3).alias("_m")
+        F.col("o_orderpriority").alias("symbol"), F.lit(9).alias("magic"), F.concat(F.lit("T"), F.lpad(k.cast("string"), 12, "0"), F.lit(":x")).alias("comment"), (k + 1000).alias("ticket"), F.col("o_orderstatus").alias("_at")
     )
-    return states, broker.filter("_m = 0").drop("_m"), broker.filter("_m = 1").drop("_m")
+    return states, broker.filter("_at = 'O'").drop("_at"), broker.filter("_at = 'P'").drop("_at")
 
 
 register(
     "lifecycle_reconcile",
     lambda s, d: ledger.reconcile(*_in_flight(s, d), _stamp("2000-01-01 00:00:00"), 120, 9),
-    """WITH r AS (SELECT 'T' || lpad(CAST(o_orderkey AS VARCHAR), 12, '0') AS trade_id, o_orderkey AS k, o_orderpriority AS symbol, ['SENT', 'ACCEPTED', 'OPEN', 'CLOSED'][CAST(o_orderkey % 4 + 1 AS INTEGER)] AS state, o_orderkey % 3 = 0 AS o, o_orderkey % 3 = 1 AS p,
+    """WITH r AS (SELECT 'T' || lpad(CAST(o_orderkey AS VARCHAR), 12, '0') AS trade_id, o_orderkey AS k, o_orderpriority AS symbol, ['SENT', 'ACCEPTED', 'OPEN', 'CLOSED'][CAST(o_orderkey % 4 + 1 AS INTEGER)] AS state, o_orderstatus = 'O' AS o, o_orderstatus = 'P' AS p,
     o_orderdate <= TIMESTAMP '2000-01-01' - INTERVAL 120 SECOND AS late FROM orders),
     n AS (SELECT *, CASE WHEN state = 'SENT' AND (o OR p) THEN 'ACCEPTED' WHEN state = 'ACCEPTED' AND p THEN 'OPEN' WHEN state = 'OPEN' AND NOT p THEN 'CLOSED' WHEN state = 'OPEN' OR (state = 'ACCEPTED' AND o) THEN state WHEN late THEN 'REJECTED' ELSE state END AS next_state FROM r WHERE state <> 'CLOSED')
     SELECT trade_id, symbol, state, next_state, CASE WHEN next_state = 'REJECTED' THEN 'rejected' WHEN state = 'SENT' AND next_state = 'ACCEPTED' THEN 'recovered' WHEN state = 'ACCEPTED' AND next_state = 'OPEN' THEN 'opened' WHEN next_state = 'CLOSED' THEN 'closed'

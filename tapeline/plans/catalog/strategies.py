@@ -163,14 +163,15 @@ register(
 
 
 def _news(s, d):
+    """Sign-ups as news, large ones as holidays."""
     t = price_ticks(s, d)
-    return t.filter("symbol = 'signup' AND seq % 50 = 0").select("ts", F.when(F.col("seq") % 100 == 0, "Bank Holiday").otherwise("CPI").alias("event"))
+    return t.filter("symbol = 'signup'").select("ts", F.when(F.col("price") > 250, "Bank Holiday").otherwise("CPI").alias("event"))
 
 
 register(
     "strategy_news_flags",
     lambda s, d: signals.flag_news(price_ticks(s, d).select("symbol", "ts", "seq"), _news(s, d)).select("seq", "during_news", "upcoming_news", "holiday", "avoid"),
-    """WITH n AS (SELECT ts AS nt, event_id % 100 = 0 AS hol FROM events WHERE value > 0 AND event_type = 'signup' AND event_id % 50 = 0),
+    """WITH n AS (SELECT ts AS nt, value > 250 AS hol FROM events WHERE value > 0 AND event_type = 'signup'),
     j AS (SELECT event_id AS seq, coalesce(bool_or(g >= 0 AND g < 1800), false) AS during_news, coalesce(bool_or(g > 0 AND g <= 3600), false) AS upcoming_news, coalesce(bool_or(hol AND abs(g) <= 43200), false) AS holiday
     FROM (SELECT e.event_id, n.hol, CAST(floor(epoch(nt)) - floor(epoch(e.ts)) AS BIGINT) AS g FROM events e CROSS JOIN n WHERE e.value > 0) x GROUP BY 1)
     SELECT seq, during_news, upcoming_news, holiday, during_news OR upcoming_news OR holiday AS avoid FROM j""",
