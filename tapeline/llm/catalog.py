@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tapeline.llm.common import table
+from tapeline.llm.packing import pack
 from tapeline.llm.token_files import read_token_files, write_token_files
+from tapeline.llm.warc import read_archives, write_archives
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -25,4 +27,15 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(write_token_files(docs, tokenizer_path("word_bpe_49k.json"), leading_space=False))
 
 
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = pack(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), leading_space=True, with_ids=False)
+    return placed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+
+
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_archives(write_archives(table(spark, sf_dir, "pages")))
+
+
 QUERIES["op1_token_files"] = op1_token_files
+QUERIES["op2_packing"] = op2_packing
+QUERIES["op3_warc"] = op3_warc
