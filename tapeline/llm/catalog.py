@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tapeline.llm.common import table
+from tapeline.llm import languages, toxicity
+from tapeline.llm.common import held_out, table
 from tapeline.llm.packing import pack
 from tapeline.llm.token_files import read_token_files, write_token_files
 from tapeline.llm.warc import read_archives, write_archives
@@ -36,6 +37,19 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_archives(write_archives(table(spark, sf_dir, "pages")))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def op5_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    judged = languages.predict(docs.select("doc_id", "text", held_out().alias("held_out")), languages.fit(docs))
+    return judged.select("doc_id", "held_out", "lang_pred", "score", "rejected")
+
+
 QUERIES["op1_token_files"] = op1_token_files
 QUERIES["op2_packing"] = op2_packing
 QUERIES["op3_warc"] = op3_warc
+QUERIES["op4_toxicity"] = op4_toxicity
+QUERIES["op5_languages"] = op5_languages

@@ -18,6 +18,8 @@ from tapeline.session import ensure_checkpoint_dir, materialize
 __all__ = ["TokenCache", "batches", "held_out", "materialize", "rows_of", "shared_folder", "table", "text_column", "texts", "token_cache"]
 
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
+#: Letters, then ASCII punctuation without the apostrophe: every splitter of the public vocabularies cuts between the two.
+_ENDING = re.compile(r"( ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-&(-/:-@\[-`{-~]+)")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,11 +63,12 @@ class TokenCache:
 
     ``leading_space`` states how the tokenizer splits text. False: white space is dropped, so a text is the sequence of its
     words. True: a single space belongs to the word after it, so a text can be cut before every single space that has no
-    white space beside it. Both cuts lie between two pre-tokens, so the ids are those of the whole text. The cache is
-    emptied when it holds ``limit`` pieces.
+    white space beside it. Both cuts lie between two pre-tokens, so the ids are those of the whole text; so does the cut
+    between letters and ASCII punctuation that new pieces get. A cache of more than ``limit`` pieces becomes the old one, from
+    which pieces in use are taken over.
     """
 
-    def __init__(self, path: str, leading_space: bool, limit: int = 500_000):
+    def __init__(self, path: str, leading_space: bool, limit: int = 600_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -73,6 +76,8 @@ class TokenCache:
         self.leading_space = leading_space
         self.limit = limit
         self.known: dict = {}
+        self.old: dict = {}
+        self.parts: dict[str, bytes] = {}
         self.wide = self.tokenizer.get_vocab_size() > 1 << 16
 
     def _pieces(self, text: str) -> list:
@@ -82,19 +87,34 @@ class TokenCache:
             return re.split(r"(?<=\S)(?= \S)", text)
         return text.replace(" ", "\0 ").split("\0") if "\0" not in text else re.split(r"(?<=\S)(?= \S)", text)
 
+    def _learn(self, new: list) -> None:
+        split, parts = [], self.parts
+        for piece in new:
+            text = piece if self.leading_space else piece.decode()
+            ending = _ENDING.fullmatch(text)
+            split.append(ending.groups() if ending else (text,))
+        missing = list({x for s in split for x in s} - parts.keys())
+        code = "I" if self.wide else "H"
+        for text, got in zip(missing, self.tokenizer.encode_batch_fast(missing, add_special_tokens=False)):
+            parts[text] = array(code, got.ids).tobytes()
+        for piece, s in zip(new, split):
+            self.known[piece] = parts[s[0]] if len(s) == 1 else parts[s[0]] + parts[s[1]]
+
     def encode(self, many: Sequence[str]) -> list[np.ndarray]:
         """Ids of every text, as little-endian unsigned integers."""
-        kind, code = ("<u4", "I") if self.wide else ("<u2", "H")
-        parts = [self._pieces(t) if t else [] for t in many]
+        kind = "<u4" if self.wide else "<u2"
+        cut = [self._pieces(t) if t else [] for t in many]
         if len(self.known) > self.limit:
-            self.known = {}
-        known = self.known
-        new = list(set().union(*parts) - known.keys())
-        plain = new if self.leading_space else [w.decode() for w in new]
-        for piece, got in zip(new, self.tokenizer.encode_batch_fast(plain, add_special_tokens=False)):
-            known[piece] = array(code, got.ids).tobytes()
+            self.known, self.old, self.parts = {}, self.known, {}
+        known, old = self.known, self.old
+        new = set().union(*cut) - known.keys()
+        if old:
+            found = new & old.keys()
+            known.update(zip(found, map(old.__getitem__, found)))
+            new -= found
+        self._learn(list(new))
         get = known.__getitem__
-        return [np.frombuffer(b"".join(map(get, p)), kind) for p in parts]
+        return [np.frombuffer(b"".join(map(get, p)), kind) for p in cut]
 
 
 _CACHES: dict = {}
