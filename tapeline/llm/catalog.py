@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tapeline.llm import languages, toxicity
+from tapeline.llm import languages, quality, toxicity
 from tapeline.llm.common import held_out, table
 from tapeline.llm.packing import pack
 from tapeline.llm.token_files import read_token_files, write_token_files
@@ -48,8 +48,13 @@ def op5_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "held_out", "lang_pred", "score", "rejected")
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.assess(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES["op1_token_files"] = op1_token_files
 QUERIES["op2_packing"] = op2_packing
 QUERIES["op3_warc"] = op3_warc
 QUERIES["op4_toxicity"] = op4_toxicity
 QUERIES["op5_languages"] = op5_languages
+QUERIES["op8_quality"] = op8_quality
