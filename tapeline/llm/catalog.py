@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tapeline.llm import languages, quality, toxicity
 from tapeline.llm.common import held_out, table
+from tapeline.llm.html_text import extract
 from tapeline.llm.packing import pack
 from tapeline.llm.token_files import read_token_files, write_token_files
 from tapeline.llm.warc import read_archives, write_archives
@@ -52,9 +53,14 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.assess(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(table(spark, sf_dir, "pages"))
+
+
 QUERIES["op1_token_files"] = op1_token_files
 QUERIES["op2_packing"] = op2_packing
 QUERIES["op3_warc"] = op3_warc
 QUERIES["op4_toxicity"] = op4_toxicity
 QUERIES["op5_languages"] = op5_languages
 QUERIES["op8_quality"] = op8_quality
+QUERIES["op9_html_text"] = op9_html_text
