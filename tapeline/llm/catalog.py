@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tapeline.llm import languages, quality, toxicity
+from tapeline.llm import jaccard_join, languages, quality, toxicity
 from tapeline.llm.common import held_out, table
 from tapeline.llm.html_text import extract
 from tapeline.llm.packing import pack
@@ -57,6 +57,10 @@ def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(table(spark, sf_dir, "pages"))
 
 
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join(table(spark, sf_dir, "documents"))
+
+
 QUERIES["op1_token_files"] = op1_token_files
 QUERIES["op2_packing"] = op2_packing
 QUERIES["op3_warc"] = op3_warc
@@ -64,3 +68,4 @@ QUERIES["op4_toxicity"] = op4_toxicity
 QUERIES["op5_languages"] = op5_languages
 QUERIES["op8_quality"] = op8_quality
 QUERIES["op9_html_text"] = op9_html_text
+QUERIES["op10_jaccard_join"] = op10_jaccard_join
