@@ -10,6 +10,7 @@ from tapeline.llm import jaccard_join, languages, quality, toxicity
 from tapeline.llm.common import held_out, table
 from tapeline.llm.html_text import extract
 from tapeline.llm.packing import pack
+from tapeline.llm.repeats import remove_repeats
 from tapeline.llm.token_files import read_token_files, write_token_files
 from tapeline.llm.warc import read_archives, write_archives
 
@@ -61,6 +62,11 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.join(table(spark, sf_dir, "documents"))
 
 
+def op6_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), with_text=False)
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 QUERIES["op1_token_files"] = op1_token_files
 QUERIES["op2_packing"] = op2_packing
 QUERIES["op3_warc"] = op3_warc
@@ -69,3 +75,4 @@ QUERIES["op5_languages"] = op5_languages
 QUERIES["op8_quality"] = op8_quality
 QUERIES["op9_html_text"] = op9_html_text
 QUERIES["op10_jaccard_join"] = op10_jaccard_join
+QUERIES["op6_repeats"] = op6_repeats
