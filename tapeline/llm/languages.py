@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tapeline.llm.common import batches, held_out, rows_of, text_column, texts
-from tapeline.llm.subwords import Model, Scorer, for_calibration, sample_windows, train, words_of
+from tapeline.llm.subwords import Model, Scorer, draw, for_calibration, sample_windows, train, words_of
 
 WIDTH = 16
 DOCS_PER_LANGUAGE = 2500  # bound of the sample of labelled documents, per language
@@ -48,7 +48,7 @@ class LanguageModel:
 def fit(docs: DataFrame, docs_per_language: int = DOCS_PER_LANGUAGE) -> LanguageModel:
     """Learn from text and lang of the documents that are not held out; without labelled text nothing is recognised."""
     known = docs.filter(~held_out()).select("doc_id", "text", F.col("lang").cast("string").alias("label"))
-    sample = sample_windows(known, docs_per_language, WIDTH, WINDOWS_PER_DOC)
+    sample = sample_windows(*draw(known, docs_per_language), WIDTH, WINDOWS_PER_DOC)
     windows = sample.windows
     if not windows:
         return LanguageModel(None, 1.0, MOST_REJECT)

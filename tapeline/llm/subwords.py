@@ -171,19 +171,22 @@ class Sample:
     share: dict[str, float]
 
 
-def sample_windows(labelled: DataFrame, per_label: int, width: int, per_doc: int, most_labels: int = 1000) -> Sample:
-    """Windows of a bounded sample of labelled documents (doc_id, text, label).
+def draw(marks: DataFrame, per_label: int, most_labels: int = 1000) -> tuple[DataFrame, dict[str, float]]:
+    """About ``per_label`` rows of every label of ``marks`` (doc_id, label, ...) by a hash of the id, and the share drawn."""
+    marks = marks.filter(F.col("label").isNotNull() & F.col("doc_id").isNotNull())
+    counts = marks.groupBy("label").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "label").limit(most_labels).collect()
+    share = {r["label"]: min(1.0, per_label / r["n"]) for r in counts}
+    if not share:
+        return marks.filter("false"), {}
+    limit = F.create_map(*[F.lit(x) for k, s in share.items() for x in (k, int(s * _SAMPLE_UNITS))])
+    return marks.filter(F.pmod(F.xxhash64("doc_id"), F.lit(_SAMPLE_UNITS)) < limit[F.col("label")]), share
 
-    About ``per_label`` documents of every label are taken by a hash of the id, and of each at most ``per_doc`` windows of
-    ``width`` words, evenly spaced over the whole text. The result is bounded by these numbers and the count of labels.
-    """
-    labelled = labelled.filter(F.col("label").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull())
-    counts = {r["label"]: r["n"] for r in labelled.groupBy("label").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "label").limit(most_labels).collect()}
-    if not counts:
+
+def sample_windows(drawn: DataFrame, share: dict[str, float], width: int, per_doc: int) -> Sample:
+    """Windows of ``width`` words of the drawn documents (doc_id, text, label), at most ``per_doc`` of each, evenly spaced over
+    the whole text. The result is bounded by these numbers, the rows drawn per label and the count of labels."""
+    if not share:
         return Sample(np.zeros(0, np.int64), np.zeros(0, object), [], {})
-    share = {k: min(1.0, per_label / n) for k, n in counts.items()}
-    limit = F.create_map(*[F.lit(x) for k, s in share.items() for x in (k, int(s * _SAMPLE_UNITS))])
-    drawn = labelled.filter(F.pmod(F.xxhash64("doc_id"), F.lit(_SAMPLE_UNITS)) < limit[F.col("label")])
 
     def cut(source):
         for batch in batches(source, 256):
@@ -197,7 +200,7 @@ def sample_windows(labelled: DataFrame, per_label: int, width: int, per_doc: int
                         column.append(value)
             yield rows_of(WINDOW, rows)
 
-    found = drawn.select("doc_id", F.col("label").cast("string").alias("label"), "text").mapInArrow(cut, "doc_id long, label string, nth int, words string")
+    found = drawn.filter(F.col("text").isNotNull()).select("doc_id", F.col("label").cast("string").alias("label"), "text").mapInArrow(cut, "doc_id long, label string, nth int, words string")
     got = found.toArrow().sort_by([("doc_id", "ascending"), ("label", "ascending"), ("nth", "ascending"), ("words", "ascending")])
     windows = [w.split() for w in got["words"].to_pylist()]
     return Sample(got["doc_id"].to_numpy(), np.array(got["label"].to_pylist(), dtype=object), windows, share)

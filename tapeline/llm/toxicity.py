@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tapeline.llm.common import batches, held_out, rows_of, text_column, texts
-from tapeline.llm.subwords import Model, Scorer, for_calibration, sample_windows, train, words_of
+from tapeline.llm.subwords import Model, Scorer, draw, for_calibration, sample_windows, train, words_of
 
 WIDTH = 1
 DOCS_PER_LABEL = 1200  # bound of the sample of labelled documents, per class
@@ -72,8 +72,10 @@ def fit(docs: DataFrame, labels: DataFrame, docs_per_label: int = DOCS_PER_LABEL
     model: every score is then 0, or 1 if all labels are toxic.
     """
     marks = labels.filter(F.col("toxic").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max("toxic").cast("string").alias("label"))
-    known = docs.filter(~held_out()).select("doc_id", "text").join(marks, "doc_id")
-    sample = sample_windows(known, docs_per_label, WIDTH, WINDOWS_PER_DOC)
+    drawn, share = draw(marks, docs_per_label)
+    # the drawn rows are bounded by docs_per_label, so the texts need not move
+    known = docs.select("doc_id", "text").join(F.broadcast(drawn.select("doc_id", "label")), "doc_id")
+    sample = sample_windows(known, share, WIDTH, WINDOWS_PER_DOC)
     windows, doc = sample.windows, sample.doc
     classes = set(sample.label)
     if classes != {"0", "1"}:
