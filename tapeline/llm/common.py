@@ -93,7 +93,7 @@ class TokenCache:
             text = piece if self.leading_space else piece.decode()
             ending = _ENDING.fullmatch(text)
             split.append(ending.groups() if ending else (text,))
-        missing = list({x for s in split for x in s} - parts.keys())
+        missing = list({x for s in split for x in s if x not in parts})
         code = "I" if self.wide else "H"
         for text, got in zip(missing, self.tokenizer.encode_batch_fast(missing, add_special_tokens=False)):
             parts[text] = array(code, got.ids).tobytes()
@@ -107,12 +107,12 @@ class TokenCache:
         if len(self.known) > self.limit:
             self.known, self.old, self.parts = {}, self.known, {}
         known, old = self.known, self.old
-        new = set().union(*cut) - known.keys()
+        new = [p for p in set().union(*cut) if p not in known]
         if old:
-            found = new & old.keys()
+            found = [p for p in new if p in old]
             known.update(zip(found, map(old.__getitem__, found)))
-            new -= found
-        self._learn(list(new))
+            new = [p for p in new if p not in known]
+        self._learn(new)
         get = known.__getitem__
         return [np.frombuffer(b"".join(map(get, p)), kind) for p in cut]
 

@@ -48,8 +48,9 @@ class Shingler:
     def word_hashes(self, text: str) -> np.ndarray:
         words = text.encode().translate(_LOWER).split()
         known = self.known
-        for w in set(words) - known.keys():
-            known[w] = xxhash.xxh3_64_intdigest(w)
+        for w in set(words):
+            if w not in known:
+                known[w] = xxhash.xxh3_64_intdigest(w)
         out = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
         if len(known) > self.limit:
             self.known = {}

@@ -149,7 +149,7 @@ class Scorer:
         """One row of class scores per word of every text."""
         if len(self.index) > self.limit:
             self.index, self.known = {}, self.known[:0]
-        new = sorted(set().union(*many) - self.index.keys())
+        new = sorted(w for w in set().union(*many) if w not in self.index)
         for start in range(0, len(new), 20_000):
             part = new[start : start + 20_000]
             self.known = np.concatenate([self.known, self.model.word_scores(part)])
