@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tapeline.llm import jaccard_join, languages, quality, toxicity
 from tapeline.llm.common import held_out, table
+from tapeline.llm.decontaminate import leaks
 from tapeline.llm.html_text import extract
 from tapeline.llm.packing import pack
 from tapeline.llm.repeats import remove_repeats
@@ -67,6 +68,10 @@ def op6_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES["op1_token_files"] = op1_token_files
 QUERIES["op2_packing"] = op2_packing
 QUERIES["op3_warc"] = op3_warc
@@ -76,3 +81,4 @@ QUERIES["op8_quality"] = op8_quality
 QUERIES["op9_html_text"] = op9_html_text
 QUERIES["op10_jaccard_join"] = op10_jaccard_join
 QUERIES["op6_repeats"] = op6_repeats
+QUERIES["op7_decontamination"] = op7_decontamination
