@@ -23,7 +23,7 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tapeline.llm.common import _LOWER, batches, materialize, rows_of, text_column, texts
@@ -117,16 +117,16 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
 
 
 def _documents(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, n_shingles and node (null for empty sets) of every row."""
-    shape = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.int64())])
+    """doc_id, row, n_shingles and node (null for empty sets) of every row."""
+    shape = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.int64())])
 
     def run(source):
         shingler = Shingler(words)
         for batch in batches(source, 512):
             sets = [shingler.shingles(t) for t in texts(batch)]
-            yield rows_of(shape, [batch.column("doc_id"), [len(s) for s in sets], [node_of(s) if len(s) else None for s in sets]])
+            yield rows_of(shape, [batch.column("doc_id"), batch.column("row"), [len(s) for s in sets], [node_of(s) if len(s) else None for s in sets]])
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, node long")
+    return docs.mapInArrow(run, "doc_id long, row long, n_shingles long, node long")
 
 
 def _signature_rows(docs: DataFrame, words: int, percent: int) -> DataFrame:
@@ -205,16 +205,37 @@ def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFra
     smallest id of its component, or null. Other columns are ignored. Components are over the exact links; pairs are not
     listed, as groups of copies have too many.
     """
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_column().alias("text"))
+    return _labelled(docs, words, percent).select("doc_id", "n_shingles", "component_id")
+
+
+def representatives(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """One row of every component: that with the smallest doc_id, all columns kept. Repeated rows become one.
+
+    Rows without id stay where their component has no id. Of equal smallest ids with different texts one stays.
+    """
+    group = F.struct(F.coalesce("component", "row"), F.col("component").isNull().alias("empty"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))["row"]
+    kept = _labelled(docs, words, percent).groupBy(group.alias("_group")).agg(first.alias("_row")).select("_row").distinct()
+    keyed = docs.withColumn("_row", _row_key())
+    return keyed.join(materialize(kept), "_row", "left_semi").dropDuplicates(["_row"]).drop("_row")
+
+
+def _row_key() -> Column:
+    return F.xxhash64(F.col("doc_id").cast("long"), text_column())
+
+
+def _labelled(docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """doc_id, row, n_shingles, component (null for empty sets) and component_id."""
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _row_key().alias("row"), text_column().alias("text"))
     members = materialize(_documents(slim, words))
     sigs = materialize(_signature_rows(slim, words, percent))
     # equal documents have the same node and signatures, so a bucket matters if two of its nodes differ
     buckets = sigs.groupBy("sig").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter(F.col("low") != F.col("high"))
     inside = materialize(sigs.join(buckets.select("sig"), "sig").distinct())
-    found = _components(slim, members, inside, words, percent)
-    labelled = members.join(found, "node", "left").withColumn("_component", F.coalesce("component", "node"))
-    least = labelled.filter(F.col("node").isNotNull()).groupBy("_component").agg(F.min("doc_id").alias("_least"))
-    return labelled.join(least, "_component", "left").select("doc_id", "n_shingles", F.coalesce("_least", "doc_id").alias("component_id"))
+    found = _components(slim.select("doc_id", "text"), members, inside, words, percent)
+    labelled = members.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    least = labelled.filter(F.col("node").isNotNull()).groupBy("component").agg(F.min("doc_id").alias("_least"))
+    return labelled.join(least, "component", "left").select("doc_id", "row", "n_shingles", "component", F.coalesce("_least", "doc_id").alias("component_id"))
 
 
 def _components(slim: DataFrame, members: DataFrame, inside: DataFrame, words: int, percent: int) -> DataFrame:

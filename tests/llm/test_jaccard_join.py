@@ -7,7 +7,7 @@ import pytest
 
 from tapeline.llm.common import table
 from tapeline.llm.components import components
-from tapeline.llm.jaccard_join import Shingler, join, linked, signatures, size_classes
+from tapeline.llm.jaccard_join import Shingler, join, linked, representatives, signatures, size_classes
 from tests.llm.conftest import AWKWARD
 
 
@@ -102,7 +102,11 @@ def test_awkward_rows(spark, docs_of):
     rows = [(5, "x y z"), (5, "x y z"), (None, "x y z"), (7, "other text here"), (7, "x y z"), (None, "alone")]
     got = sorted(map(tuple, join(docs_of(rows)).collect()), key=str)
     assert got == sorted([(5, 1, 5), (5, 1, 5), (None, 1, 5), (7, 1, 7), (7, 1, 5), (None, 1, None)], key=str)
-    assert join(docs_of([])).count() == 0
+    kept = representatives(docs_of([*rows, (8, ""), (8, ""), (9, None)], extra=True))
+    assert sorted(((r["doc_id"], r["text"], r["path"]) for r in kept.collect()), key=str) == sorted(
+        [(5, "x y z", "clash"), (7, "other text here", "clash"), (None, "alone", "clash"), (8, "", "clash"), (9, None, "clash")], key=str
+    )
+    assert join(docs_of([])).count() == 0 and representatives(docs_of([])).count() == 0
 
 
 def test_short_texts():
