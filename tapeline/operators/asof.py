@@ -23,6 +23,7 @@ def asof_join(
 ) -> DataFrame:
     """Add ``columns`` of the newest ``right`` row at or before (``strict``: before) each left row.
 
+    Of right rows with equal times the one with the largest ``columns``, compared in order, counts.
     Both sides are merged inside time buckets of ``rows * seconds``, so no task holds a whole key. A bucket inherits
     the last right row of earlier buckets through one summary row per bucket.
     """
@@ -36,10 +37,10 @@ def asof_join(
     )
     lefts = lefts.withColumn("_pick", F.lit(None).cast(rights.schema["_pick"].dataType)).withColumn("_left", F.lit(True))
     merged = lefts.unionByName(rights.withColumn("_left", F.lit(False)), allowMissingColumns=True)
-    order = Window.partitionBy(*keys, "_bucket").orderBy(ts, "_side").rowsBetween(Window.unboundedPreceding, 0)
+    order = Window.partitionBy(*keys, "_bucket").orderBy(ts, "_side", "_pick").rowsBetween(Window.unboundedPreceding, 0)
     local = merged.withColumn("_seen", F.last("_pick", ignorenulls=True).over(order)).filter("_left")
 
-    tops = rights.groupBy(*keys, "_bucket").agg(F.max_by("_pick", ts).alias("_top"))
+    tops = rights.groupBy(*keys, "_bucket").agg(F.max_by("_pick", F.struct(ts, "_pick")).alias("_top"))
     tops = materialize(tops)
     spine = lefts.select(*keys, "_bucket").distinct().join(tops, [*keys, "_bucket"], "full")
     earlier = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)

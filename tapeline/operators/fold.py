@@ -47,9 +47,9 @@ def _guess(step: StepFn, pdf: pd.DataFrame, inputs: Sequence[str]) -> list:
 
 def _same(a: str, b: str):
     """Equal lengths and values, up to the rounding noise of a contracting recurrence."""
-    close = F.zip_with(
-        a, b, lambda x, y: x.eqNullSafe(y) | (F.abs(x - y) <= _TOLERANCE * F.greatest(F.abs(x), F.abs(y)))
-    )
+    # Spark counts NaN as larger than every number, so a distance that is NaN must not be compared
+    near = lambda x, y: ~F.isnan(x) & ~F.isnan(y) & (F.abs(x - y) <= _TOLERANCE * F.greatest(F.abs(x), F.abs(y)))
+    close = F.zip_with(a, b, lambda x, y: x.eqNullSafe(y) | F.coalesce(near(x, y), F.lit(False)))
     return (F.size(a) == F.size(b)) & F.forall(close, lambda ok: ok)
 
 

@@ -5,13 +5,16 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.sql import Column
+from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
 from tapeline.operators.fold import fold_step
-from tapeline.operators.layout import POS, Laid
-from tapeline.operators.scans import decayed_sum, ewm_adjusted, ewm_columns, fade_rows, rolling, shift
+from tapeline.operators.layout import CHUNK, CORE, POS, Laid, spread
+from tapeline.operators.scans import affine_sum, decayed_sum, ewm_adjusted, ewm_columns, fade_rows, rolling, shift
 from tapeline.operators.steps import Step, dropping
+from tapeline.session import materialize
+
+LONGEST_FADE = 700.0  # a weight of one forgets everything; exp(-700) is still a double
 
 
 def span_decay(n: float) -> float:
@@ -187,11 +190,8 @@ def kalman(length: int, x: str = "close", out: str = "kalman", noise: float = 0.
         ratio = F.pow(F.lit(rate), (F.col(POS) - 1).cast("double")) * start
         error = (high - ratio * low) / (F.lit(1.0) - ratio)
         gain = F.when(F.col(POS) == 0, F.lit(1.0)).otherwise(error / (error + m))
-        keep = F.when(F.col("_slot") == 0, F.lit(0.0)).otherwise(F.log1p(-gain))
-        laid = laid.add({"_gain": gain, "_log": F.when(F.col(POS) == 0, F.lit(0.0)).otherwise(keep)})
-        laid = laid.add({"_log": F.sum("_log").over(laid.prefix())})
-        laid = laid.add({out: F.sum(F.col(x) * F.col("_gain") * F.exp(-F.col("_log"))).over(laid.prefix())})
-        return laid.add({out: F.col(out) * F.exp("_log")}).drop("_gain", "_log")
+        laid = laid.add({"_b": F.col(x) * gain, "_fade": F.when(F.col(POS) == 0, F.lit(0.0)).otherwise(-F.log1p(-gain))})
+        return laid.on(affine_sum(laid.df, [*laid.keys, CHUNK], POS, "_b", "_fade", out)).drop("_b", "_fade")
 
     return Step(apply, fade_rows(steady))
 
@@ -227,10 +227,25 @@ def vidya(n: int = 10, momentum: int = 20, x: str = "close", out: str = "vidya",
         ratio = F.abs(F.try_divide(up - down, up + down))
         return laid.add({"_w": F.coalesce(ratio, F.lit(0.0)) * alpha}).drop("_up", "_down")
 
-    def step(state, row):
-        price, w = row
-        value = w * price + (1.0 - w) * state[0] if state else price
-        return [value], [value]
-
-    core = Step(weight, momentum + 1) >> fold_step(step, [x, "_w"], ["_level"], warmup=512, tail=smooth + tail)
+    def level(laid: Laid) -> Laid:
+        """The weight may be zero for long, so no overlap is long enough: chunks start from zero and the level each
+        chunk is entered with is added, faded by its own weights. Between chunks the same recurrence runs over one row each."""
+        keys = [*laid.keys, CHUNK]
+        first = F.col(POS) == 0
+        core = laid.df.filter(CORE).withColumns(
+            {
+                "_b": F.when(first, F.col(x)).otherwise(F.col(x) * F.col("_w")),
+                "_fade": F.when(first, F.lit(0.0)).otherwise(F.least(-F.log1p(-F.col("_w")), F.lit(LONGEST_FADE))),
+            }
+        )
+        core = affine_sum(core, keys, POS, "_b", "_fade", "_local")
+        tops = materialize(core.groupBy(*keys).agg(F.max_by("_local", POS).alias("_b"), F.sum("_fade").alias("_fade")))
+        ends = affine_sum(tops, list(laid.keys), CHUNK, "_b", "_fade", "_end")
+        entered = ends.select(*laid.keys, (F.col(CHUNK) + 1).alias(CHUNK), F.col("_end").alias("_entry"))
+        age = F.sum("_fade").over(Window.partitionBy(*keys).orderBy(POS).rowsBetween(Window.unboundedPreceding, 0))
+        core = core.join(entered, keys, "left").withColumn("_age", age)
+        core = core.withColumn("_level", F.col("_local") + F.coalesce(F.col("_entry") * F.exp(-F.col("_age")), F.lit(0.0)))
+        return spread(core.drop("_b", "_fade", "_local", "_entry", "_age"), laid.rows, smooth + tail, 0, laid.keys)
+
+    core = Step(weight, momentum + 1) >> Step(level)
     return dropping(core >> sma(smooth, "_level", out), "_w", "_level")

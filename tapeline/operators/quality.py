@@ -35,7 +35,9 @@ def parse_timestamp(col: Column) -> Column:
     text = F.regexp_replace(F.trim(col.cast("string")), r"(\.\d+)?(Z|[+-]\d{2}:?\d{2})?$", "")
     whole = F.regexp_replace(F.trim(col.cast("string")), r"(Z|[+-]\d{2}:\d{2})$", "")
     tries = [F.try_to_timestamp(text, F.lit(f)).cast("timestamp_ntz") for f in TIME_FORMATS]
-    return F.coalesce(whole.try_cast("timestamp_ntz"), *tries)
+    # all digits (with a fraction): seconds since 1970; eight digits and fewer are no time of a market
+    seconds = F.when(text.rlike(r"^\d{9,}$"), F.timestamp_seconds(F.trim(col.cast("string")).try_cast("double")).cast("timestamp_ntz"))
+    return F.coalesce(seconds, whole.try_cast("timestamp_ntz"), *tries)
 
 
 def has_zone(col: Column) -> Column:
@@ -185,10 +187,13 @@ def align(features: DataFrame, target: DataFrame, keys: Sequence[str] = ("symbol
     return features.join(target, keys)
 
 
-def output_checks(df: DataFrame, features: Sequence[str]) -> DataFrame:
-    """One row: number of infinite values and of rows whose time stamp is not unique."""
+def output_checks(df: DataFrame, features: Sequence[str], seq: str | None = None) -> DataFrame:
+    """One row: infinite values, time stamps that are not unique, features that are no numbers and, with ``seq``, rows out of order."""
     infinite = sum((F.count_if(F.abs(F.col(f)) == float("inf")) for f in features[1:]), F.count_if(F.abs(F.col(features[0])) == float("inf")))
     bad = df.agg(infinite.alias("infinite_values"))
     copies = duplicates(df).agg(F.count("*").alias("duplicate_times"))
-    return bad.join(copies, F.lit(True))
+    numeric = {"byte", "short", "integer", "long", "float", "double", "decimal"}
+    other = sum(df.schema[f].dataType.typeName() not in numeric for f in features)
+    out = bad.join(copies, F.lit(True)).withColumn("not_numeric", F.lit(other))
+    return out if seq is None else out.join(order_violations(df, seq).agg(F.count("*").alias("out_of_order")), F.lit(True))
 

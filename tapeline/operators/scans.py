@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapeline.operators.layout import CHUNK, CORE, POS, SLOT, Laid
@@ -53,6 +53,27 @@ def decayed_sum(laid: Laid, b: Column, q: float) -> Column:
     return F.when(slot % (2 * half) >= half, grids[0]).otherwise(grids[1])
 
 
+def affine_sum(rows: DataFrame, keys: list[str], order: str, b: str, fade: str, out: str) -> DataFrame:
+    """``x[t] = exp(-fade[t]) * x[t-1] + b[t]`` from zero, with a weight per row; ``fade`` is at least zero.
+
+    Running sums of ``b * exp(age)``, scaled back, where ``age`` is the running sum of ``fade``. Ages beyond the double range
+    are cut into blocks: two block grids lie half a block apart and every row reads the one in which it is in the second
+    half, so what lies before its block has faded below double precision.
+    """
+    half = SAFE_EXPONENT / 2
+    age = F.sum(fade).over(Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
+    rows = rows.withColumn("_age", age)
+    found = {}
+    for name, start in (("_a", 0.0), ("_b", half)):
+        block = F.floor((F.col("_age") + start) / (2 * half))
+        # the first block starts at age zero
+        place = F.col("_age") - F.greatest(block * (2 * half) - start, F.lit(0.0))
+        frame = Window.partitionBy(*keys, block).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+        found[name] = F.sum(F.col(b) * F.exp(place)).over(frame) * F.exp(-place)
+    second = F.pmod(F.col("_age"), F.lit(2 * half)) >= half
+    return rows.withColumns(found).withColumn(out, F.when(second, F.col("_a")).otherwise(F.col("_b"))).drop("_age", "_a", "_b")
+
+
 def ewm_adjusted(laid: Laid, x: Column, q: float) -> Column:
     """Exponential mean whose weights are divided by their sum; null where the input is null."""
     weight = decayed_sum(laid, F.when(x.isNotNull(), F.lit(1.0)), q)

@@ -73,7 +73,7 @@ register(
 register(
     "quality_output_checks",
     lambda s, d: quality.output_checks(build_features(daily(s, d), DAY), feature_names()),
-    "SELECT 0::BIGINT AS infinite_values, 0::BIGINT AS duplicate_times",
+    "SELECT 0::BIGINT AS infinite_values, count(*) FILTER (n > 1) AS duplicate_times, 0 AS not_numeric FROM (SELECT o_orderpriority, o_orderdate::DATE AS d, count(DISTINCT o_orderdate) AS n FROM orders GROUP BY 1, 2)",
 )
 register(
     "quality_mixed_timestamps",

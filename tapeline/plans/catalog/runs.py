@@ -33,7 +33,7 @@ register("research_rule_run", rule_run, _RULE_SQL.replace(", 4) AS", ", 6) AS"))
 
 
 def _model_run(s, d, name):
-    tables = research.research_run(daily(s, d), DAY, research.Settings(iterations=100))
+    tables = research.research_run(daily(s, d), DAY, research.Settings())
     return tables[name]
 
 

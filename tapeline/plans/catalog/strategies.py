@@ -191,17 +191,13 @@ register("strategy_abcd", _abcd)
 _CROSS = sweeps.DEFAULT_GRIDS["ema_cross"]
 
 
-def capped_grid(spark):
-    return sweeps.cap_by_hash(sweeps.param_grid(spark, _CROSS), "orders|1d|ema_cross")
-
-
 _GRID_SQL = f"""g AS (SELECT f AS fast_period, s AS slow_period, '(''' || f || ''', ''' || s || ''')' AS combo FROM (SELECT unnest({_CROSS['fast_period']}) AS f) a, (SELECT unnest({_CROSS['slow_period']}) AS s) b),
-c AS MATERIALIZED (SELECT * FROM g ORDER BY sha256('orders|1d|ema_cross:' || combo) LIMIT 50)"""
+c AS MATERIALIZED (SELECT * FROM g)"""
 
 
 def sweep_params(spark):
-    """The capped grid as a list; invalid pairs are left out."""
-    rows = sorted((r.fast_period, r.slow_period) for r in capped_grid(spark).collect())
+    """Every valid pair of the grid as a list: one row per pair, whatever the data."""
+    rows = sorted((r.fast_period, r.slow_period) for r in sweeps.param_grid(spark, _CROSS).collect())
     return [{"fast_period": f, "slow_period": s} for f, s in rows if f < s]
 
 
@@ -252,10 +248,21 @@ rs AS MATERIALIZED (SELECT split_part(k, '|', 1) AS symbol, CAST(split_part(k, '
   max(pk - bal) / max(pk) * 100 AS max_drawdown, sum(profit) + 5000 AS final_balance FROM bp GROUP BY k)"""
 _RES_SQL = "symbol, param_id, total_trades, round(roi, 4) AS roi, round(winrate, 4) AS winrate, round(profit_factor, 4) AS profit_factor, round(max_drawdown, 4) AS max_drawdown, round(final_balance, 4) AS final_balance"
 _PLAIN = ("symbol", "param_id", "total_trades")
+
+
+def _capped(s, d):
+    """Results of the ten combinations that a cap by hash keeps: the cap is the operator here."""
+    kept = sweeps.cap_by_hash(sweeps.param_grid(s, _CROSS), "orders|1d|ema_cross", 10).select("fast_period", "slow_period", "combo")
+    numbered = s.createDataFrame([(i, p["fast_period"], p["slow_period"]) for i, p in enumerate(sweep_params(s))], "param_id int, fast_period int, slow_period int")
+    done = sweep_results(s, d).filter("status = 'success'").join(numbered, "param_id").join(kept, ["fast_period", "slow_period"])
+    return rounded(done, 4, "roi", plain=("symbol", "fast_period", "slow_period", "combo", "total_trades"))
+
+
 register(
     "sweep_grid_capped",
-    lambda s, d: capped_grid(s).join(daily(s, d).groupBy("symbol").agg(F.count("*").alias("bars")), F.lit(True)),
-    f"WITH {DAILY_SQL}, {_GRID_SQL} SELECT fast_period, slow_period, combo, symbol, bars FROM c, (SELECT symbol, count(*) AS bars FROM b GROUP BY 1) n",
+    _capped,
+    f"""{SWEEP_SQL}, ck AS (SELECT * FROM g ORDER BY sha256('orders|1d|ema_cross:' || combo) LIMIT 10)
+    SELECT symbol, fast_period, slow_period, ck.combo, total_trades, round(roi, 4) AS roi FROM rs JOIN pr USING (param_id) JOIN ck USING (fast_period, slow_period)""",
 )
 register("sweep_results", lambda s, d: rounded(sweep_results(s, d).filter("status = 'success'"), 4, *_RES, plain=_PLAIN), f"{SWEEP_SQL} SELECT {_RES_SQL} FROM rs")
 register(

@@ -77,11 +77,11 @@ def fit_logistic(
     train: DataFrame, features: Sequence[str], target: str, c: float = 1.0, iterations: int = 1000, population: bool = False
 ) -> Fitted:
     """L2 logistic regression on scaled features; one class only gives that class as a constant."""
-    counts = train.groupBy(target).agg(F.count("*").alias("n")).orderBy(F.desc("n"), target).limit(3).collect()
+    seen = train.agg(F.count("*").alias("n"), F.min(target).alias("low"), F.max(target).alias("high")).first()
     scaler = fit_scaler(train, features, population)
-    if len(counts) < 2:
-        return Fitted(tuple(features), target, scaler, None, float(counts[0][target]), "logistic")
-    rows = sum(r.n for r in counts)
+    if seen.low == seen.high:
+        return Fitted(tuple(features), target, scaler, None, float(seen.low), "logistic")
+    rows = seen.n
     stage = LogisticRegression(
         featuresCol="_features", labelCol=target, regParam=1.0 / (c * rows), elasticNetParam=0.0, standardization=False,
         maxIter=iterations, tol=1e-8,

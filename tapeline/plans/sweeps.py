@@ -15,8 +15,6 @@ from tapeline.operators.metrics import balance_curve, max_drawdown, trade_metric
 from tapeline.operators.scans import shift
 from tapeline.operators.trades import bar_trades, fixed_risk_lot, money_per_point
 
-MAX_TRIALS = 50
-
 # Default grids per indicator.
 DEFAULT_GRIDS = {
     "ema": {"window": [5, 10, 15, 20, 30, 40, 50, 70, 100, 150, 170, 200]},
@@ -47,9 +45,9 @@ def param_grid(spark: SparkSession, values: dict[str, Sequence]) -> DataFrame:
     return grid.withColumn("combo", F.concat(F.lit("("), inner, comma))
 
 
-def cap_by_hash(grid: DataFrame, seed: str, limit: int = MAX_TRIALS) -> DataFrame:
-    """At most ``limit`` combinations, those with the smallest SHA-256 of ``seed:combo``."""
-    return grid.orderBy(F.sha2(F.concat(F.lit(f"{seed}:"), "combo"), 256)).limit(limit)
+def cap_by_hash(grid: DataFrame, seed: str, limit: int | None = None) -> DataFrame:
+    """The whole grid, or with ``limit`` at most that many combinations, those with the smallest SHA-256 of ``seed:combo``."""
+    return grid if limit is None else grid.orderBy(F.sha2(F.concat(F.lit(f"{seed}:"), "combo"), 256)).limit(limit)
 
 
 def risk_grid(
@@ -66,16 +64,14 @@ def risk_grid(
 
 
 def with_params(bars: DataFrame, params: Sequence[dict]) -> DataFrame:
-    """Every bar once per parameter set (a short list by construction) with ``param_id`` and the parameters.
+    """Every bar once per parameter set with ``param_id`` and the parameters.
 
-    Positions are taken before the copies are made.
+    Positions are taken before the copies are made. The sets are one constant of the plan, however many there are.
     """
-    if len(params) > 4 * MAX_TRIALS:
-        raise ValueError("cap the grid first")
-    names = list(params[0])
-    sets = F.array(
-        *[F.struct(F.lit(i).alias("param_id"), *[F.lit(p[n]).alias(n) for n in names]) for i, p in enumerate(params)]
-    )
+    kinds = {bool: "boolean", int: "long", float: "double", str: "string"}
+    shape = "param_id int, " + ", ".join(f"{n} {kinds[type(v)]}" for n, v in params[0].items())
+    told = json.dumps([{"param_id": i, **p} for i, p in enumerate(params)])
+    sets = F.from_json(F.lit(told), f"array<struct<{shape.replace(' ', ':').replace(',:', ',')}>>")
     return bars.withColumn("_p", F.explode(sets)).select("*", "_p.*").drop("_p")
 
 
@@ -123,7 +119,7 @@ def sweep_metrics(
         "profit_factor", "max_drawdown", (F.col("net_profit") + initial_balance).alias("final_balance"), F.col("net_profit").alias("total_profit"),
     )
     base = universe if universe is not None else trades.select(*keys).distinct()
-    every = base.withColumn("param_id", F.explode(F.array(*[F.lit(i) for i in range(len(params))])))
+    every = base.withColumn("param_id", F.explode(F.sequence(F.lit(0), F.lit(len(params) - 1))))
     joined = every.join(rows, by, "left")
     return joined.withColumn("status", F.when(F.col("total_trades").isNull(), "no_trades").otherwise("success"))
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import MapType, StringType, StructField, StructType
 
-from tapeline.operators.quality import canonicalize, content_hash, dataset_summary, dedupe, normalize_ts, require_valid
+from tapeline.operators.quality import canonicalize, content_hash, dataset_summary, dedupe, mixed_zones, normalize_ts, order_violations, require_valid
 from tapeline.schema import LOG
 
 
@@ -23,13 +23,30 @@ def _numbers(df: DataFrame, names) -> DataFrame:
     return df.withColumns({n: F.col(n).try_cast("double") for n in names if n in df.columns})
 
 
+def _timed(df: DataFrame) -> DataFrame:
+    """``ts`` read from text; times that cannot be read, and times with and without a zone in one table, raise ``ValueError``."""
+    if df.schema["ts"].dataType.typeName() == "string" and mixed_zones(df, "ts").first().mixed:
+        raise ValueError("times with and without a zone")
+    timed = normalize_ts(df)
+    broken = timed.filter(F.col("ts_problem").isNotNull()).select("ts_problem").limit(1).collect()
+    if broken:
+        raise ValueError(broken[0].ts_problem)
+    return timed.drop("ts_problem")
+
+
+def _all_timed(df: DataFrame) -> DataFrame:
+    """The table, or ``ValueError`` when a row has no time."""
+    if not df.filter(F.col("ts").isNull()).isEmpty():
+        raise ValueError("unreadable timestamp")
+    return df
+
+
 def read_bars_csv(spark: SparkSession, path: str, symbol: str) -> DataFrame:
     """``timestamp,open,high,low,close[,volume]``; bad prices and duplicate times raise ``ValueError``."""
     raw = _csv(spark, path)
     named = raw.toDF(*[_plain(c) for c in raw.columns])
     bars = canonicalize(_numbers(named, ("open", "high", "low", "close", "volume")).withColumn("symbol", F.lit(symbol)))
-    bars = normalize_ts(bars).drop("ts_problem")
-    return dedupe(require_valid(bars), "reject")
+    return dedupe(require_valid(_timed(bars)), "reject")
 
 
 def _terminal_time(date: Column, time: Column) -> Column:
@@ -38,8 +55,11 @@ def _terminal_time(date: Column, time: Column) -> Column:
     return text.try_cast("timestamp_ntz")
 
 
-def read_terminal_bars(spark: SparkSession, path: str, symbol: str, limit: int | None = None) -> DataFrame:
-    """Tab-separated terminal export ``<DATE> <TIME> <OPEN> <HIGH> <LOW> <CLOSE>`` with ``<TICKVOL>`` or ``<VOL>``."""
+def read_terminal_bars(spark: SparkSession, path: str, symbol: str, newest: int | None = None) -> DataFrame:
+    """Tab-separated terminal export ``<DATE> <TIME> <OPEN> <HIGH> <LOW> <CLOSE>`` with ``<TICKVOL>`` or ``<VOL>``.
+
+    Every row is checked; ``newest`` then keeps the last rows by time.
+    """
     raw = _csv(spark, path, "\t")
     named = raw.toDF(*[_plain(c) for c in raw.columns])
     volume = "tickvol" if "tickvol" in named.columns else "vol"
@@ -48,7 +68,8 @@ def read_terminal_bars(spark: SparkSession, path: str, symbol: str, limit: int |
         F.lit(symbol).alias("symbol"), _terminal_time(F.col("date"), F.col("time")).alias("ts"), *cols,
         (F.col(volume).try_cast("double") if volume in named.columns else F.lit(0.0)).alias("volume"),
     )
-    return require_valid(bars.limit(limit) if limit else bars)
+    checked = dedupe(require_valid(_all_timed(bars)), "reject")
+    return checked.orderBy(F.desc("ts")).limit(newest) if newest else checked
 
 
 def read_terminal_ticks(spark: SparkSession, path: str, symbol: str) -> DataFrame:
@@ -69,7 +90,7 @@ def read_ticks_csv(spark: SparkSession, path: str, symbol: str) -> DataFrame:
     named = raw.toDF(*[_plain(c) for c in raw.columns])
     bid = "bid" if "bid" in named.columns else "price"
     ask = F.col("ask").try_cast("double") if "ask" in named.columns else F.lit(None).cast("double")
-    ticks = normalize_ts(named.withColumnRenamed("timestamp", "ts")).select(
+    ticks = _timed(named.withColumnRenamed("timestamp", "ts")).select(
         F.lit(symbol).alias("symbol"), "ts", F.col(bid).try_cast("double").alias("bid"), ask.alias("ask"),
         F.monotonically_increasing_id().alias("seq"),
     )
@@ -83,8 +104,13 @@ def read_dataset_csv(spark: SparkSession, path: str, symbol: str, expected_rows:
     """
     raw = _csv(spark, path)
     named = raw.toDF(*[_plain(c) for c in raw.columns])
-    bars = canonicalize(_numbers(named, ("open", "high", "low", "close", "volume")).withColumn("symbol", F.lit(symbol)))
-    bars = dedupe(require_valid(normalize_ts(bars).drop("ts_problem"), check_volume="volume" in bars.columns), "reject")
+    numbered = named.withColumns({"symbol": F.lit(symbol), "_seq": F.monotonically_increasing_id()})
+    bars = _timed(canonicalize(_numbers(numbered, ("open", "high", "low", "close", "volume"))))
+    bars = dedupe(require_valid(bars, check_volume="volume" in bars.columns), "reject")
+    # file order: rows are numbered by split and place, so the ranges that are compared follow the file
+    if not order_violations(bars, "_seq").isEmpty():
+        raise ValueError("times do not increase")
+    bars = bars.drop("_seq")
     if expected_rows is not None:
         found = bars.count()
         if found != expected_rows:
@@ -99,7 +125,7 @@ def load_dataset(
     raw = _csv(spark, path).withColumn("_seq", F.monotonically_increasing_id())
     named = raw.toDF(*[_plain(c) for c in raw.columns])
     bars = canonicalize(_numbers(named, ("open", "high", "low", "close", "volume", "tick_volume")).withColumn("symbol", F.lit(symbol)))
-    bars = require_valid(normalize_ts(bars).drop("ts_problem"))
+    bars = require_valid(_timed(bars))
     bars = dedupe(bars, policy, order="_seq").drop("_seq")
     summary = dataset_summary(bars, timeframe, source or path, version=version, policy=policy)
     return bars, summary.join(content_hash(bars, f"{symbol}|{timeframe}|{version}"), F.lit(True))

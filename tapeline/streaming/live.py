@@ -152,15 +152,16 @@ def live_alerts(log: DataFrame, cooldown: float = 300.0, delay: str = "1 hour")
     """Alert rows, at most one per level, event and message within ``cooldown`` seconds of event time.
 
     ``log``: ts (TIMESTAMP), level, event, message. Rows of one second are thinned to one before the shuffle, which
-    bounds what a frequent message brings into a task; a state is forgotten when the watermark passes its cooldown.
+    bounds what a frequent message brings into a task (equal times only if the cooldown is below a second); a state is forgotten when the watermark passes its cooldown.
     """
     keys = ["level", "event", "message"]
     shape = StructType([StructField(k, StringType()) for k in keys] + [StructField("ts", TimestampType())])
     store = StructType([StructField("sent", LongType())])
+    grain = "s" if cooldown >= 1 else "us"  # a shorter cooldown than the grain would lose alerts
 
     def thin(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            second = pdf["ts"].dt.floor("s")
+            second = pdf["ts"].dt.floor(grain)
             yield pdf.assign(_s=second).sort_values("ts").drop_duplicates([*keys, "_s"]).drop(columns="_s")
 
     def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
