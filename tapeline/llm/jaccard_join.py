@@ -8,16 +8,17 @@ The join works on groups of similar documents and a token-group matrix.
    Sets of similar size deal alike and every part is hashed, so linked sets share a signature: no link is lost.
 3. In every signature bucket the members are compared with one hub (the member that shares most), which is linear in the
    bucket. Linked members form components; most buckets then lie inside one component and are done.
-4. The documents of all other buckets are partitioned into groups (documents that share such buckets). The token-group
-   matrix counts, per group and shingle, the members that have it. A document can link with another member only if at
-   least 0.9 of its shingles occur in the union of the others, so documents below that bound are left closed.
-5. What is left of the buckets is opened: members of different components are compared one by one.
+4. The documents of all other buckets are partitioned into groups of similar ones: those that share such buckets, of about
+   the same size, at most about ``GROUP`` in a group. A group keeps the union of its shingles and, as a token-group matrix,
+   which members have each. A document can link with a member only if at least 0.9 of its shingles are in the union; groups
+   below that bound stay closed. In an opened group the matrix gives the overlap with every member at once.
 
 Sets are taken from whole texts each time they are needed; what is shuffled are hashes and, for compared documents, texts.
 """
 
 from __future__ import annotations
 
+import math
 from functools import cache
 
 import numpy as np
@@ -31,6 +32,7 @@ from tapeline.llm.components import components
 
 WORDS = 3
 PERCENT = 90
+GROUP = 256  # documents in a group
 _MIX = [np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9), np.uint64(0x27D4EB2F165667C5), np.uint64(0x85EBCA77C2B2AE63)]
 
 
@@ -116,31 +118,18 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
-def _documents(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, row, n_shingles and node (null for empty sets) of every row."""
-    shape = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.int64())])
-
-    def run(source):
-        shingler = Shingler(words)
-        for batch in batches(source, 512):
-            sets = [shingler.shingles(t) for t in texts(batch)]
-            yield rows_of(shape, [batch.column("doc_id"), batch.column("row"), [len(s) for s in sets], [node_of(s) if len(s) else None for s in sets]])
-
-    return docs.mapInArrow(run, "doc_id long, row long, n_shingles long, node long")
-
-
-def _signature_rows(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    shape = pa.schema([("sig", pa.int64()), ("node", pa.int64())])
+def _documents(docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """doc_id, row, n_shingles, node (null for empty sets) and signatures of every row."""
+    shape = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.int64()), ("sigs", pa.list_(pa.int64()))])
 
     def run(source):
         shingler = Shingler(words)
         for batch in batches(source, 256):
             sets = [shingler.shingles(t) for t in texts(batch)]
-            found = [(signatures(s, percent), node_of(s)) for s in sets if len(s)]
-            if found:
-                yield rows_of(shape, [np.concatenate([s for s, _ in found]), np.repeat(np.array([n for _, n in found], np.int64), [len(s) for s, _ in found])])
+            nodes = [node_of(s) if len(s) else None for s in sets]
+            yield rows_of(shape, [batch.column("doc_id"), batch.column("row"), [len(s) for s in sets], nodes, [signatures(s, percent) for s in sets]])
 
-    return docs.select("text").mapInArrow(run, "sig long, node long")
+    return docs.mapInArrow(run, "doc_id long, row long, n_shingles long, node long, sigs array<long>")
 
 
 def _texts_of(docs: DataFrame, members: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
@@ -181,20 +170,86 @@ def _links(pairs: DataFrame, whole: DataFrame, words: int, percent: int) -> Data
     return both.select("a", "b", "left", "right").mapInArrow(run, "a long, b long")
 
 
-def _shared_tokens(whole: DataFrame, groups: DataFrame, words: int) -> DataFrame:
-    """The token-group matrix, read per document: node, size of its set and how many of its shingles other members have."""
-    shape = pa.schema([("group", pa.int64()), ("token", pa.int64()), ("node", pa.int64())])
+def open_groups(members: list[tuple[int, int, np.ndarray]], percent: int) -> list[tuple[int, int]]:
+    """Links between documents of different components: at most one fewer than there are components.
+
+    ``members``: side (0 query, 1 group, 2 both), component and set. Side 1 and 2 are the group that the queries meet.
+    """
+    group = [(c, s) for side, c, s in members if side > 0]
+    if not group:
+        return []
+    owner = np.repeat(np.arange(len(group)), [len(s) for _, s in group])
+    tokens = np.concatenate([s for _, s in group])
+    order = np.argsort(tokens, kind="stable")
+    tokens, owner = tokens[order], owner[order]
+    sizes = np.array([len(s) for _, s in group])
+    root: dict[int, int] = {}
+
+    def find(c: int) -> int:
+        while root.get(c, c) != c:
+            c = root[c]
+        return c
+
+    out = []
+    for side, component, query in members:
+        if side == 1:
+            continue
+        low, high = np.searchsorted(tokens, query, "left"), np.searchsorted(tokens, query, "right")
+        if 100 * int((high > low).sum()) < percent * len(query):
+            continue  # closed: too few of the query's shingles are in the union
+        runs = high - low
+        cells = np.repeat(low - np.concatenate([[0], np.cumsum(runs)[:-1]]), runs) + np.arange(runs.sum())
+        shared = np.bincount(owner[cells], minlength=len(group))
+        for k in np.flatnonzero(100 * shared >= percent * (len(query) + sizes - shared)):
+            a, b = find(component), find(group[k][0])
+            if a != b:
+                root[max(a, b)] = min(a, b)
+                out.append((component, group[k][0]))
+    return out
+
+
+def _group_links(rows: DataFrame, whole: DataFrame, words: int, percent: int) -> DataFrame:
+    """Links (a, b) between components; ``rows``: blob, node, component and size of the documents to compare.
+
+    Sets that link are of one size class or of two neighbouring ones. Every class of a blob is dealt into groups of about
+    ``GROUP`` documents by hash, and each group meets the others of its own and the next class, so a task holds two groups
+    whatever the size of the blob, and a blob that fits one group moves at most three times.
+    """
+    classed = rows.withColumn("s", F.floor(F.log(F.col("size")) / (math.log(100 / percent) * 1.001)))
+    dealt = classed.groupBy("blob", "s").agg(F.greatest(F.ceil(F.count("*") / GROUP), F.lit(1)).alias("n"))
+    dealt = materialize(dealt)
+    beside = lambda shift, name: dealt.select("blob", (F.col("s") + shift).alias("s"), F.col("n").alias(name))
+    placed = classed.join(dealt, ["blob", "s"]).join(beside(-1, "above"), ["blob", "s"], "left").join(beside(1, "below"), ["blob", "s"], "left")
+    placed = placed.withColumn("i", F.pmod(F.xxhash64("node"), F.col("n")))
+
+    def meetings(count: str, low, i, high, j, side) -> Column:
+        every = F.when(F.col(count).isNotNull(), F.sequence(F.lit(0).cast("long"), F.col(count) - 1)).otherwise(F.array().cast("array<bigint>"))
+        return F.transform(every, lambda k: F.struct(F.xxhash64("blob", low, i(k), high, j(k)).alias("unit"), side(k).alias("side")))
+
+    s, own = F.col("s"), F.col("i")
+    within = meetings("n", s, lambda k: F.least(own, k), s, lambda k: F.greatest(own, k), lambda k: F.when(own == k, 2).when(own < k, 0).otherwise(1))
+    upward = meetings("above", s, lambda k: own, s + 1, lambda k: k, lambda k: F.lit(0))
+    downward = meetings("below", s - 1, lambda k: k, s, lambda k: own, lambda k: F.lit(1))
+    units = placed.select("node", "component", F.explode(F.concat(within, upward, downward)).alias("u")).select("node", "component", "u.*")
+    # a meeting without two components has nothing to find
+    useful = units.groupBy("unit").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter(F.col("low") != F.col("high")).select("unit")
+    met = units.join(useful, "unit").join(whole, "node").select("unit", "side", "component", "text")
+    shape = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(source):
-        shingler = Shingler(words)
+        shingler, unit, held = Shingler(words), None, []
         for batch in batches(source, 256):
-            for text, group, node in zip(texts(batch), batch.column("group").to_pylist(), batch.column("node").to_pylist()):
-                s = shingler.shingles(text).view(np.int64)
-                yield rows_of(shape, [np.full(len(s), group), s, np.full(len(s), node)])
+            links: list[tuple[int, int]] = []
+            for key, side, component, text in zip(*(batch.column(n).to_pylist() for n in ("unit", "side", "component", "text"))):
+                if key != unit:
+                    links += open_groups(held, percent)
+                    unit, held = key, []
+                held.append((side, component, shingler.shingles(text)))
+            yield rows_of(shape, [[a for a, _ in links], [b for _, b in links]])
+        links = open_groups(held, percent)
+        yield rows_of(shape, [[a for a, _ in links], [b for _, b in links]])
 
-    cells = materialize(whole.join(groups, "node").select("group", "node", "text").mapInArrow(run, "group long, token long, node long"))
-    matrix = cells.groupBy("group", "token").agg(F.count("*").alias("members"))
-    return cells.join(matrix, ["group", "token"]).groupBy("node").agg(F.count("*").alias("size"), F.count_if(F.col("members") > 1).alias("shared"))
+    return met.repartition("unit").sortWithinPartitions("unit").mapInArrow(run, "a long, b long")
 
 
 def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -227,8 +282,8 @@ def _row_key() -> Column:
 def _labelled(docs: DataFrame, words: int, percent: int) -> DataFrame:
     """doc_id, row, n_shingles, component (null for empty sets) and component_id."""
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _row_key().alias("row"), text_column().alias("text"))
-    members = materialize(_documents(slim, words))
-    sigs = materialize(_signature_rows(slim, words, percent))
+    told = materialize(_documents(slim, words, percent))
+    members, sigs = told.drop("sigs"), told.select(F.explode("sigs").alias("sig"), "node")
     # equal documents have the same node and signatures, so a bucket matters if two of its nodes differ
     buckets = sigs.groupBy("sig").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter(F.col("low") != F.col("high"))
     inside = materialize(sigs.join(buckets.select("sig"), "sig").distinct())
@@ -257,14 +312,13 @@ def _components(slim: DataFrame, members: DataFrame, inside: DataFrame, words: i
     if open_.isEmpty():
         return first
     near = open_.join(open_.groupBy("sig").agg(F.min("node").alias("b")), "sig").select(F.col("node").alias("a"), "b").distinct()
-    groups = components(near).select("node", F.col("component").alias("group"))
-    shared = _shared_tokens(whole, groups, words)
-    able = shared.filter(100 * F.col("shared") >= percent * F.col("size")).select("node")
-    left = materialize(mixed_buckets(open_.join(able, "node", "left_semi")))
-    if left.isEmpty():
+    blobs = components(near).select("node", F.col("component").alias("blob"))
+    sizes = members.filter(F.col("node").isNotNull()).groupBy("node").agg(F.first("n_shingles").alias("size"))
+    rows = materialize(open_.select("node", "component").distinct().join(blobs, "node").join(sizes, "node"))
+    more = materialize(_group_links(rows, whole, words, percent))
+    if more.isEmpty():
         return first
-    other = left.select("sig", F.col("node").alias("b"), F.col("component").alias("_other"))
-    pairs = left.withColumnRenamed("node", "a").join(other, "sig").filter((F.col("component") < F.col("_other"))).select("a", "b").distinct()
-    more = materialize(_links(materialize(pairs), whole, words, percent))
-    return components(links.unionByName(more)) if not more.isEmpty() else first
-
+    joined = components(more).select(F.col("node").alias("component"), F.col("component").alias("_whole"))
+    alone = joined.select(F.col("component").alias("node"), "component").join(first, "node", "left_anti")
+    every = first.unionByName(alone).join(joined, "component", "left")
+    return every.select("node", F.coalesce("_whole", "component").alias("component"))

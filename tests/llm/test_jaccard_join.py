@@ -5,6 +5,7 @@ import random
 import numpy as np
 import pytest
 
+from tapeline.llm import jaccard_join
 from tapeline.llm.common import table
 from tapeline.llm.components import components
 from tapeline.llm.jaccard_join import Shingler, join, linked, representatives, signatures, size_classes
@@ -77,9 +78,10 @@ def test_whole_table_against_brute_force(spark):
     assert sorted(map(tuple, join(docs).collect())) == sorted(brute([r[0] for r in rows], [r[1] for r in rows]))
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_families_of_edited_copies(spark, docs_of, seed):
+@pytest.mark.parametrize("seed, group", [(1, 256), (2, 3)])
+def test_families_of_edited_copies(spark, docs_of, monkeypatch, seed, group):
     """Copies with more and fewer edits, so that links run over some copies and not over others."""
+    monkeypatch.setattr(jaccard_join, "GROUP", group)
     rng = random.Random(seed)
     words = [f"w{i}" for i in range(400)]
     texts = []
@@ -87,6 +89,9 @@ def test_families_of_edited_copies(spark, docs_of, seed):
         base = [rng.choice(words) for _ in range(rng.choice([12, 40, 150]))]
         for _ in range(25):
             copy = list(base)
+            if rng.random() < 0.4:  # shortened copies: all their shingles are in the base
+                at = rng.randrange(len(copy))
+                del copy[at : at + rng.randint(0, len(copy) // 7)]
             for _ in range(rng.randint(0, max(1, len(base) // 25))):
                 copy[rng.randrange(len(copy))] = rng.choice(words)
             texts.append(" ".join(copy))
