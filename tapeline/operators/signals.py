@@ -179,7 +179,7 @@ def indicator(name: str, params: dict) -> Step:
     elif name == "trend_ali":
         step, side = trend.hull_trend(p.get("length", 60), p.get("length_mult", 6.0), p.get("mode", "Hma")), _named("hull_trend")
     elif name == "half_trend":
-        step, side = trend.half_trend(p.get("amplitude", 2)), _named("ht_position")
+        step, side = trend.half_trend(p.get("amplitude", 2), p.get("channel_deviation", 2)), _named("ht_position")
     elif name == "volumatic_vidya":
         step = trend.volumatic_vidya(p.get("vidya_length", 10), p.get("vidya_momentum", 20), p.get("band_distance", 2.0))
         side = _named("vidya_trend")
@@ -224,23 +224,29 @@ def price_ladder(rows: DataFrame, middle: Column, step: Column, levels: int) ->
 def flag_news(signals: DataFrame, news: DataFrame) -> DataFrame:
     """Flags for signals near news: within half an hour, within an hour ahead, holiday within twelve hours.
 
-    ``news``: ts, event. News are spread over the hours they can matter for, so the join is on equal hours; the
-    spread is at most 25 hours per event, and only distinct signal times are joined.
+    ``news``: ts, event. Only the nearest news before and after a time can matter, so distinct signal times meet the news in
+    as-of joins, forwards and with time reversed, and no signal meets more than one row of each.
     """
-    hour = F.floor(epoch_seconds("ts") / 3600)
-    holiday = F.lower("event").contains("holiday")
-    reach = F.when(holiday, 12).otherwise(1)
-    spread = news.select(
-        F.col("ts").alias("_news"), holiday.alias("_holiday"), F.explode(F.sequence(hour - reach - 1, hour + reach + 1)).alias("_hour")
-    )
-    times = signals.select("ts").distinct().withColumn("_hour", hour)
-    gap = epoch_seconds("_news") - epoch_seconds("ts")
-    joined = times.join(spread, "_hour")
-    flags = joined.groupBy("ts").agg(
-        F.max((gap >= 0) & (gap < 1800)).alias("during_news"),
-        F.max((gap > 0) & (gap <= 3600)).alias("upcoming_news"),
-        F.max(F.col("_holiday") & (F.abs(gap) <= 43200)).alias("holiday"),
-    )
+    at = epoch_seconds("ts")
+    told = news.select(at.alias("_at"), F.lower("event").contains("holiday").alias("_holiday"))
+    times = signals.select("ts", at.alias("_at")).distinct()
+
+    def nearest(rows: DataFrame, right: DataFrame, name: str, ahead: bool, strict: bool = False) -> DataFrame:
+        """Seconds of the newest ``right`` at or before each time, or with ``ahead`` of the first at or after it."""
+        clock = lambda c: F.timestamp_seconds(-F.col(c) if ahead else F.col(c)).cast("timestamp_ntz")
+        found = right.select(clock("_at").alias("_clock"), F.col("_at").alias(name)).distinct()
+        return asof_join(rows.withColumn("_clock", clock("_at")), found, [name], seconds=1, keys=(), ts="_clock", strict=strict).drop("_clock")
+
+    holidays = told.filter("_holiday")
+    rows = nearest(nearest(times, told, "_next", True), told, "_later", True, strict=True)
+    rows = nearest(nearest(rows, holidays, "_feast", True), holidays, "_past", False)
+    within = lambda gap, most: F.coalesce(gap <= most, F.lit(False))
+    flags = rows.select(
+        "ts",
+        F.coalesce(F.col("_next") - F.col("_at") < 1800, F.lit(False)).alias("during_news"),
+        within(F.col("_later") - F.col("_at"), 3600).alias("upcoming_news"),
+        (within(F.col("_feast") - F.col("_at"), 43200) | within(F.col("_at") - F.col("_past"), 43200)).alias("holiday"),
+    ).distinct()
     out = signals.join(flags, "ts", "left").fillna({"during_news": False, "upcoming_news": False, "holiday": False})
     return out.withColumn("avoid", F.col("during_news") | F.col("upcoming_news") | F.col("holiday"))
 
@@ -273,7 +279,7 @@ def abcd_signals(
         "symbol", F.col(POS).alias("c_pos"), "htf_trend", F.col("atr_prev").alias("atr"), "atr_mean", F.col("rsi_prev").alias("rsi"),
         F.col("hist_prev").alias("macd_hist"), F.col("hist_prev2").alias("macd_prev"),
     )
-    zones = structure.order_blocks(bars, seconds)
+    zones = structure.zone_lives(bars, seconds)
     scored = structure.pattern_score(patterns, rows, zones, use_rsi, use_macd, minutes)
     kept = scored.filter(F.col("score") >= structure.min_score(losses))
     sign = F.when(F.col("type") == "bullish", 1).otherwise(-1)

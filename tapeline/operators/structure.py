@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
@@ -14,7 +14,7 @@ from tapeline.operators.layout import POS, TOTAL, Laid, lay_out, with_positions
 from tapeline.operators.scans import prefix_carry, rolling, shift
 from tapeline.operators.steps import Step
 from tapeline.operators.touch import first_touch
-from tapeline.session import materialize
+from tapeline.session import chunk_rows, materialize
 
 NAN = float("nan")
 
@@ -518,6 +518,19 @@ def order_blocks(bars: DataFrame, seconds: float, merge_ratio: float = 0.5, moth
     return open_zones.select("symbol", "kind", "start_pos", "_last.top", "_last.bottom", status.alias("status"))
 
 
+def zone_lives(bars: DataFrame, seconds: float, merge_ratio: float = 0.5, mother_bar: bool = True) -> DataFrame:
+    """Stretches in which a zone is active with the same bounds: ``symbol, kind, top, bottom, from_pos, until_pos``.
+
+    A stretch starts with the event that creates or widens the zone and ends before its next event; ``until_pos`` is null
+    while it is open. Events of one zone are few.
+    """
+    events = zone_events(bars, seconds, merge_ratio, mother_bar)
+    rank = F.when(F.col("event") == "removed", 3).when(F.col("event") == "mitigated", 2).otherwise(1)
+    after = F.lead("pos").over(Window.partitionBy("symbol", "kind", "start_pos").orderBy("pos", rank))
+    rows = events.withColumn("until_pos", after).filter(F.col("event").isin("created", "merged"))
+    return rows.select("symbol", "kind", "top", "bottom", F.col("pos").alias("from_pos"), "until_pos")
+
+
 # -- inside and outside bars ------------------------------------------------------------------------------------
 
 
@@ -601,16 +614,22 @@ def pattern_score(
 ) -> DataFrame:
     """Score 0..100 of patterns whose C row carries ``context``: ``htf_trend, atr, atr_mean, rsi, macd_hist, macd_prev``.
 
-    ``zones`` are open order blocks (``symbol, kind, top, bottom, status``); a range join looks for an active one around D.
+    ``zones`` are stretches of active order blocks (``zone_lives``): only those that are active at the C bar count, so a
+    score does not know the future. Zones and patterns meet in ranges of positions.
     """
     rows = patterns.join(context, ["symbol", "c_pos"])
     bullish = F.col("type") == "bullish"
-    active = zones.filter(F.col("status") == "active").select("symbol", "kind", "top", "bottom")
+    size = chunk_rows(patterns.sparkSession)
+    last = F.coalesce(F.col("until_pos") - 1, F.col("_end"))
+    ends = rows.groupBy("symbol").agg(F.max("c_pos").alias("_end"))
+    active = zones.join(ends, "symbol").withColumn("_last", F.least(last, "_end")).filter(F.col("_last") >= F.col("from_pos"))
+    active = active.withColumn("_range", F.explode(F.sequence(F.floor(F.col("from_pos") / size), F.floor(F.col("_last") / size))))
     near = (
-        rows.withColumn("kind", F.when(bullish, "demand").otherwise("supply"))
-        .join(active, ["symbol", "kind"])
+        rows.withColumns({"kind": F.when(bullish, "demand").otherwise("supply"), "_range": F.floor(F.col("c_pos") / size)})
+        .join(active.select("symbol", "kind", "_range", "from_pos", "_last", "top", "bottom"), ["symbol", "kind", "_range"])
         .filter(
-            F.col("d_price").between(F.col("bottom") - F.col("atr") * 0.5, F.col("top") + F.col("atr") * 0.5)
+            F.col("c_pos").between(F.col("from_pos"), F.col("_last"))
+            & F.col("d_price").between(F.col("bottom") - F.col("atr") * 0.5, F.col("top") + F.col("atr") * 0.5)
         )
         .select("symbol", "type", "c_pos")
         .distinct()

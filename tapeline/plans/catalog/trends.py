@@ -108,9 +108,10 @@ ht AS (SELECT symbol, pos, 0 AS trend, 0 AS nxt, low AS maxlow, high AS minhigh,
   CASE WHEN h.nxt = 0 THEN least(hp, h.minhigh) ELSE h.minhigh END AS mh FROM ht h JOIN hx x ON x.symbol = h.symbol AND x.pos = h.pos + 1) q) q2) q3)"""
 register(
     "trend_half_trend",
-    query(trend.half_trend(), 3, ["ht_line"], ["ht_position"]),
-    f"""WITH RECURSIVE {DAILY_SQL}, {HT_SQL} SELECT symbol, ts, round(CASE WHEN trend = 0 THEN up ELSE down END, 3) AS ht_line,
-    CASE WHEN trend = 0 THEN 'long' ELSE 'short' END AS ht_position FROM ht JOIN b USING (symbol, pos)""",
+    query(trend.half_trend(), 4, ["ht_line", "ht_high", "ht_low"], ["ht_position"]),
+    f"""WITH RECURSIVE {DAILY_SQL}, {TR_SQL}, {HT_SQL}, ch AS (SELECT symbol, pos, ts, CASE WHEN pos >= 100 THEN avg(tr) OVER (PARTITION BY symbol ORDER BY pos ROWS BETWEEN 99 PRECEDING AND CURRENT ROW) END AS half FROM t),
+    hl AS (SELECT symbol, ts, CASE WHEN trend = 0 THEN up ELSE down END AS line, trend, half FROM ht JOIN ch USING (symbol, pos))
+    SELECT symbol, ts, round(line, 4) AS ht_line, round(line + half, 4) AS ht_high, round(line - half, 4) AS ht_low, CASE WHEN trend = 0 THEN 'long' ELSE 'short' END AS ht_position FROM hl""",
 )
 register(
     "trend_half_trend_voting",

@@ -201,12 +201,21 @@ def watched(ticks: DataFrame, name: str = "ticks") -> DataFrame:
 
 
 def strict_order(write: Callable[[DataFrame, int], None]) -> Callable[[DataFrame, int], None]:
-    """``foreachBatch`` function that refuses a batch whose time stamps do not increase, then hands it on."""
+    """``foreachBatch`` function that refuses a batch whose time stamps do not increase, then hands it on.
+
+    The last time of every symbol is kept from batch to batch on the driver: one value per symbol.
+    """
+    last: dict = {}
 
     def check(batch: DataFrame, epoch: int) -> None:
         if not order_violations(batch).isEmpty():
             raise ValueError(f"batch {epoch}: time stamps do not increase")
+        ends = batch.groupBy("symbol").agg(F.min("ts").alias("first"), F.max("ts").alias("last")).collect()
+        for r in ends:
+            if r.symbol in last and r["first"] <= last[r.symbol]:
+                raise ValueError(f"batch {epoch}: time stamps of {r.symbol} do not follow the batch before")
         write(batch, epoch)
+        last.update({r.symbol: r["last"] for r in ends})
 
     return check
 

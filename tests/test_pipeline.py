@@ -163,6 +163,10 @@ def test_strict_order_refuses_a_batch(spark):
     rows = spark.createDataFrame([("S", T0, 0), ("S", T0, 1)], "symbol string, ts timestamp_ntz, seq long")
     with pytest.raises(ValueError):
         live.strict_order(lambda df, epoch: None)(rows, 3)
+    check = live.strict_order(lambda df, epoch: None)
+    check(rows.limit(1), 0)
+    with pytest.raises(ValueError):
+        check(rows.limit(1), 1)
 
 
 CHECKED = [
