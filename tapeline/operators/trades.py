@@ -10,7 +10,7 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 
 from tapeline.operators.asof import asof_join
 from tapeline.operators.bars import at_seconds
-from tapeline.operators.fold import fold_events
+from tapeline.operators.fold import fold_columns, fold_events
 from tapeline.operators.layout import POS, epoch_seconds, lay_out, spread, with_positions
 from tapeline.operators.scans import prefix_carry, shift
 from tapeline.operators.touch import first_touch
@@ -20,40 +20,33 @@ EXIT_REASONS = ("TP", "SL", "Manual Close", "SL")  # the last one: a losing clos
 NAN = float("nan")
 
 
-def trade_step(risk_of_balance: float | None, per_lot: float, pip: float):
+BALANCE_ROWS = 65536  # trades per task of the balance pass
+
+
+def trade_step():
     """One bar of the one-position machine.
 
     Row: high, low, close, position, seconds, signal, stop and target distance, break-even distance, close on opposite,
     lot, money per price unit. Unused distances are nan; a signal without a lot is not taken.
-    Emits ``(reason, side, entry seconds, entry position, entry price, exit price, lot, profit)``.
+    Emits ``(reason, side, entry seconds, entry position, entry price, exit price, lot, profit, stop, money per unit)``.
     """
 
-    def sized(stop, lot, worth, balance):
-        if risk_of_balance is None:
-            return lot, worth
-        if stop != stop or stop <= 0:
-            return lot, worth
-        lot = max(0.01, round(balance * risk_of_balance / 100.0 / (stop / pip * per_lot), 2))
-        return lot, round(per_lot * lot, 3) / pip
-
     def step(state, row):
         high, low, close, pos, now, signal, stop, target, free, opposite, lot, worth = row
-        side, entry, since, at, sl, tp, freed, size, unit, balance = state or [0.0, NAN, NAN, NAN, NAN, NAN, 0.0, NAN, NAN, 0.0]
+        side, entry, since, at, sl, tp, freed, size, unit, width = state or [0.0, NAN, NAN, NAN, NAN, NAN, 0.0, NAN, NAN, NAN]
         out = []
 
         def leave(price, reason):
             profit = side * (price - entry) * unit
             if reason == 2 and profit < 0:
                 reason = 3
-            out.append((float(reason), side, since, at, entry, price, size, profit))
-            return profit
+            out.append((float(reason), side, since, at, entry, price, size, profit, width, unit))
 
         if side and opposite and signal and signal == -side:
-            profit = leave(close, 2)
-            balance = balance + profit if risk_of_balance is not None else balance
+            leave(close, 2)
             side = 0.0
         if not side:
-            size, unit = sized(stop, lot, worth, balance) if signal else (lot, worth)
+            size, unit, width = lot, worth, stop
             if signal and size == size:
                 side, entry, since, at, freed = signal, close, now, pos, 0.0
                 sl, tp = close - signal * stop, close + signal * target
@@ -61,17 +54,29 @@ def trade_step(risk_of_balance: float | None, per_lot: float, pip: float):
             ahead, behind = (high, low) if side > 0 else (low, high)
             if free == free and not freed and side * (ahead - entry) >= free:
                 sl, freed = entry, 1.0
-            profit = None
             if tp == tp and side * (ahead - tp) >= 0:
-                profit = leave(tp, 0)
+                leave(tp, 0)
+                side = 0.0
             elif sl == sl and side * (behind - sl) <= 0:
-                profit = leave(sl, 1)
-            if profit is not None:
-                balance = balance + profit if risk_of_balance is not None else balance
+                leave(sl, 1)
                 side = 0.0
         if not side:
-            return [0.0, NAN, NAN, NAN, NAN, NAN, 0.0, NAN, NAN, balance], out
-        return [side, entry, since, at, sl, tp, freed, size, unit, balance], out
+            return [0.0, NAN, NAN, NAN, NAN, NAN, 0.0, NAN, NAN, NAN], out
+        return [side, entry, since, at, sl, tp, freed, size, unit, width], out
+
+    return step
+
+
+def balance_step(risk: float, initial: float, per_lot: float, pip: float):
+    """One trade: its lot from the balance so far, then the balance after it. Emits lot and profit."""
+
+    def step(state, row):
+        move, stop, lot, worth = row
+        balance = state[0] if state else initial
+        if stop == stop and stop > 0:
+            lot = max(0.01, round(balance * risk / 100.0 / (stop / pip * per_lot), 2))
+            worth = round(per_lot * lot, 3) / pip
+        return [balance + move * worth], [lot, move * worth]
 
     return step
 
@@ -79,7 +84,7 @@ def trade_step(risk_of_balance: float | None, per_lot: float, pip: float):
 _TRADE_COLUMNS = StructType(
     [
         StructField(n, DoubleType())
-        for n in ("_reason", "_side", "_since", "entry_pos", "entry_price", "exit_price", "lot", "profit")
+        for n in ("_reason", "_side", "_since", "entry_pos", "entry_price", "exit_price", "lot", "profit", "_width", "_unit")
     ]
 )
 
@@ -106,6 +111,9 @@ def bar_trades(
     Per bar: close on the opposite signal at the close, else enter at the close when flat, else move the stop to the
     entry, then target, then stop. Distances and sizes are columns, so one pass serves fixed, ATR and swept settings;
     with ``risk_of_balance`` the lot follows the running balance. A position open at the end yields no trade.
+
+    Entries and exits do not depend on the balance, so the pass over the bars leaves it out: its state lives as long as a
+    position. The balance then runs over the trades alone, ``BALANCE_ROWS`` of them per task.
     """
     none = F.lit(None).cast("double")
     held = bars.withColumns(
@@ -122,14 +130,14 @@ def bar_trades(
     )
     laid = lay_out(held, seconds, warmup, keys=keys).add({"_p": F.col(POS).cast("double")})
     inputs = ["high", "low", "close", "_p", "_now", "_sig", "_stop", "_target", "_free", "_opp", "_lot", "_worth"]
-    step = trade_step(risk_of_balance, per_lot, pip)
-    start = step
+    rows = fold_events(laid, trade_step(), inputs, _TRADE_COLUMNS)
     if risk_of_balance is not None:
-
-        def start(state, row):
-            return step(state or [0.0, NAN, NAN, NAN, NAN, NAN, 0.0, NAN, NAN, initial_balance], row)
-
-    rows = fold_events(laid, start, inputs, _TRADE_COLUMNS)
+        trades = rows.withColumnRenamed(POS, "_exit_pos").withColumn("_move", F.col("_side") * (F.col("exit_price") - F.col("entry_price")))
+        # a bar closes at most one trade, so times order the trades of a key
+        spread_out = lay_out(materialize(trades), seconds, keys=keys, rows=BALANCE_ROWS)
+        money = balance_step(risk_of_balance, initial_balance, per_lot, pip)
+        done = fold_columns(spread_out, money, ["_move", "_width", "lot", "_unit"], ["_lot", "_profit"])
+        rows = done.core().drop("lot", "profit").withColumnsRenamed({"_lot": "lot", "_profit": "profit", "_exit_pos": POS})
     names = F.array(*[F.lit(n) for n in EXIT_REASONS])
     return rows.select(
         *keys,

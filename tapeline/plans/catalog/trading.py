@@ -178,7 +178,7 @@ _ATR_SQL = SIGNAL_SQL.replace(
 register(
     "trades_bar_atr",
     lambda s, d: _sized(_atr_trades(s, d)),
-    f"WITH RECURSIVE {DAILY_SQL}, {_ATR_SQL}, {sized_trades_sql('2 * s.atr', '3 * s.atr', 'greatest(0.01, round(100 / (2 * s.atr * 0.1::DOUBLE), 2))')}",
+    f"WITH RECURSIVE {DAILY_SQL}, {_ATR_SQL}, {sized_trades_sql('2 * s.atr', '3 * s.atr', 'CASE WHEN s.atr > 0 THEN greatest(0.01, round(100 / (2 * s.atr * 0.1::DOUBLE), 2)) END')}",
 )
 register(
     "trades_bar_running_risk",
