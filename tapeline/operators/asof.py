@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tapeline.operators.layout import epoch_seconds
+from tapeline.operators.layout import epoch_seconds, fitted_width
 from tapeline.session import materialize
 
 
@@ -24,11 +24,17 @@ def asof_join(
     """Add ``columns`` of the newest ``right`` row at or before (``strict``: before) each left row.
 
     Of right rows with equal times the one with the largest ``columns``, compared in order, counts.
-    Both sides are merged inside time buckets of ``rows * seconds``, so no task holds a whole key. A bucket inherits
-    the last right row of earlier buckets through one summary row per bucket.
+    Both sides are merged inside time buckets of ``rows * seconds``, or narrower ones where rows are denser, so no task holds a
+    whole key. A bucket inherits the last right row of earlier buckets through one summary row per bucket.
     """
     keys = list(keys)
-    width = max(1, int(seconds * rows))
+    both = left.select(*keys, ts).unionByName(right.select(*keys, ts))
+
+    def largest(width: int) -> int:
+        sizes = both.groupBy(*keys, F.floor(epoch_seconds(ts) / width).alias("_b")).agg(F.count("*").alias("n"))
+        return sizes.agg(F.max("n")).first()[0] or 0
+
+    width = fitted_width(largest, max(1, int(seconds * rows)), rows)
     payload = F.struct(*[F.col(c) for c in columns])
     bucket = F.floor(epoch_seconds(ts) / width)
     lefts = left.withColumns({"_bucket": bucket, "_side": F.lit(0 if strict else 1), "_pick": F.lit(None)})

@@ -44,6 +44,17 @@ def running_total(df: DataFrame, keys: Sequence[str], order: str, value: str, ou
     )
 
 
+def fitted_width(count, width: int, rows: int = BUCKET_ROWS) -> int:
+    """Width of time buckets in seconds at which no bucket holds more than about four times ``rows`` rows.
+
+    ``count(width)`` gives the largest number of rows in a bucket. Bars of the stated cadence fit at once; denser ticks narrow
+    the buckets. Rows of one second are not split: they are ordered together.
+    """
+    while width > 1 and (most := count(width)) > 4 * rows:
+        width = max(1, min(width // 2, width * rows // most))
+    return width
+
+
 def with_positions(
     df: DataFrame,
     seconds: float,
@@ -54,13 +65,22 @@ def with_positions(
 ) -> DataFrame:
     """Zero-based row number ``_pos`` (and series length ``_total``) per key, without a window over the whole key.
 
-    ``seconds`` is the usual distance of two rows. Rows are ranked inside time buckets of ``seconds * 4096`` and the
-    bucket offsets come from one row per bucket.
+    ``seconds`` is the usual distance of two rows. Rows are ranked inside time buckets of ``seconds * 4096``, or narrower ones
+    where rows are denser than stated, and the bucket offsets come from one row per bucket.
     """
     keys = list(keys)
-    width = max(1, int(seconds * BUCKET_ROWS))
+    tables: dict[int, DataFrame] = {}
+
+    def largest(width: int) -> int:
+        found = df.groupBy(*keys, F.floor(epoch_seconds(ts) / width).alias("_bucket")).agg(F.count("*").alias("_n"))
+        tables[width] = materialize(found)
+        return tables[width].agg(F.max("_n")).first()[0] or 0
+
+    width = fitted_width(largest, max(1, int(seconds * BUCKET_ROWS)))
+    if width not in tables:
+        largest(width)
+    counts = tables[width]
     bucketed = df.withColumn("_bucket", F.floor(epoch_seconds(ts) / width))
-    counts = materialize(bucketed.groupBy(*keys, "_bucket").agg(F.count("*").alias("_n")))
     offsets = running_total(counts, keys, "_bucket", "_n", "_offset")
     if total:
         sizes = counts.groupBy(*keys).agg(F.sum("_n").alias(TOTAL))

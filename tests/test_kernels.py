@@ -179,3 +179,19 @@ def test_first_touch_equals_search(spark, fan):
     for name, s, at, up, down in asked:
         want = next((i for i in range(at + 1, 120) if (up is not None and prices[s][i] >= up) or (down is not None and prices[s][i] <= down)), None)
         assert got[name] == want
+
+
+def test_dense_ticks_narrow_the_buckets(spark, monkeypatch):
+    """100,000 ticks in one hour, stated as five minutes apart: no ranking window is longer than the bound."""
+    from tapeline.operators import layout
+
+    widths = []
+    fitted = layout.fitted_width
+    monkeypatch.setattr(layout, "fitted_width", lambda *a: widths.append(fitted(*a)) or widths[-1])
+    ticks = spark.range(100_000).select(
+        F.lit("S").alias("symbol"), F.timestamp_seconds(F.col("id") * 0.036 + 1_700_000_000).cast("timestamp_ntz").alias("ts"), "id"
+    )
+    placed = layout.with_positions(ticks, 300, tie=("id",))
+    longest = ticks.groupBy(F.floor(layout.epoch_seconds("ts") / widths[0])).count().agg(F.max("count")).first()[0]
+    assert longest <= 4 * layout.BUCKET_ROWS
+    assert placed.filter(F.col("_pos") != F.col("id")).isEmpty()
