@@ -10,7 +10,10 @@ import pytest
 from tapeline.plans.catalog import ORACLES, QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
-PARTS = ("trend_", "structure_", "trades_", "metrics_max", "ma_mcginley", "ma_vidya", "ma_kalman", "ma_jma", "osc_rsi", "osc_macd", "osc_adx", "indicator_")
+PARTS = (
+    "structure_", "trades_", "metrics_max", "ma_mcginley", "ma_vidya", "ma_kalman", "trend_supertrend", "trend_sar", "trend_half_trend", "trend_ut",
+    "trend_volumatic", "trend_magic", "trend_kalman",
+)
 NAMES = sorted(n for n in ORACLES if n.startswith(PARTS))
 
 
