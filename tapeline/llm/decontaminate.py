@@ -31,18 +31,18 @@ SAME = 0.8  # share of an item's words in common order that makes a copy
 LIKE = 0.6  # the same for a paraphrase, whose answer must be there
 LEAST_WORDS = 8  # items with fewer words are too common to search for
 ITEMS_AT_ONCE = 2000  # items compared in one pass over the documents; more take more passes
-_WORD = re.compile(r"[^\W_]+")
-_CHUNK = 1 << 16  # words handled at once
+_SPACES = bytes(c if c > 127 or chr(c).isalnum() else 32 for c in range(256))
+_CHUNK = 1 << 14  # words handled at once: their vectors stay in the cache
 
 
 class WordHashes:
-    """32-bit hashes of the words of texts, in lower case."""
+    """32-bit hashes of the words of texts in lower case: runs of ASCII letters and digits and of characters beyond ASCII."""
 
     def __init__(self, limit: int = 600_000):
         self.limit, self.known = limit, {}
 
     def of(self, text: str) -> np.ndarray:
-        words = _WORD.findall(text.lower())
+        words = text.lower().encode().translate(_SPACES).split()
         known = self.known
         for w in set(words):
             if w not in known:
@@ -92,10 +92,14 @@ def document_frequencies(words: DataFrame) -> tuple[int, np.ndarray]:
     def run(source):
         total, count = 0, np.zeros(FEATURES, np.int64)
         for ids, starts in _chunks(source):
-            block = np.zeros(len(ids), np.int64)
-            block[starts[1:]] = 1
-            pairs = np.unique(np.cumsum(block) * FEATURES + ids)
-            count += np.bincount(pairs % FEATURES, minlength=FEATURES)
+            sizes = np.diff(np.append(starts, len(ids)))
+            place = np.arange(len(ids)) - np.repeat(starts, sizes)
+            grid = np.full((len(starts), BLOCK), FEATURES, np.uint16)  # one row per block, sorted to find repeats
+            grid[np.repeat(np.arange(len(starts)), sizes), place] = ids
+            grid.sort(axis=1)
+            fresh = np.ones(grid.shape, bool)
+            fresh[:, 1:] = grid[:, 1:] != grid[:, :-1]
+            count += np.bincount(grid[fresh], minlength=FEATURES + 1)[:FEATURES]
             total += len(starts)
         at = np.flatnonzero(count)
         yield rows_of(pa.schema([("feature", pa.int32()), ("n", pa.int64())]), [np.append(at, -1), np.append(count[at], total)])
