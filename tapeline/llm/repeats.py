@@ -185,7 +185,8 @@ def repeated_spans(rows: DataFrame, least: int = LEAST) -> DataFrame:
     """
     anchors = materialize(_anchors(rows, least))
     groups = anchors.groupBy("g").agg(F.count("*").alias("n"), (F.min("ctx") == F.max("ctx")).alias("alike")).filter(F.col("n") > 1)
-    second = materialize(anchors.join(groups.select("g", "alike"), "g"))
+    # written first: a join of two plain exchanges is one whose large partitions Spark splits, and a common phrase is one group
+    second = materialize(anchors.join(materialize(groups.select("g", "alike")), "g"))
     apart = second.filter(~F.col("alike"))
     kinds = apart.groupBy("g", "ctx").agg(F.count("*").alias("times"), F.min(F.struct("row", "lo", "size")).alias("at"))
     kinds = materialize(kinds.select("g", "ctx", "times", "at.*"))
