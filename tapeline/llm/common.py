@@ -18,8 +18,17 @@ from tapeline.session import ensure_checkpoint_dir, materialize
 __all__ = ["TokenCache", "batches", "held_out", "materialize", "rows_of", "shared_folder", "table", "text_column", "texts", "token_cache"]
 
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
-#: Letters, then ASCII punctuation without the apostrophe: every splitter of the public vocabularies cuts between the two.
-_ENDING = re.compile(r"( ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-&(-/:-@\[-`{-~]+)")
+#: Letters, then ASCII punctuation without the apostrophe: every splitter of the public vocabularies cuts between the two and
+#: nowhere else.
+_PLAIN = re.compile(r"( ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-&(-/:-@\[-`{-~]*)")
+_PROBES = (" word", "word", "Ünal", "x", "...", " qzxv", "!?")
+
+
+def _byte_letters() -> dict[int, str]:
+    """The character that stands for each byte in byte-level vocabularies: itself if printable, else the next free one."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -64,7 +73,8 @@ class TokenCache:
     ``leading_space`` states how the tokenizer splits text. False: white space is dropped, so a text is the sequence of its
     words. True: a single space belongs to the word after it, so a text can be cut before every single space that has no
     white space beside it. Both cuts lie between two pre-tokens, so the ids are those of the whole text; so does the cut
-    between letters and ASCII punctuation that new pieces get. A cache of more than ``limit`` pieces becomes the old one, from
+    between letters and ASCII punctuation that new pieces get. What is one pre-token goes to the library's merge model
+    directly, if that gives the ids of the whole tokenizer for some probes; all else goes through the tokenizer. A cache of more than ``limit`` pieces becomes the old one, from
     which pieces in use are taken over.
     """
 
@@ -78,6 +88,9 @@ class TokenCache:
         self.known: dict = {}
         self.old: dict = {}
         self.parts: dict[str, bytes] = {}
+        self._letters = _byte_letters()
+        probes = _PROBES if leading_space else [p.strip() for p in _PROBES]
+        self.direct = all(self._merged(p) == self.tokenizer.encode(p, add_special_tokens=False).ids for p in probes)
         self.wide = self.tokenizer.get_vocab_size() > 1 << 16
 
     def _pieces(self, text: str) -> list:
@@ -87,14 +100,29 @@ class TokenCache:
             return re.split(r"(?<=\S)(?= \S)", text)
         return text.replace(" ", "\0 ").split("\0") if "\0" not in text else re.split(r"(?<=\S)(?= \S)", text)
 
+    def _merged(self, text: str) -> list[int]:
+        """Ids of one pre-token by the merge model."""
+        text = text if self.leading_space else text.lower()
+        return [t.id for t in self.tokenizer.model.tokenize(text.encode().decode("latin-1").translate(self._letters))]
+
     def _learn(self, new: list) -> None:
-        split, parts = [], self.parts
-        for piece in new:
-            text = piece if self.leading_space else piece.decode()
-            ending = _ENDING.fullmatch(text)
-            split.append(ending.groups() if ending else (text,))
-        missing = list({x for s in split for x in s if x not in parts})
+        split, parts, simple = [], self.parts, set()
+        for text in new if self.leading_space else [p.decode() for p in new]:
+            if found := _PLAIN.fullmatch(text):
+                groups = found.groups() if found[2] else (text,)
+                simple.update(groups)
+            else:
+                groups = (text,)
+            split.append(groups)
         code = "I" if self.wide else "H"
+        missing = [x for s in split for x in s if x not in parts]
+        if self.direct:
+            model, letters = self.tokenizer.model.tokenize, self._letters
+            for text in simple.difference(parts):
+                known = text if self.leading_space else text.lower()
+                parts[text] = array(code, [t.id for t in model(known.encode().decode("latin-1").translate(letters))]).tobytes()
+            missing = [x for x in missing if x not in parts]
+        missing = list(set(missing))
         for text, got in zip(missing, self.tokenizer.encode_batch_fast(missing, add_special_tokens=False)):
             parts[text] = array(code, got.ids).tobytes()
         for piece, s in zip(new, split):
@@ -105,7 +133,8 @@ class TokenCache:
         kind = "<u4" if self.wide else "<u2"
         cut = [self._pieces(t) if t else [] for t in many]
         if len(self.known) > self.limit:
-            self.known, self.old, self.parts = {}, self.known, {}
+            self.known, self.old = {}, self.known
+            self.parts = self.parts if len(self.parts) < 2 * self.limit else {}
         known, old = self.known, self.old
         new = [p for p in set().union(*cut) if p not in known]
         if old:

@@ -4,6 +4,7 @@ import io
 import zlib
 
 import numpy as np
+import pyarrow.dataset as ds
 import pytest
 from tokenizers import Tokenizer
 
@@ -47,9 +48,12 @@ def test_cached_ids_are_those_of_the_library(name, leading):
     path = tokenizer_path(name)
     plain = Tokenizer.from_file(path)
     plain.encode_special_tokens = True
-    tricky = ["a  b", "a \n b", "x  y", "it's  'S it'S", "\x1c a", "a\0 b c", "<|endoftext|> x", "e ́x", "ΑΣ ΑΣ.", "\t\t", "İstanbul Ünal"]
+    tricky = ["a  b", "a \n b", "x  y", "it's  'S it'S", "\x1c a", "a\0 b c", "<|endoftext|> x", "e ́x", "ΑΣ ΑΣ.", "\t\t", "İstanbul Ünal ÀÉß, Straße_x ²³ (½) µm", "à́, ñ̃.", "don't… —x— “q”", "ABC!!! $$$ x%%% |"]
     many = [t or "" for t in AWKWARD] + tricky
-    got = TokenCache(path, leading, limit=3).encode(many)
+    cache = TokenCache(path, leading, limit=3)
+    assert cache.direct
+    many += ds.dataset("/root/testdata/sf0.001/documents.parquet").to_table(columns=["text"])["text"].to_pylist()
+    got = [x for i in range(0, len(many), 7) for x in cache.encode(many[i : i + 7])]
     assert [g.tolist() for g in got] == [plain.encode(t, add_special_tokens=False).ids for t in many]
 
 
