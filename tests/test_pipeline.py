@@ -132,9 +132,10 @@ def test_research_run_is_deterministic(spark, bars):
 def test_grid_cap_is_deterministic(spark):
     grid = sweeps.param_grid(spark, {"a": list(range(20)), "b": list(range(10))})
     assert grid.count() == 200
-    one, two = (collected(sweeps.cap_by_hash(g, "seed")) for g in (grid, grid.orderBy(F.rand(3))))
+    one, two = (collected(sweeps.cap_by_hash(g, "seed", 50)) for g in (grid, grid.orderBy(F.rand(3))))
     assert one == two and len(one) == 50
-    assert sweeps.cap_by_hash(sweeps.param_grid(spark, {"a": [1, 2], "b": [3, 4]}), "seed").count() == 4
+    assert sweeps.cap_by_hash(sweeps.param_grid(spark, {"a": [1, 2], "b": [3, 4]}), "seed", 50).count() == 4
+    assert sweeps.cap_by_hash(grid, "seed").count() == 200
 
 
 def test_hit_rate_of_seven_states(spark):
