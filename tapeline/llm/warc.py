@@ -20,7 +20,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tapeline.llm.common import batches, materialize, rows_of, shared_folder
+from tapeline.llm.common import batches, materialize, shared_folder
 
 SKIPPABLE = 0x184D2A5D
 FRAME = 0xFD2FB528
