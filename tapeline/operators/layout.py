@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame, Window, WindowSpec
+from pyspark.sql import Column, DataFrame, Observation, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from tapeline.session import chunk_rows, materialize
@@ -72,9 +72,10 @@ def with_positions(
     tables: dict[int, DataFrame] = {}
 
     def largest(width: int) -> int:
+        seen = Observation()  # the largest bucket is found while the counts are written
         found = df.groupBy(*keys, F.floor(epoch_seconds(ts) / width).alias("_bucket")).agg(F.count("*").alias("_n"))
-        tables[width] = materialize(found)
-        return tables[width].agg(F.max("_n")).first()[0] or 0
+        tables[width] = materialize(found.observe(seen, F.max("_n").alias("most")))
+        return seen.get["most"] or 0
 
     width = fitted_width(largest, max(1, int(seconds * BUCKET_ROWS)))
     if width not in tables:
