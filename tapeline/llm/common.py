@@ -78,7 +78,7 @@ class TokenCache:
     which pieces in use are taken over.
     """
 
-    def __init__(self, path: str, leading_space: bool, limit: int = 600_000):
+    def __init__(self, path: str, leading_space: bool, limit: int = 300_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)

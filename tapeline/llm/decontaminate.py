@@ -38,7 +38,7 @@ _CHUNK = 1 << 14  # words handled at once: their vectors stay in the cache
 class WordHashes:
     """32-bit hashes of the words of texts in lower case: runs of ASCII letters and digits and of characters beyond ASCII."""
 
-    def __init__(self, limit: int = 600_000):
+    def __init__(self, limit: int = 200_000):
         self.limit, self.known = limit, {}
 
     def of(self, text: str) -> np.ndarray:

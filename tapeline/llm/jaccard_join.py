@@ -44,7 +44,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
 class Shingler:
     """Sets of hashed word shingles of whole texts; hashes of words are kept up to ``limit`` words."""
 
-    def __init__(self, words: int = WORDS, limit: int = 500_000):
+    def __init__(self, words: int = WORDS, limit: int = 200_000):
         self.words, self.limit, self.known = words, limit, {}
 
     def word_hashes(self, text: str) -> np.ndarray:

@@ -140,7 +140,7 @@ def train(windows: Sequence[Sequence[str]], target: np.ndarray, labels: list, pa
 class Scorer:
     """Class scores of texts; scores of words are kept up to ``limit`` words."""
 
-    def __init__(self, model: Model, limit: int = 300_000):
+    def __init__(self, model: Model, limit: int = 150_000):
         self.model, self.limit = model, limit
         self.index: dict[str, int] = {}
         self.known = np.zeros((0, len(model.labels)), np.float32)
