@@ -21,7 +21,6 @@ WORD = r"[^\x20\x09-\x0D]"
 SYMBOL = r"[#*$%&|<>]"
 LEAST_WORDS = 50
 MOST_REPEATED = 50  # per cent of the words
-TRUSTED_DOCS = 50_000  # bound of the trusted documents that the target is counted from
 STEPS = 256  # thresholds are multiples of 1 / STEPS
 
 
@@ -76,15 +75,15 @@ def duplicate_lines(text: Column) -> Column:
 def ratios(docs: DataFrame, trusted: DataFrame) -> list[float] | None:
     """log(trusted / corpus) of every bucket; ``None`` without trusted n-grams.
 
-    ``trusted`` holds doc_ids. The corpus counts cover all rows; they are added up before the shuffle, so a frequent word costs
-    one row per task, and what comes back are ``BUCKETS`` rows for any corpus. The target counts come from about
-    ``TRUSTED_DOCS`` trusted documents drawn by a hash of the id: with that bound the ids are sent to the texts.
+    ``trusted`` holds doc_ids. Both counts cover all rows; they are added up before the shuffle, so a frequent word costs one row
+    per task, and what comes back are ``BUCKETS`` rows for any corpus. Ids and texts are dealt by id, whatever their number;
+    texts without id are dealt by their hash.
     """
-    ids = trusted.select("doc_id").filter(F.col("doc_id").isNotNull()).distinct()
-    share = min(1.0, TRUSTED_DOCS / max(1, ids.count()))
-    drawn = ids.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)))
-    marks = F.broadcast(drawn.withColumn("_trusted", F.lit(1)))
-    grams = docs.select("doc_id", text_column().alias("text")).join(marks, "doc_id", "left")
+    marks = trusted.select(F.col("doc_id").cast("long").alias("id")).filter(F.col("id").isNotNull()).distinct()
+    marks = marks.select("id", F.lit(0).alias("salt"), F.lit(1).alias("_trusted"))
+    salt = F.when(F.col("doc_id").isNull(), 1 + F.pmod(F.xxhash64("text"), F.lit(4096)).cast("int")).otherwise(0)
+    dealt = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("id"), salt.alias("salt"), text_column().alias("text"))
+    grams = dealt.join(marks.hint("shuffle_hash"), ["id", "salt"], "left")
     grams = grams.select("_trusted", F.explode(let(words_of(F.col("text")), buckets_of)).alias("bucket"))
     counts = grams.groupBy("bucket").agg(F.count("*").alias("corpus"), F.count("_trusted").alias("trusted")).collect()
     corpus, target = [1] * BUCKETS, [1] * BUCKETS

@@ -77,3 +77,21 @@ def test_awkward_rows(spark, docs_of, known):
     assert {d: tuple(r[c] for c in COUNTS) for d, r in rows.items()} == {i: brute(t) for i, t in enumerate(texts)}
     assert all(math.isfinite(r["score"]) and r["kept"] is not None for r in rows.values())
     assert quality.assess(docs_of([]), labels).count() == 0
+
+
+def test_every_trusted_document_counts(spark):
+    """Where all documents are trusted, target and corpus are the same, however many there are; rows without id count as untrusted."""
+    docs = spark.range(60_000).selectExpr("id AS doc_id", "concat('style', id % 700, ' word', id % 11) AS text")
+    assert quality.ratios(docs, docs) == pytest.approx([0.0] * quality.BUCKETS, abs=1e-12)
+    more = docs.unionByName(spark.createDataFrame([(None, "style1 word1")] * 3, "doc_id long, text string"))
+    table = quality.ratios(more, more)
+    corpus, target = Counter(range(quality.BUCKETS)), Counter(range(quality.BUCKETS))
+    for i in range(60_000):
+        target.update(grams(f"style{i % 700} word{i % 11}"))
+    corpus.update(target)
+    corpus.subtract(range(quality.BUCKETS))
+    for _ in range(3):
+        corpus.update(grams("style1 word1"))
+    shift = math.log(corpus.total()) - math.log(target.total())
+    b = chained("style1") % quality.BUCKETS
+    assert table[b] == pytest.approx(math.log(target[b] / corpus[b]) + shift, abs=1e-9)
