@@ -11,6 +11,7 @@ Document frequencies, the decomposition and the search cover all blocks of all d
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
@@ -31,18 +32,29 @@ SAME = 0.8  # share of an item's words in common order that makes a copy
 LIKE = 0.6  # the same for a paraphrase, whose answer must be there
 LEAST_WORDS = 8  # items with fewer words are too common to search for
 ITEMS_AT_ONCE = 2000  # items compared in one pass over the documents; more take more passes
+_MARKS = "".join(c for c in map(chr, range(0x300, 0x1F000)) if unicodedata.category(c)[0] == "M")
+#: Scripts without spaces between words: Thai, Lao, Burmese, Khmer, kana, bopomofo and Chinese characters.
+_UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3005\u3007\u3040-\u312f\u31a0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff"
+_OTHER = re.compile(rf"[^\x00-\x7f\w{_MARKS}]+")
+_ALONE = re.compile(rf"[{_UNSPACED}][{_MARKS}]*")
 _SPACES = bytes(c if c > 127 or chr(c).isalnum() else 32 for c in range(256))
 _CHUNK = 1 << 14  # words handled at once: their vectors stay in the cache
 
 
 class WordHashes:
-    """32-bit hashes of the words of texts in lower case: runs of ASCII letters and digits and of characters beyond ASCII."""
+    """32-bit hashes of the words of texts in lower case.
+
+    Words are runs of letters, digits and combining marks of any script; a character of a script without spaces is a word.
+    """
 
     def __init__(self, limit: int = 200_000):
         self.limit, self.known = limit, {}
 
     def of(self, text: str) -> np.ndarray:
-        words = text.lower().encode().translate(_SPACES).split()
+        text = text.lower()
+        if not text.isascii():
+            text = _ALONE.sub(r" \g<0> ", _OTHER.sub(" ", text))
+        words = text.encode().translate(_SPACES).split()
         known = self.known
         for w in set(words):
             if w not in known:
@@ -176,7 +188,7 @@ def read_items(rows: Sequence[tuple[int | None, str | None]]) -> list[Item]:
         words = hashes.of(text or "")
         if len(words) < LEAST_WORDS:
             continue
-        sentences = [h for s in re.split(r"[.!?\n]+", text) if len(h := hashes.of(s))]
+        sentences = [h for s in re.split(r"[.!?\n。！？｡]+", text) if len(h := hashes.of(s))]
         out.append(Item(item_id, words, sentences[-1], -(-(len(words) + BLOCK // 2) // BLOCK)))
     return out
 

@@ -87,3 +87,36 @@ def test_awkward_rows(spark, docs_of, monkeypatch, at_once):
     n = len(AWKWARD)
     assert {(n, 1), (n + 1, 1), (n + 2, 1)} <= set(got) and {d for d, _ in got} == {n, n + 1, n + 2}
     assert leaks(docs, bench.filter("false")).count() == 0 and leaks(docs_of([]), bench).count() == 0
+
+
+def test_words_of_any_script():
+    of = lambda t: WordHashes().of(t).tolist()
+    plain = of("Alpha don t beta gamma delta epsilon zeta")
+    assert of("“Alpha” don’t—beta…gamma «delta» epsilon zeta") == plain == of("alpha_don't beta-gamma, delta (epsilon) zeta.")
+    assert of("Zoë naïve 東京、大阪。") == [*of("zoë"), *of("naïve"), *of("東 京 大 阪")] and len(of("हिन्दी भाषा")) == 2 and len(of("한국어 문장")) == 2
+    assert len(of("ภาษาไทย")) > 4 and of("xภาษาไทย")[1:] == of("ภาษาไทย") and of("") == of("—。…") == []
+
+
+def test_copies_in_scripts_without_spaces(spark, docs_of):
+    rng = random.Random(3)
+    signs = [chr(0x4E00 + 7 * i) for i in range(1200)]
+    text = lambda n: "".join(rng.choice(signs) + ("，" if rng.random() < 0.08 else "") for _ in range(n))
+    items = [(i, text(rng.randrange(24, 60)) + "。" + text(rng.randrange(4, 9)) + "。", "") for i in range(12)]
+    docs, want = [], set()
+    for i in range(90):
+        body = text(rng.randrange(40, 400))
+        if i % 3:
+            k, at = rng.randrange(12), rng.randrange(len(body))
+            body = body[:at] + items[k][1] + body[at:]
+            want.add((i, k))
+        docs.append(body)
+    assert found(leaks(docs_of(docs), spark.createDataFrame(items, BENCH))) == want
+
+
+def test_typographic_copies(spark, docs_of):
+    item = "it's a well-known \"rule\" - don't ask why, just-in-time beats well-meant plans; that's what we've seen so far. So isn't it clear?"
+    curly = item.replace("'", "’").replace(' "', " “").replace('"', "”").replace(" - ", " — ").replace("-", "‑").replace(" ", " ")
+    rng = random.Random(5)
+    filler = [" ".join(f"w{rng.randrange(500)}" for _ in range(150)) for _ in range(30)]
+    got = found(leaks(docs_of([*filler, filler[0] + " " + curly + " " + filler[1]]), spark.createDataFrame([(1, item, "")], BENCH)))
+    assert got == {(30, 1)}
