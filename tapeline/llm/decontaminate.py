@@ -4,6 +4,7 @@ Documents are read as blocks of ``BLOCK`` words. A randomised singular value dec
 over hashed words, in one distributed pass (Nystroem form: the matrix times its transpose times a random basis), gives a latent
 space. A benchmark item is compared by cosine with every window of blocks of about its length; what comes near is checked on
 the words themselves: the longest common subsequence with the item, and for looser likenesses that of its answer.
+Items of a few words are too small for cosines; they are found where their words stand side by side in the same order.
 
 Document frequencies, the decomposition and the search cover all blocks of all documents.
 """
@@ -30,7 +31,7 @@ SKIP = 16  # leading components left out: they tell languages and frequent words
 NEAR = 0.42  # least cosine of a candidate
 SAME = 0.8  # share of an item's words in common order that makes a copy
 LIKE = 0.6  # the same for a paraphrase, whose answer must be there
-LEAST_WORDS = 8  # items with fewer words are too common to search for
+LEAST_WORDS = 8  # items with fewer words are found as exact word sequences only
 ITEMS_AT_ONCE = 2000  # items compared in one pass over the documents; more take more passes
 _MARKS = "".join(c for c in map(chr, range(0x300, 0x1F000)) if unicodedata.category(c)[0] == "M")
 #: Scripts without spaces between words: Thai, Lao, Burmese, Khmer, kana, bopomofo and Chinese characters.
@@ -38,6 +39,7 @@ _UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3005\u3007\u3040-\u312f\u3
 _OTHER = re.compile(rf"[^\x00-\x7f\w{_MARKS}]+")
 _ALONE = re.compile(rf"[{_UNSPACED}][{_MARKS}]*")
 _SPACES = bytes(c if c > 127 or chr(c).isalnum() else 32 for c in range(256))
+_MIX = np.uint64(0x9E3779B97F4A7C15)
 _CHUNK = 1 << 14  # words handled at once: their vectors stay in the cache
 
 
@@ -182,11 +184,11 @@ class Item:
 
 
 def read_items(rows: Sequence[tuple[int | None, str | None]]) -> list[Item]:
-    """Items with enough words; the answer is the last sentence or line, or the whole of an item of one sentence."""
+    """Items with words; the answer is the last sentence or line, or the whole of an item of one sentence."""
     hashes, out = WordHashes(), []
     for item_id, text in rows:
         words = hashes.of(text or "")
-        if len(words) < LEAST_WORDS:
+        if not len(words):
             continue
         sentences = [h for s in re.split(r"[.!?\n。！？｡]+", text) if len(h := hashes.of(s))]
         out.append(Item(item_id, words, sentences[-1], -(-(len(words) + BLOCK // 2) // BLOCK)))
@@ -284,6 +286,47 @@ class Searcher:
         return out
 
 
+def sequence_hashes(words: np.ndarray, n: int) -> np.ndarray:
+    """64-bit hashes of all runs of ``n`` words."""
+    total = np.zeros(max(0, len(words) - n + 1), np.uint64)
+    for k in range(n):
+        total = (total ^ words[k : k + len(total)]) * _MIX
+        total ^= total >> np.uint64(31)
+    return total
+
+
+class SequenceSearcher:
+    """Finds items as contiguous word sequences."""
+
+    def __init__(self, items: list[Item]):
+        self.items, self.by_length = items, {}
+        lengths = np.array([len(item.words) for item in items])
+        for n in np.unique(lengths).tolist():
+            mine = np.flatnonzero(lengths == n)
+            hashes = np.concatenate([sequence_hashes(items[i].words, n) for i in mine])
+            order = np.argsort(hashes, kind="stable")
+            self.by_length[n] = (hashes[order], mine[order])
+
+    def matches(self, docs: Sequence[np.ndarray]) -> list[dict[int, tuple[float, int, bool]]]:
+        """(1.0, words, True) of every item that each document holds."""
+        out: list[dict[int, tuple[float, int, bool]]] = [{} for _ in docs]
+        if not self.items:
+            return out
+        words, ends = np.concatenate(docs), np.cumsum([len(d) for d in docs])
+        for n, (keys, mine) in self.by_length.items():
+            hashes = sequence_hashes(words, n)
+            low = np.searchsorted(keys, hashes, "left")
+            at = np.flatnonzero(keys[np.minimum(low, len(keys) - 1)] == hashes)
+            doc = np.searchsorted(ends, at, "right")
+            inside = at + n <= ends[doc]
+            for d, k in np.unique(np.stack([doc[inside], low[at[inside]]]), axis=1).T.tolist():
+                first = keys[k]
+                while k < len(keys) and keys[k] == first:  # items with the same words
+                    out[d][int(mine[k])] = (1.0, n, True)
+                    k += 1
+        return out
+
+
 FOUND = pa.schema(
     [("doc_id", pa.int64()), ("item_id", pa.int64()), ("item_words", pa.int64()), ("common_words", pa.int64()), ("answered", pa.bool_()), ("similarity", pa.float64())]
 )
@@ -293,8 +336,9 @@ FOUND_DDL = "doc_id long, item_id long, item_words long, common_words long, answ
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, item_words, common_words, answered and similarity of every document that holds a benchmark item.
 
-    ``docs`` (doc_id, text), ``benchmark`` (item_id, text). Null and empty texts hold nothing, items of fewer than
-    ``LEAST_WORDS`` words are not searched for. Repeated rows are reported as often as they occur. Other columns are ignored.
+    ``docs`` (doc_id, text), ``benchmark`` (item_id, text). Null and empty texts hold nothing, items without words are nowhere.
+    Items of fewer than ``LEAST_WORDS`` words are found as exact word sequences, with similarity 1. Repeated rows are reported
+    as often as they occur. Other columns are ignored.
     The items are the stated queries: they are compared with all documents in blocks of ``ITEMS_AT_ONCE``.
     """
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_column().alias("text"))
@@ -310,15 +354,20 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def _search(words: DataFrame, items: list[Item], latent: np.ndarray) -> DataFrame:
+    long = [item for item in items if len(item.words) >= LEAST_WORDS]
+    short = [item for item in items if len(item.words) < LEAST_WORDS]
+
     def run(source):
-        searcher = Searcher(items, latent)
+        searchers = [s for s in (Searcher(long, latent), SequenceSearcher(short)) if s.items]
         for batch in batches(source, 256):
             rows: list[list] = [[] for _ in FOUND]
-            found = searcher.matches(_arrays(batch)) if items else []
-            for doc_id, mine in zip(batch.column("doc_id").to_pylist(), found):
-                for i, (near, common, answered) in mine.items():
-                    for column, value in zip(rows, (doc_id, items[i].item_id, len(items[i].words), common, answered, near)):
-                        column.append(value)
+            docs, ids = _arrays(batch), batch.column("doc_id").to_pylist()
+            for searcher in searchers:
+                for doc_id, mine in zip(ids, searcher.matches(docs)):
+                    for i, (near, common, answered) in mine.items():
+                        item = searcher.items[i]
+                        for column, value in zip(rows, (doc_id, item.item_id, len(item.words), common, answered, near)):
+                            column.append(value)
             yield rows_of(FOUND, rows)
 
     return words.mapInArrow(run, FOUND_DDL)

@@ -120,3 +120,18 @@ def test_typographic_copies(spark, docs_of):
     filler = [" ".join(f"w{rng.randrange(500)}" for _ in range(150)) for _ in range(30)]
     got = found(leaks(docs_of([*filler, filler[0] + " " + curly + " " + filler[1]]), spark.createDataFrame([(1, item, "")], BENCH)))
     assert got == {(30, 1)}
+
+
+def test_short_items_are_found_exactly(spark, docs_of):
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(12)]
+    items = [(i, " ".join(rng.choices(words, k=1 + i % 7)), "") for i in range(3, 40)]
+    items += [(50, "What is 3 + 4? 7", ""), (51, "what is 3 4 7", ""), (52, "二加三等于五", ""), (53, "?!", ""), (54, "unheard", "")]
+    bodies = [" ".join(rng.choices(words, k=rng.randrange(0, 60))) for _ in range(80)]
+    bodies += ["So: what is 3 + 4? (7)", "what is 3", "4 7", "答案：二加三等于五。", "二加三", "等于五", "w0 what is x 3 4 7", None, ""]
+    hashes = WordHashes()
+    plain = lambda t: " " + " ".join(map(str, hashes.of(t or "").tolist())) + " "
+    want = sorted((d, i) for d, t in enumerate(bodies) for i, x, _ in items if plain(x).strip() and plain(x) in plain(t))
+    rows = leaks(docs_of(bodies, extra=True), spark.createDataFrame(items, BENCH)).collect()
+    assert sorted((r["doc_id"], r["item_id"]) for r in rows) == want and {(80, 50), (80, 51), (83, 52)} <= set(want)
+    assert all(r["common_words"] == r["item_words"] < 8 and r["answered"] and r["similarity"] == 1.0 for r in rows)
