@@ -135,7 +135,7 @@ def _documents(docs: DataFrame, words: int, percent: int) -> DataFrame:
 def _texts_of(docs: DataFrame, members: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
     """node and text of one document per node of ``nodes``; written once."""
     shape = pa.schema([("node", pa.int64()), ("text", pa.string())])
-    one = members.join(nodes.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
+    one = members.join(nodes.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("row").alias("row"))
 
     def run(source):
         shingler = Shingler(words)
@@ -144,8 +144,8 @@ def _texts_of(docs: DataFrame, members: DataFrame, nodes: DataFrame, words: int)
             mine = [i for i, t in enumerate(whole) if len(s := shingler.shingles(t)) and node_of(s) == nodes[i]]
             yield rows_of(shape, [[nodes[i] for i in mine], [whole[i] for i in mine]])
 
-    # an id of several rows brings all their texts; the set's name tells which is meant
-    found = docs.filter(F.col("doc_id").isNotNull()).join(one, "doc_id").select("node", "text").mapInArrow(run, "node long, text string")
+    # rows of one key bring all their texts; the set's name tells which is meant
+    found = docs.join(one, "row").select("node", "text").mapInArrow(run, "node long, text string")
     return materialize(found).dropDuplicates(["node"])
 
 
@@ -287,7 +287,7 @@ def _labelled(docs: DataFrame, words: int, percent: int) -> DataFrame:
     # equal documents have the same node and signatures, so a bucket matters if two of its nodes differ
     buckets = sigs.groupBy("sig").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter(F.col("low") != F.col("high"))
     inside = materialize(sigs.join(buckets.select("sig"), "sig").distinct())
-    found = _components(slim.select("doc_id", "text"), members, inside, words, percent)
+    found = _components(slim.select("row", "text"), members, inside, words, percent)
     labelled = members.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = labelled.filter(F.col("node").isNotNull()).groupBy("component").agg(F.min("doc_id").alias("_least"))
     return labelled.join(least, "component", "left").select("doc_id", "row", "n_shingles", "component", F.coalesce("_least", "doc_id").alias("component_id"))

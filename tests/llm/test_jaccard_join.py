@@ -117,3 +117,20 @@ def test_awkward_rows(spark, docs_of):
 def test_short_texts():
     s = Shingler()
     assert [len(s.shingles(t)) for t in ("", " ", "a", "a b", "a b c", "a b c a b c")] == [0, 0, 1, 1, 1, 3]
+
+
+def test_near_copies_without_id(spark, docs_of):
+    """A set that only rows without id have is compared like any other, by hubs and in opened groups."""
+    rng = random.Random(12)
+    words = [f"w{i}" for i in range(900)]
+    rows = []
+    for i in range(25):
+        base = rng.choices(words, k=120)
+        for k in range(4):
+            text = base[: 60 + 15 * k] + [f"new{i}x{k}"] + base[60 + 15 * k :] if k else base
+            rows.append((i if k == 0 and i % 5 else None, " ".join(text)))
+    table = docs_of(rows)
+    got = sorted(((r["doc_id"], r["component_id"]) for r in join(table).collect()), key=str)
+    want = sorted(((d, i // 4 if (i // 4) % 5 else None) for i, (d, _) in enumerate(rows)), key=str)
+    assert got == want
+    assert sorted((r["doc_id"] for r in representatives(table).collect()), key=str) == sorted((i if i % 5 else None for i in range(25)), key=str)
