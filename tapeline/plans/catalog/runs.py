@@ -8,6 +8,7 @@ from tapeline.operators.features import feature_names
 from tapeline.plans import learning, research
 from tapeline.plans.catalog.common import DAILY_SQL, DAY, HOURLY_SQL, TR_SQL, daily, hourly, price_ticks, register, rounded, table
 from tapeline.plans.catalog.bars_and_features import FEATURE_SQL
+from tapeline.plans.catalog.sources_and_sinks import scratch
 from tapeline.plans.catalog.trading import FILL_SQL, METRIC_SQL, _drawdown_sql, _METRICS, example_orders, quoted_ticks
 from tapeline.plans.catalog.trends import STV_SQL
 from tapeline.session import materialize
@@ -60,13 +61,80 @@ register(
 )
 
 
+_USABLE = f"""{DAILY_SQL}, {FEATURE_SQL},
+u AS (SELECT *, lead(close, 5) OVER (PARTITION BY symbol ORDER BY pos) AS nx FROM feats),
+v AS MATERIALIZED (SELECT *, CASE WHEN nx / close - 1 > 0 THEN 1.0 ELSE 0.0 END AS y FROM u WHERE nx IS NOT NULL AND {_ALL})"""
+
+# ridge on two scaled features: the normal equations of the centred values, by Cramer's rule
+_RIDGE_SQL = f"""WITH RECURSIVE {_USABLE},
+z AS (SELECT symbol, ts, nx / close - 1 AS t, (return_1 - avg(return_1) OVER ()) / stddev_samp(return_1) OVER () AS a, (rsi_14 - avg(rsi_14) OVER ()) / stddev_samp(rsi_14) OVER () AS b FROM v),
+k AS (SELECT avg(t) AS m, sum(a * a) + 1 AS aa, sum(a * b) AS ab, sum(b * b) + 1 AS bb, sum(a * t) AS va, sum(b * t) AS vb FROM z)
+SELECT symbol, ts, round(m + (bb * va - ab * vb) / (aa * bb - ab * ab) * a + (aa * vb - ab * va) / (aa * bb - ab * ab) * b, 6) AS prediction FROM z, k"""
+
+# logistic regression on one scaled feature: thirty Newton steps, each one aggregate over the rows
+_LOGISTIC_SQL = f"""WITH RECURSIVE {_USABLE},
+z AS MATERIALIZED (SELECT symbol, ts, y, (rsi_14 - avg(rsi_14) OVER ()) / stddev_samp(rsi_14) OVER () AS x FROM v),
+n AS (SELECT 0 AS i, CAST(0 AS DOUBLE) AS w, CAST(0 AS DOUBLE) AS c UNION ALL
+  SELECT i + 1, w - (hcc * gw - hwc * gc) / (hww * hcc - hwc * hwc), c - (hww * gc - hwc * gw) / (hww * hcc - hwc * hwc)
+  FROM (SELECT i, w, c, sum((p - y) * x) + w AS gw, sum(p - y) AS gc, sum(p * (1 - p) * x * x) + 1 AS hww, sum(p * (1 - p) * x) AS hwc, sum(p * (1 - p)) AS hcc
+        FROM (SELECT i, w, c, x, y, 1 / (1 + exp(-(c + w * x))) AS p FROM n, z WHERE i < 30) GROUP BY i, w, c)),
+f AS (SELECT symbol, ts, y, 1 / (1 + exp(-(c + w * x))) AS p FROM z, n WHERE i = 30)"""
+
+
+def _usable(s, d):
+    return materialize(research.usable_rows(daily(s, d), DAY, research.Settings()))
+
+
 def _ridge(s, d):
-    usable = materialize(research.usable_rows(daily(s, d), DAY, research.Settings()))
+    usable = _usable(s, d)
     fitted = learning.fit_ridge(usable, ["return_1", "rsi_14"], "future_return_5")
     return fitted.predict(usable).select("symbol", "ts", F.round("prediction", 6).alias("prediction"))
 
 
-register("model_ridge", _ridge)
+def _logistic(s, d):
+    usable = _usable(s, d)
+    return learning.fit_logistic(usable, ["rsi_14"], "label").predict(usable)
+
+
+def _gradient(s, d):
+    """At the optimum every slope is near 0: six digits of it."""
+    usable, names = _usable(s, d), list(feature_names())
+    fitted = learning.fit_logistic(usable, names, "label", population=True)
+    return learning.gradient(fitted, usable).select("feature", (F.abs("slope") < 1e-5).alias("settled"))
+
+
+def _saved_model(s, d):
+    """The model of model_logistic after a round trip through its table."""
+    usable = _usable(s, d)
+    path = f"{scratch(s)}/model"
+    learning.save(learning.fit_logistic(usable, ["rsi_14"], "label"), s, path)
+    scored = learning.load(s, path).predict(usable)
+    return scored.groupBy("symbol").agg(F.count("*").alias("rows"), F.round(F.avg("probability"), 4).alias("mean_probability"))
+
+
+def _majority(s, d):
+    """Training labels of one class: that class is the constant prediction."""
+    usable = _usable(s, d)
+    fitted = learning.fit_logistic(usable.filter("label = 1"), ["rsi_14"], "label")
+    return learning.accuracy(fitted.predict(usable), "label", ("symbol",)).withColumn("accuracy", F.round("accuracy", 8))
+
+
+register("model_ridge", _ridge, _RIDGE_SQL)
+register(
+    "model_logistic", lambda s, d: _logistic(s, d).select("symbol", "ts", F.round("probability", 4).alias("probability")),
+    _LOGISTIC_SQL + " SELECT symbol, ts, round(p, 4) AS probability FROM f",
+)
+register(
+    "model_confusion", lambda s, d: learning.confusion(_logistic(s, d), "label", ("symbol",)),
+    _LOGISTIC_SQL + """ SELECT symbol, count(*) FILTER (p > 0.5 AND y = 1) AS hits, count(*) FILTER (p > 0.5 AND y = 0) AS false_alarms,
+    count(*) FILTER (p <= 0.5 AND y = 1) AS misses, count(*) FILTER (p <= 0.5 AND y = 0) AS right_rejections FROM f GROUP BY 1""",
+)
+register(
+    "model_gradient", _gradient,
+    " UNION ALL ".join(f"SELECT '{n}' AS feature, count(*) > 0 AS settled FROM orders" for n in ("intercept", *feature_names())),
+)
+register("model_saved", _saved_model, _LOGISTIC_SQL + " SELECT symbol, count(*) AS rows, round(avg(p), 4) AS mean_probability FROM f GROUP BY 1")
+register("model_majority", _majority, f"WITH RECURSIVE {_USABLE} SELECT symbol, count(*) AS rows, round(avg(y), 8) AS accuracy FROM v GROUP BY 1")
 register(
     "sink_csv_columns",
     lambda s, d: sinks.csv_columns(hourly(s, d).select("symbol", "ts", (F.col("close") / 3).alias("third"))),

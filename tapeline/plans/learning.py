@@ -1,16 +1,18 @@
-"""Linear models on features and labels."""
+"""Linear models on features and labels.
+
+Spark ML fits them. What is kept is the coefficients: scoring is a plain column expression over the scaled features, so it stays
+inside generated code, and a fitted model is a small table.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import LinearRegression
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tapeline.operators.quality import duplicates
@@ -51,26 +53,45 @@ class Fitted:
     features: tuple[str, ...]
     target: str
     scaler: Scaler
-    model: PipelineModel | None
+    weights: tuple[float, ...]
+    intercept: float
     constant: float | None
     kind: str
 
+    def score(self) -> Column:
+        """Intercept plus weighted scaled features, added in the order of the features; null where a feature is null."""
+        total = F.lit(self.intercept)
+        for name, weight in zip(self.features, self.weights):
+            total = total + (F.col(name) - self.scaler.means[name]) / self.scaler.deviations[name] * F.lit(weight)
+        return total
+
     def predict(self, df: DataFrame) -> DataFrame:
         """``prediction``, and for classifiers ``probability`` of class one."""
         if self.constant is not None:
             out = df.withColumn("prediction", F.lit(self.constant))
             return out.withColumn("probability", F.lit(self.constant)) if self.kind == "logistic" else out
-        scored = self.model.transform(self.scaler.apply(df))
-        if self.kind == "logistic":
-            scored = scored.withColumn("probability", vector_to_array("probability")[1])
-        drop = [c for c in scored.columns if c.startswith("_z_") or c in ("_features", "rawPrediction")]
-        return scored.drop(*drop)
+        if self.kind != "logistic":
+            return df.withColumn("prediction", self.score())
+        scored = df.withColumn("probability", 1.0 / (1.0 + F.exp(-self.score())))
+        return scored.withColumn("prediction", (F.col("probability") > 0.5).cast("double"))
 
 
-def _pipeline(stage, train: DataFrame, features: Sequence[str], scaler: Scaler) -> PipelineModel:
+def _coefficients(stage, train: DataFrame, features: Sequence[str], scaler: Scaler) -> tuple[tuple[float, ...], float]:
     assembler = VectorAssembler(inputCols=[f"_z_{c}" for c in features], outputCol="_features")
-    ready = assembler.transform(scaler.apply(train))
-    return PipelineModel([assembler, stage.fit(ready)])
+    model = stage.fit(assembler.transform(scaler.apply(train)))
+    return tuple(float(w) for w in model.coefficients), float(model.intercept)
+
+
+def gradient(fitted: Fitted, train: DataFrame, c: float = 1.0) -> DataFrame:
+    """Slope of the penalised logistic loss at the fitted coefficients, per feature and for the intercept; near 0 at the optimum.
+
+    One aggregate: the mean over rows of (probability - label) times the scaled feature, plus the penalty weight / (c * rows).
+    """
+    off = F.col("probability") - F.col(fitted.target)
+    z = {n: (F.col(n) - fitted.scaler.means[n]) / fitted.scaler.deviations[n] for n in fitted.features}
+    slopes = [(F.avg(off * z[n]) + F.lit(w) / (F.lit(c) * F.count("*"))) for n, w in zip(fitted.features, fitted.weights)]
+    pairs = [F.struct(F.lit(n).alias("feature"), s.alias("slope")) for n, s in zip(("intercept", *fitted.features), (F.avg(off), *slopes))]
+    return fitted.predict(train).agg(F.array(*pairs).alias("all")).select(F.inline("all"))
 
 
 def fit_logistic(
@@ -80,13 +101,13 @@ def fit_logistic(
     seen = train.agg(F.count("*").alias("n"), F.min(target).alias("low"), F.max(target).alias("high")).first()
     scaler = fit_scaler(train, features, population)
     if seen.low == seen.high:
-        return Fitted(tuple(features), target, scaler, None, float(seen.low), "logistic")
+        return Fitted(tuple(features), target, scaler, (), 0.0, float(seen.low), "logistic")
     rows = seen.n
     stage = LogisticRegression(
         featuresCol="_features", labelCol=target, regParam=1.0 / (c * rows), elasticNetParam=0.0, standardization=False,
         maxIter=iterations, tol=1e-8,
     )
-    return Fitted(tuple(features), target, scaler, _pipeline(stage, train, features, scaler), None, "logistic")
+    return Fitted(tuple(features), target, scaler, *_coefficients(stage, train, features, scaler), None, "logistic")
 
 
 def fit_ridge(train: DataFrame, features: Sequence[str], target: str, alpha: float = 1.0, population: bool = False) -> Fitted:
@@ -96,7 +117,14 @@ def fit_ridge(train: DataFrame, features: Sequence[str], target: str, alpha: flo
     stage = LinearRegression(
         featuresCol="_features", labelCol=target, regParam=alpha / rows, elasticNetParam=0.0, standardization=False, solver="normal"
     )
-    return Fitted(tuple(features), target, scaler, _pipeline(stage, train, features, scaler), None, "ridge")
+    return Fitted(tuple(features), target, scaler, *_coefficients(stage, train, features, scaler), None, "ridge")
+
+
+def confusion(predictions: DataFrame, target: str, keys: Sequence[str] = ("split",)) -> DataFrame:
+    """Counts of right and wrong predictions of each class."""
+    said, true = F.col("prediction") == 1, F.col(target) == 1
+    cells = {"hits": said & true, "false_alarms": said & ~true, "misses": ~said & true, "right_rejections": ~said & ~true}
+    return predictions.groupBy(*keys).agg(*[F.count(F.when(cond, 1)).alias(name) for name, cond in cells.items()])
 
 
 def accuracy(predictions: DataFrame, target: str, keys: Sequence[str] = ("split",)) -> DataFrame:
@@ -113,20 +141,17 @@ def signal_table(predictions: DataFrame, threshold: float = 0.5) -> DataFrame:
 
 
 def save(fitted: Fitted, spark: SparkSession, path: str) -> None:
-    """Model stages, and the scaler and settings as a small table beside them."""
-    if fitted.model is not None:
-        fitted.model.write().overwrite().save(f"{path}/stages")
+    """The model as a table of one row per feature: scaler, weight and settings."""
     rows = [
-        (i, c, float(fitted.scaler.means[c]), float(fitted.scaler.deviations[c]), fitted.target, fitted.kind, fitted.constant)
+        (i, c, float(fitted.scaler.means[c]), float(fitted.scaler.deviations[c]), fitted.weights[i] if fitted.weights else None, fitted.intercept, fitted.target, fitted.kind, fitted.constant)
         for i, c in enumerate(fitted.features)
     ]
-    shape = "position int, feature string, mean double, deviation double, target string, kind string, constant double"
-    spark.createDataFrame(rows, shape).write.mode("overwrite").parquet(f"{path}/settings")
+    shape = "position int, feature string, mean double, deviation double, weight double, intercept double, target string, kind string, constant double"
+    spark.createDataFrame(rows, shape).write.mode("overwrite").parquet(path)
 
 
 def load(spark: SparkSession, path: str) -> Fitted:
-    rows = spark.read.parquet(f"{path}/settings").orderBy("position").collect()  # one row per feature
+    rows = spark.read.parquet(path).orderBy("position").collect()  # one row per feature
     scaler = Scaler({r.feature: r["mean"] for r in rows}, {r.feature: r.deviation for r in rows})
-    constant = rows[0].constant
-    model = None if constant is not None else PipelineModel.load(f"{path}/stages")
-    return Fitted(tuple(r.feature for r in rows), rows[0].target, scaler, model, constant, rows[0].kind)
+    weights = () if rows[0].constant is not None else tuple(r.weight for r in rows)
+    return Fitted(tuple(r.feature for r in rows), rows[0].target, scaler, weights, rows[0].intercept, rows[0].constant, rows[0].kind)

@@ -48,6 +48,7 @@ def research_run(bars: DataFrame, seconds: float, settings: Settings = Settings(
     if not labels.leakage_check(usable, settings.horizon).filter("NOT (in_order AND labels_clear)").isEmpty():
         raise ValueError("the holdout overlaps the training part")
     train = usable.filter("split = 'train'")
+    learning.check_inputs(usable, names, "label")
     model = learning.fit_logistic(train, names, "label", iterations=settings.iterations, population=True)
     scored = model.predict(usable)
     holdout = scored.filter("split = 'holdout'").withColumn("prediction", (F.col("probability") >= 0.5).cast("double"))

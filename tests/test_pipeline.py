@@ -7,7 +7,9 @@ import tempfile
 from datetime import datetime, timedelta
 
 import duckdb
+import numpy as np
 import pytest
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
@@ -122,6 +124,28 @@ def test_scaler_and_logistic(spark):
     assert one.constant == 1.0
 
 
+def test_models_work_after_an_observation(spark):
+    """A session that has observed a table can still fit, score and check a model; nulls score null."""
+    rows = [(i, float(i % 7), float((i * 5) % 11), float((i * 3) % 10 > 4)) for i in range(200)]
+    train = spark.createDataFrame(rows, "id int, a double, b double, y double")
+    seen = Observation()
+    train.observe(seen, F.max("a").alias("most")).write.format("noop").mode("overwrite").save()
+    assert seen.get["most"] == 6.0
+    fitted = learning.fit_logistic(train, ["a", "b"], "y")
+    scored = fitted.predict(train)
+    assert scored.count() == 200 and "Python" not in scored._jdf.queryExecution().executedPlan().toString()
+    assert all(abs(r.slope) < 1e-6 for r in learning.gradient(fitted, train).collect())
+    a, b, y = (np.array([r[k] for r in rows]) for k in (1, 2, 3))
+    z = np.stack([(a - a.mean()) / a.std(ddof=1), (b - b.mean()) / b.std(ddof=1)], 1)
+    p = 1 / (1 + np.exp(-(z @ np.array(fitted.weights) + fitted.intercept)))
+    got = [r.probability for r in scored.orderBy("id").collect()]
+    assert np.allclose(got, p)
+    c = learning.confusion(scored.withColumn("split", F.lit("all")), "y").first()
+    assert (c.hits, c.false_alarms) == (int(((p > 0.5) & (y == 1)).sum()), int(((p > 0.5) & (y == 0)).sum()))
+    hole = spark.createDataFrame([(1, None, 2.0, 1.0)], train.schema)
+    assert fitted.predict(hole).first().probability is None
+
+
 def test_research_run_is_deterministic(spark, bars):
     long = bars.filter("symbol <> 'CCC'")
     a, b = (research.research_run(long, MINUTE, research.Settings(iterations=30)) for _ in range(2))
