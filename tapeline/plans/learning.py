@@ -111,11 +111,14 @@ def fit_logistic(
 
 
 def fit_ridge(train: DataFrame, features: Sequence[str], target: str, alpha: float = 1.0, population: bool = False) -> Fitted:
-    """Ridge regression; the penalty is divided by the row count because Spark averages the loss."""
+    """Ridge regression: squared errors plus ``alpha`` times the squared weights of the scaled features, no penalty on the intercept.
+
+    Spark averages the loss over the rows and divides the penalty by the label's deviation, so both are put back.
+    """
     scaler = fit_scaler(train, features, population)
-    rows = train.count()
+    seen = train.agg(F.count("*").alias("n"), F.stddev_pop(target).alias("spread")).first()
     stage = LinearRegression(
-        featuresCol="_features", labelCol=target, regParam=alpha / rows, elasticNetParam=0.0, standardization=False, solver="normal"
+        featuresCol="_features", labelCol=target, regParam=alpha / seen.n * seen.spread, elasticNetParam=0.0, standardization=False, solver="normal"
     )
     return Fitted(tuple(features), target, scaler, *_coefficients(stage, train, features, scaler), None, "ridge")
 
