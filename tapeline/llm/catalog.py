@@ -14,6 +14,7 @@ from tapeline.llm.packing import pack
 from tapeline.llm.repeats import remove_repeats
 from tapeline.llm.token_files import read_token_files, write_token_files
 from tapeline.llm.warc import read_archives, write_archives
+from tapeline.llm.whitening import whiten
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -72,6 +73,10 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
 QUERIES["op1_token_files"] = op1_token_files
 QUERIES["op2_packing"] = op2_packing
 QUERIES["op3_warc"] = op3_warc
@@ -82,3 +87,4 @@ QUERIES["op9_html_text"] = op9_html_text
 QUERIES["op10_jaccard_join"] = op10_jaccard_join
 QUERIES["op6_repeats"] = op6_repeats
 QUERIES["op7_decontamination"] = op7_decontamination
+QUERIES["op13_whitening"] = op13_whitening
