@@ -18,10 +18,12 @@ from tapeline.session import ensure_checkpoint_dir, materialize
 __all__ = ["TokenCache", "batches", "held_out", "materialize", "rows_of", "shared_folder", "table", "text_column", "texts", "token_cache"]
 
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
-#: Letters, then ASCII punctuation without the apostrophe: every splitter of the public vocabularies cuts between the two and
-#: nowhere else.
-_PLAIN = re.compile(r"( ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-&(-/:-@\[-`{-~]*)")
-_PROBES = (" word", "word", "Ünal", "x", "...", " qzxv", "!?")
+#: Letters, digits, ASCII punctuation without the apostrophe, and a line feed between two of them: every splitter of the public
+#: vocabularies cuts between these and nowhere inside (single digits where white space is dropped).
+_WORD = "[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+"
+_MARKS = r"[!-&(-/:-@\[-`{-~]+"
+_PARTS = {True: re.compile(rf" ?{_WORD}| ?[0-9]+| ?{_MARKS}|\n(?=\S)"), False: re.compile(rf"{_WORD}|[0-9]|{_MARKS}")}
+_PROBES = (" word", "word", "Ünal", "x", "...", " qzxv", "!?", " .", "7")
 
 
 def _byte_letters() -> dict[int, str]:
@@ -72,69 +74,74 @@ class TokenCache:
 
     ``leading_space`` states how the tokenizer splits text. False: white space is dropped, so a text is the sequence of its
     words. True: a single space belongs to the word after it, so a text can be cut before every single space that has no
-    white space beside it. Both cuts lie between two pre-tokens, so the ids are those of the whole text; so does the cut
-    between letters and ASCII punctuation that new pieces get. What is one pre-token goes to the library's merge model
-    directly, if that gives the ids of the whole tokenizer for some probes; all else goes through the tokenizer. A cache of more than ``limit`` pieces becomes the old one, from
-    which pieces in use are taken over.
+    white space beside it. Both cuts lie between two pre-tokens, so the ids are those of the whole text; so do the cuts
+    between letters, digits and ASCII punctuation that new pieces get. What is one pre-token goes to the library's merge model
+    directly, if that gives the ids of the whole tokenizer for some probes; all else goes through the tokenizer. A cache of
+    more than ``limit`` pieces becomes the old one, from which pieces in use are taken over.
+
+    A text that holds the string of a special token goes whole through the tokenizer, which gives it the special id; with
+    ``special_text`` these strings are ordinary text.
     """
 
-    def __init__(self, path: str, leading_space: bool, limit: int = 300_000):
+    def __init__(self, path: str, leading_space: bool, limit: int = 300_000, special_text: bool = False):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.tokenizer.encode_special_tokens = special_text
+        # their first two characters are enough to tell the few texts that need care
+        self.marks = () if special_text else tuple({t.content[:2] for t in self.tokenizer.get_added_tokens_decoder().values()})
         self.leading_space = leading_space
         self.limit = limit
         self.known: dict = {}
         self.old: dict = {}
-        self.parts: dict[str, bytes] = {}
         self._letters = _byte_letters()
-        probes = _PROBES if leading_space else [p.strip() for p in _PROBES]
-        self.direct = all(self._merged(p) == self.tokenizer.encode(p, add_special_tokens=False).ids for p in probes)
         self.wide = self.tokenizer.get_vocab_size() > 1 << 16
+        self._code = "I" if self.wide else "H"
+        probes = _PROBES if leading_space else [p.strip() for p in _PROBES]
+        plain = [array(self._code, self.tokenizer.encode(p, add_special_tokens=False).ids).tobytes() for p in probes]
+        self.direct = [self._merged(p if leading_space else p.lower()) for p in probes] == plain
 
     def _pieces(self, text: str) -> list:
         if not self.leading_space:
             return text.encode().translate(_LOWER).split() if text else []
-        if re.search(r"\s\s", text) or text[:1].isspace() or text[-1:].isspace():
+        if re.search(r"\s\s", text) or text[-1:].isspace() or (text[:1].isspace() and text[0] != " "):
             return re.split(r"(?<=\S)(?= \S)", text)
         return text.replace(" ", "\0 ").split("\0") if "\0" not in text else re.split(r"(?<=\S)(?= \S)", text)
 
-    def _merged(self, text: str) -> list[int]:
+    def _merged(self, text: str) -> bytes:
         """Ids of one pre-token by the merge model."""
-        text = text if self.leading_space else text.lower()
-        return [t.id for t in self.tokenizer.model.tokenize(text.encode().decode("latin-1").translate(self._letters))]
+        shown = "\u0120" + text[1:] if text[:1] == " " and text.isascii() else text.encode().decode("latin-1").translate(self._letters)
+        return array(self._code, [t.id for t in self.tokenizer.model.tokenize(shown)]).tobytes()
 
     def _learn(self, new: list) -> None:
-        split, parts, simple = [], self.parts, set()
-        for text in new if self.leading_space else [p.decode() for p in new]:
-            if found := _PLAIN.fullmatch(text):
-                groups = found.groups() if found[2] else (text,)
-                simple.update(groups)
+        known, whole, merged = self.known, [], self._merged
+        split, words = _PARTS[self.leading_space].findall, self.leading_space
+        for piece in new:
+            text = piece if words else piece.decode()
+            parts = split(text) if self.direct else ()
+            if len(parts) == 1 and len(parts[0]) == len(text):
+                known[piece] = merged(text if words else text.lower())
+            elif parts and sum(map(len, parts)) == len(text):
+                ids = b""
+                for part in parts:
+                    key = part if words else part.encode()
+                    if (got := known.get(key)) is None:
+                        got = known[key] = merged(part if words else part.lower())
+                    ids += got
+                known[piece] = ids
             else:
-                groups = (text,)
-            split.append(groups)
-        code = "I" if self.wide else "H"
-        missing = [x for s in split for x in s if x not in parts]
-        if self.direct:
-            model, letters = self.tokenizer.model.tokenize, self._letters
-            for text in simple.difference(parts):
-                known = text if self.leading_space else text.lower()
-                parts[text] = array(code, [t.id for t in model(known.encode().decode("latin-1").translate(letters))]).tobytes()
-            missing = [x for x in missing if x not in parts]
-        missing = list(set(missing))
-        for text, got in zip(missing, self.tokenizer.encode_batch_fast(missing, add_special_tokens=False)):
-            parts[text] = array(code, got.ids).tobytes()
-        for piece, s in zip(new, split):
-            self.known[piece] = parts[s[0]] if len(s) == 1 else parts[s[0]] + parts[s[1]]
+                whole.append(piece)
+        asked = whole if self.leading_space else [p.decode() for p in whole]
+        for piece, got in zip(whole, self.tokenizer.encode_batch_fast(asked, add_special_tokens=False)):
+            known[piece] = array(self._code, got.ids).tobytes()
 
     def encode(self, many: Sequence[str]) -> list[np.ndarray]:
         """Ids of every text, as little-endian unsigned integers."""
         kind = "<u4" if self.wide else "<u2"
-        cut = [self._pieces(t) if t else [] for t in many]
+        special = {i for i, t in enumerate(many) if t and any(m in t for m in self.marks)}
+        cut = [self._pieces(t) if t and i not in special else [] for i, t in enumerate(many)]
         if len(self.known) > self.limit:
             self.known, self.old = {}, self.known
-            self.parts = self.parts if len(self.parts) < 2 * self.limit else {}
         known, old = self.known, self.old
         new = [p for p in set().union(*cut) if p not in known]
         if old:
@@ -143,17 +150,19 @@ class TokenCache:
             new = [p for p in new if p not in known]
         self._learn(new)
         get = known.__getitem__
-        return [np.frombuffer(b"".join(map(get, p)), kind) for p in cut]
+        out = [np.frombuffer(b"".join(map(get, p)), kind) for p in cut]
+        for i in special:
+            out[i] = np.array(self.tokenizer.encode(many[i], add_special_tokens=False).ids, kind)
+        return out
 
 
 _CACHES: dict = {}
 
 
-def token_cache(path: str, leading_space: bool) -> TokenCache:
+def token_cache(path: str, leading_space: bool, special_text: bool = False) -> TokenCache:
     """One cache per Python worker; the tokenizer is read from ``path``, which every executor must have."""
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-    key = (path, leading_space)
+    key = (path, leading_space, special_text)
     if key not in _CACHES:
-        _CACHES[key] = TokenCache(path, leading_space)
+        _CACHES[key] = TokenCache(path, leading_space, special_text=special_text)
     return _CACHES[key]
-

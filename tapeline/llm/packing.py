@@ -162,33 +162,33 @@ def solve(histogram: dict[int, int], capacity: int = CAPACITY, grain: int = GRAI
     )
 
 
-PIECES = "doc_id long, piece_key binary, start long, length long, doc_tokens long, ids_crc32 long, ids binary"
+PIECES = "doc_id long, piece_key long, start long, length long, doc_tokens long, ids_crc32 long"
 
 
-def cut(docs: DataFrame, tokenizer: str, leading_space: bool = True, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
-    """Pieces of at most ``capacity`` tokens: full ones and a tail per document; ids as little-endian unsigned 32-bit."""
-    shape = pa.schema(
-        [("doc_id", pa.int64()), ("piece_key", pa.binary()), ("start", pa.int64()), ("length", pa.int64()), ("doc_tokens", pa.int64()), ("ids_crc32", pa.int64()), ("ids", pa.binary())]
-    )
+def cut(docs: DataFrame, tokenizer: str, leading_space: bool = True, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = True) -> DataFrame:
+    """Pieces of at most ``capacity`` tokens: full ones and a tail per document; ids, if asked for, as little-endian unsigned 32-bit.
 
-    def run(source):
-        import xxhash
+    ``piece_key`` numbers the rows of a task, so that equal rows are dealt apart.
+    """
+    kinds = [pa.int64()] * 6 + [pa.binary()] * with_ids
+    shape = pa.schema(list(zip(("doc_id", "piece_key", "start", "length", "doc_tokens", "ids_crc32", "ids"), kinds)))
 
-        cache = token_cache(tokenizer, leading_space)
+    def run(source):
+        cache, number = token_cache(tokenizer, leading_space), 0
         for batch in batches(source, 128):
             rows: list[list] = [[] for _ in shape]
             whole = texts(batch)
-            for doc_id, text, ids in zip(batch.column("doc_id").to_pylist(), whole, cache.encode(whole)):
+            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), cache.encode(whole)):
                 ids = np.append(ids, ids.dtype.type(end_id)).astype("<u4")
-                key = xxhash.xxh3_128_digest(text)
+                number += 1
                 for start in range(0, len(ids), capacity):
                     data = ids[start : start + capacity].tobytes()
-                    for column, value in zip(rows, (doc_id, key, start, len(data) // 4, len(ids), zlib.crc32(data), data)):
+                    for column, value in zip(rows, (doc_id, number, start, len(data) // 4, len(ids), zlib.crc32(data), data)):
                         column.append(value)
             yield rows_of(shape, rows)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_column().alias("text"))
-    return rows.mapInArrow(run, PIECES)
+    return rows.mapInArrow(run, PIECES + ", ids binary" * with_ids)
 
 
 def pack(docs: DataFrame, tokenizer: str, leading_space: bool = True, capacity: int = CAPACITY, grain: int = GRAIN, with_ids: bool = True) -> DataFrame:
@@ -200,7 +200,7 @@ def pack(docs: DataFrame, tokenizer: str, leading_space: bool = True, capacity:
     Length classes are hot keys (copies, full pieces), so ranks are taken in parts of about ``RANK_ROWS`` rows: one window
     per (class, part) and a running sum over the counts of the parts.
     """
-    pieces = materialize(cut(docs, tokenizer, leading_space, capacity).drop(*([] if with_ids else ["ids"])))
+    pieces = materialize(cut(docs, tokenizer, leading_space, capacity, with_ids=with_ids))
     classed = pieces.withColumn("_class", F.ceil(F.col("length") / grain).cast("int"))
     histogram = {r["_class"]: r["n"] for r in classed.groupBy("_class").agg(F.count("*").alias("n")).collect()}
     plan = solve(histogram, capacity, grain)

@@ -51,7 +51,7 @@ def test_pieces_of_whole_documents(spark, docs_of, monkeypatch):
     monkeypatch.setattr(packing, "RANK_ROWS", 8)
     path = tokenizer_path("byte_bpe_50k.json")
     plain = Tokenizer.from_file(path)
-    rows = [(i, t) for i, t in enumerate(AWKWARD)] + [(3, "the same row"), (None, "no id")] + [(50 + i, "copy " * 30) for i in range(60)]
+    rows = [(i, t) for i, t in enumerate(AWKWARD)] + [(3, "the same row"), (None, "no id"), (40, "a <|endoftext|> b")] + [(50 + i, "copy " * 30) for i in range(60)]
     got = pack(docs_of(rows, extra=True).drop("sequence_id"), path).collect()
     assert {"doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"} <= set(got[0].asDict())
     want = []

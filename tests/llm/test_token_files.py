@@ -47,20 +47,22 @@ def test_round_trip_and_random_access(monkeypatch, segment):
 def test_cached_ids_are_those_of_the_library(name, leading):
     path = tokenizer_path(name)
     plain = Tokenizer.from_file(path)
-    plain.encode_special_tokens = True
-    tricky = ["a  b", "a \n b", "x  y", "it's  'S it'S", "\x1c a", "a\0 b c", "<|endoftext|> x", "e ́x", "ΑΣ ΑΣ.", "\t\t", "İstanbul Ünal ÀÉß, Straße_x ²³ (½) µm", "à́, ñ̃.", "don't… —x— “q”", "ABC!!! $$$ x%%% |"]
+    tricky = ["<|ENDOFTEXT|> a<|endoftext|>b <|startoftext|> c", "a <|b", " a b", " a", " ", " a  b", "a  b", "a \n b", "x  y", "it's  'S it'S", "\x1c a", "a\0 b c", "<|endoftext|> x", "e ́x", "ΑΣ ΑΣ.", "\t\t", "İstanbul Ünal ÀÉß, Straße_x ²³ (½) µm", "à́, ñ̃.", "don't… —x— “q”", "ABC!!! $$$ x%%% |"]
     many = [t or "" for t in AWKWARD] + tricky
     cache = TokenCache(path, leading, limit=3)
     assert cache.direct
     many += ds.dataset("/root/testdata/sf0.001/documents.parquet").to_table(columns=["text"])["text"].to_pylist()
     got = [x for i in range(0, len(many), 7) for x in cache.encode(many[i : i + 7])]
     assert [g.tolist() for g in got] == [plain.encode(t, add_special_tokens=False).ids for t in many]
+    plain.encode_special_tokens = True
+    got = TokenCache(path, leading, special_text=True).encode(many)
+    assert [g.tolist() for g in got] == [plain.encode(t, add_special_tokens=False).ids for t in many]
 
 
 def test_files_hold_every_document(spark, docs_of):
     path = tokenizer_path("word_bpe_49k.json")
     plain = Tokenizer.from_file(path)
-    rows = [(i * 3, t) for i, t in enumerate(AWKWARD)] + [(6, "repeated id"), (None, "no id")]
+    rows = [(i * 3, t) for i, t in enumerate(AWKWARD)] + [(6, "repeated id"), (None, "no id"), (400, "a <|endoftext|> b")] + [(9, f"one id {i}") for i in range(40)]
     got = read_token_files(write_token_files(docs_of(rows, extra=True), path)).collect()
     want, start = [], 0
     for doc_id, text in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or "")):
