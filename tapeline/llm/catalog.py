@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tapeline.llm import jaccard_join, languages, quality, toxicity
+from tapeline.llm.alignment import align_documents
 from tapeline.llm.common import held_out, table
 from tapeline.llm.decontaminate import leaks
 from tapeline.llm.html_text import extract
@@ -73,6 +75,12 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    out = align_documents(docs, tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
+    return out.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
 def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whiten(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
 
@@ -87,4 +95,5 @@ QUERIES["op9_html_text"] = op9_html_text
 QUERIES["op10_jaccard_join"] = op10_jaccard_join
 QUERIES["op6_repeats"] = op6_repeats
 QUERIES["op7_decontamination"] = op7_decontamination
+QUERIES["op12_alignment"] = op12_alignment
 QUERIES["op13_whitening"] = op13_whitening

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tapeline.session import ensure_checkpoint_dir, materialize
 
-__all__ = ["TokenCache", "batches", "held_out", "materialize", "rows_of", "shared_folder", "table", "text_column", "texts", "token_cache"]
+__all__ = ["TokenCache", "batches", "byte_letters", "held_out", "materialize", "rows_of", "shared_folder", "table", "text_column", "texts", "token_cache"]
 
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 #: Letters, digits, ASCII punctuation without the apostrophe, and a line feed between two of them: every splitter of the public
@@ -26,7 +26,7 @@ _PARTS = {True: re.compile(rf" ?{_WORD}| ?[0-9]+| ?{_MARKS}|\n(?=\S)"), False: r
 _PROBES = (" word", "word", "Ünal", "x", "...", " qzxv", "!?", " .", "7")
 
 
-def _byte_letters() -> dict[int, str]:
+def byte_letters() -> dict[int, str]:
     """The character that stands for each byte in byte-level vocabularies: itself if printable, else the next free one."""
     shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
     hidden = [b for b in range(256) if b not in shown]
@@ -94,7 +94,7 @@ class TokenCache:
         self.limit = limit
         self.known: dict = {}
         self.old: dict = {}
-        self._letters = _byte_letters()
+        self._letters = byte_letters()
         self.wide = self.tokenizer.get_vocab_size() > 1 << 16
         self._code = "I" if self.wide else "H"
         probes = _PROBES if leading_space else [p.strip() for p in _PROBES]
