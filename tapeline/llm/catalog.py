@@ -14,6 +14,7 @@ from tapeline.llm.decontaminate import leaks
 from tapeline.llm.html_text import extract
 from tapeline.llm.packing import pack
 from tapeline.llm.repeats import remove_repeats
+from tapeline.llm.substrings import remove_sequences
 from tapeline.llm.token_files import read_token_files, write_token_files
 from tapeline.llm.warc import read_archives, write_archives
 from tapeline.llm.whitening import whiten
@@ -75,6 +76,11 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = remove_sequences(table(spark, sf_dir, "documents").select("doc_id", "text"), with_words=False)
+    return out.select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     out = align_documents(docs, tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
@@ -95,5 +101,6 @@ QUERIES["op9_html_text"] = op9_html_text
 QUERIES["op10_jaccard_join"] = op10_jaccard_join
 QUERIES["op6_repeats"] = op6_repeats
 QUERIES["op7_decontamination"] = op7_decontamination
+QUERIES["op11_substrings"] = op11_substrings
 QUERIES["op12_alignment"] = op12_alignment
 QUERIES["op13_whitening"] = op13_whitening
