@@ -28,6 +28,7 @@ SPACE = "▁"  # stands for a space in pieces
 BROADCAST_PAIRS = 2_000_000  # 26 bytes each
 KEPT_WINDOWS = 150_000  # per worker, twice
 LONG_WINDOW = 128  # bytes of ids; longer windows are aligned each time
+END = b"\xff\xff"  # no id; stands between the two sides of a window
 COUNTED_PAIRS = 1 << 20  # pairs a task holds before it passes its counts on
 
 
@@ -88,22 +89,6 @@ class PieceCache:
         return out
 
 
-def align(a: Sequence[int], b: Sequence[int], size_a: Sequence[int], size_b: Sequence[int]) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
-    """Links (pairs of ids whose bytes overlap) and groups (number of a-tokens and b-tokens up to each shared end)."""
-    links, groups, i, j, was_i, was_j = [], [], 0, 0, 0, 0
-    end_a, end_b = size_a[a[0]], size_b[b[0]]
-    while True:
-        links.append((a[i], b[j]))
-        step_a, step_b = end_a <= end_b, end_b <= end_a
-        i, j = i + step_a, j + step_b
-        if step_a and step_b:
-            groups.append((i - was_i, j - was_j))
-            was_i, was_j = i, j
-        if i == len(a) or j == len(b):
-            return links, groups
-        end_a, end_b = end_a + size_a[a[i]] * step_a, end_b + size_b[b[j]] * step_b
-
-
 class Aligner:
     """Both tokenizers and the windows met so far; one per Python worker."""
 
@@ -111,7 +96,7 @@ class Aligner:
         self.a, self.b = token_cache(path_a, leading_space=True, special_text=True), PieceCache(path_b)
         raw = {letter: bytes([value]) for value, letter in byte_letters().items()}
         vocabulary = self.a.tokenizer.get_vocab()
-        if max(vocabulary.values()) > 0xFFFF or len(self.b.names) > 0xFFFF:
+        if max(vocabulary.values()) > 0xFFFE or len(self.b.names) > 0xFFFF:
             raise ValueError("ids of more than 16 bits")
         self.bytes_a = [b""] * (max(vocabulary.values()) + 1)
         for token, i in vocabulary.items():
@@ -119,56 +104,84 @@ class Aligner:
         self.bytes_b = self.b.bytes_of()
         self.size_a, self.size_b = (np.array([len(t) for t in side]) for side in (self.bytes_a, self.bytes_b))
         self.spaced_a, self.spaced_b = (np.array([t[:1] == b" " for t in side]) for side in (self.bytes_a, self.bytes_b))
-        self._sizes = self.size_a.tolist(), self.size_b.tolist()
+        self._told = [[np.array([b"%d%c" % (i, ord(end)) for i in range(len(side))], object) for end in ends] for side, ends in ((self.bytes_a, ",|"), (self.bytes_b, ",;"))]
         self.limit = windows
         self.known: dict = {}
         self.old: dict = {}
 
-    def window(self, key: tuple[bytes, bytes]) -> tuple[bytes, bytes, int, bytes | None]:
-        """Written groups, linked pairs, number of groups and bytes of a window; the bytes are None if the two sides differ."""
-        if (got := self.old.get(key)) is None:
-            a, b = (np.frombuffer(side, "<u2").tolist() for side in key)
-            spelt = b"".join(map(self.bytes_a.__getitem__, a))
-            links, groups = align(a, b, *self._sizes)
-            told, i, j = [], 0, 0
-            for p, q in groups:
-                told.append(f"{','.join(map(str, a[i : i + p]))}|{','.join(map(str, b[j : j + q]))}")
-                i, j = i + p, j + q
-            pairs = array("I", [x << 16 | y for x, y in links]).tobytes()
-            got = ";".join(told).encode(), pairs, len(groups), spelt if spelt == b"".join(map(self.bytes_b.__getitem__, b)) else None
-        if len(key[0]) + len(key[1]) <= LONG_WINDOW:
-            self.known[key] = got
-        return got
-
-    def windows(self, a: np.ndarray, b: np.ndarray, size: int) -> list[tuple] | None:
-        """The windows between anchors, or None if the sequences do not have ``size`` bytes."""
+    def align(self, windows: Sequence[bytes]) -> list[tuple[bytes, bytes, bytes | None]]:
+        """Written groups, linked pairs and bytes of every window (``a ids, END, b ids``); the bytes are None if the sides differ.
+
+        The windows are laid end to end. Both sides of a window have the same size, so ends stay comparable across windows: every
+        stretch between two neighbouring ends is one link, every end of both sides closes a group.
+        """
+        numbers = np.frombuffer(b"".join([w + END for w in windows]), "<u2")
+        stops = numbers == 0xFFFF
+        part = np.cumsum(stops)
+        mine_a, mine_b = ~stops & (part % 2 == 0), ~stops & (part % 2 == 1)
+        a, b = numbers[mine_a], numbers[mine_b]
+        end_a, end_b = np.cumsum(self.size_a[a]), np.cumsum(self.size_b[b])
+        window_a, window_b = part[mine_a] // 2, part[mine_b] // 2
+        ends = np.union1d(end_a, end_b)
+        at = np.searchsorted(end_a, ends)
+        pairs = (a[at].astype(np.uint32) << 16) | b[np.searchsorted(end_b, ends)]
+        shared = np.intersect1d(end_a, end_b, assume_unique=True)
+        group_a, group_b = np.searchsorted(shared, end_a), np.searchsorted(shared, end_b)
+        told = np.empty(len(a) + len(b), object)
+        last_a, last_b = np.append(np.diff(group_a), 1) > 0, np.append(np.diff(group_b), 1) > 0
+        told[np.arange(len(a)) + np.searchsorted(group_b, group_a)] = np.where(last_a, self._told[0][1][a], self._told[0][0][a])
+        told[np.arange(len(b)) + np.searchsorted(group_a, group_b, "right")] = np.where(last_b, self._told[1][1][b], self._told[1][0][b])
+        told = told.tolist()
+        spelt_a, spelt_b = (b"".join(map(names.__getitem__, ids.tolist())) for names, ids in ((self.bytes_a, a), (self.bytes_b, b)))
+        n = np.arange(1, len(windows) + 1)
+        next_a = np.searchsorted(window_a, n)
+        tokens = (next_a + np.searchsorted(window_b, n)).tolist()
+        links, sizes = (4 * np.searchsorted(window_a[at], n)).tolist(), end_a[next_a - 1].tolist()
+        pairs, alike, out = pairs.tobytes(), spelt_a == spelt_b, []
+        t = k = s = 0
+        for t1, k1, s1 in zip(tokens, links, sizes):
+            spelt = spelt_a[s:s1]
+            out.append((b"".join(told[t:t1])[:-1], pairs[k:k1], spelt if alike or spelt == spelt_b[s:s1] else None))
+            t, k, s = t1, k1, s1
+        return out
+
+    def windows(self, a: np.ndarray, b: np.ndarray, size: int) -> list[bytes]:
+        """The windows between anchors, none if the sequences do not have ``size`` bytes."""
         from_a, from_b = self.size_a[a], self.size_b[b]
-        if from_a.sum() != size or from_b.sum() != size or not len(a):
-            return None
+        if from_a.sum() != size or from_b.sum() != size:
+            return []
         from_a, from_b = np.cumsum(from_a) - from_a, np.cumsum(from_b) - from_b
         first_a, first_b = np.flatnonzero(self.spaced_a[a]), np.flatnonzero(self.spaced_b[b])
-        at_a, at_b = from_a[first_a], from_b[first_b]
-        near = np.minimum(np.searchsorted(at_b, at_a), max(len(at_b) - 1, 0))
-        shared = (at_b[near] == at_a) & (at_a > 0) if len(at_b) else np.zeros(len(at_a), bool)
-        cuts_a, cuts_b = (first_a[shared] * 2).tolist(), (first_b[near[shared]] * 2).tolist() if len(at_b) else []
+        at_a, at_b = from_a[first_a], np.append(from_b[first_b], -1)
+        near = np.searchsorted(at_b[:-1], at_a)
+        shared = (at_b[near] == at_a) & (at_a > 0)
+        cuts_a, cuts_b = (2 * first_a[shared]).tolist(), (2 * first_b[near[shared]]).tolist()
         all_a, all_b = a.tobytes(), b.tobytes()
-        keys = zip(map(all_a.__getitem__, map(slice, [0, *cuts_a], [*cuts_a, len(all_a)])), map(all_b.__getitem__, map(slice, [0, *cuts_b], [*cuts_b, len(all_b)])))
-        if len(self.known) > self.limit:
-            self.known, self.old = {}, self.known
-        get, learn = self.known.get, self.window
-        return [get(key) or learn(key) for key in keys]
+        return [all_a[i:j] + END + all_b[k:m] for i, j, k, m in zip([0, *cuts_a], [*cuts_a, len(all_a)], [0, *cuts_b], [*cuts_b, len(all_b)])]
 
     def documents(self, many: Sequence[str]) -> Iterator[tuple[int, int, int, int, bytes, bytes]]:
         """n_a, n_b, n_groups, n_links, written groups and linked pairs of every text; zeros and nothing for texts that the two
         sequences do not spell out."""
-        for text, a, b in zip(many, self.a.encode([f" {t}" if t else "" for t in many]), self.b.encode(many)):
-            spelt = b" " + text.encode()
-            found = self.windows(a, b, len(spelt)) if text else None
-            if found is None or any(w[3] is None for w in found) or b"".join([w[3] for w in found]) != spelt:
+        spelt = [b" " + t.encode() if t else b"" for t in many]
+        ids_a, ids_b = self.a.encode([f" {t}" if t else "" for t in many]), self.b.encode(many)
+        cut = [self.windows(a, b, len(raw)) if raw else [] for a, b, raw in zip(ids_a, ids_b, spelt)]
+        if len(self.known) > self.limit:
+            self.known, self.old = {}, self.known
+        known, old = self.known, self.old
+        new = [w for w in set().union(*cut) if w not in known]
+        known.update((w, old[w]) for w in new if w in old)
+        new = [w for w in new if w not in known]
+        known.update(zip(new, self.align(new) if new else []))
+        for a, b, raw, windows in zip(ids_a, ids_b, spelt, cut):
+            found = list(zip(*map(known.__getitem__, windows)))
+            if not found or None in found[2] or b"".join(found[2]) != raw:
                 yield 0, 0, 0, 0, b"", b""
             else:
-                pairs = b"".join([w[1] for w in found])
-                yield len(a), len(b), sum([w[2] for w in found]), len(pairs) // 4, b";".join([w[0] for w in found]), pairs
+                groups, pairs = b";".join(found[0]), b"".join(found[1])
+                yield len(a), len(b), groups.count(b";") + 1, len(pairs) // 4, groups, pairs
+        for w in new:
+            if len(w) > LONG_WINDOW:
+                del known[w]
 
 
 _ALIGNERS: dict = {}
