@@ -23,6 +23,9 @@ from tapeline.session import materialize
 # step(state, row) -> (state, emitted). ``state`` is a list of floats, empty before the first row.
 StepFn = Callable[[list, tuple], tuple[list, object]]
 
+# relink(states) adds ``_due`` to a table of the series keys, chunk, ``_entry`` and ``_exit``
+Relink = Callable[[DataFrame], DataFrame]
+
 _TOLERANCE = 1e-13
 
 
@@ -53,8 +56,12 @@ def _same(a: str, b: str):
     return (F.size(a) == F.size(b)) & F.forall(close, lambda ok: ok)
 
 
-def settle_states(laid: Laid, step: StepFn, inputs: Sequence[str]) -> DataFrame | None:
-    """Entry state of every chunk as a table, or ``None`` when no series has a second chunk."""
+def settle_states(laid: Laid, step: StepFn, inputs: Sequence[str], relink: Relink | None = None) -> DataFrame | None:
+    """Entry state of every chunk as a table, or ``None`` when no series has a second chunk.
+
+    ``relink`` gives the entry state that is due to every chunk from the states of all chunks of a series; without it, that is
+    the exit state of the chunk before.
+    """
     keys = [*laid.keys, CHUNK]
     if laid.df.filter(F.col(CORE) & (F.col(CHUNK) > 0)).select(F.lit(1)).limit(1).count() == 0:
         return None
@@ -82,7 +89,7 @@ def settle_states(laid: Laid, step: StepFn, inputs: Sequence[str]) -> DataFrame
     order = Window.partitionBy(*laid.keys).orderBy(CHUNK)
     states = materialize(source.groupBy(*keys).applyInPandas(first_pass, schema))
     while True:
-        linked = states.withColumn("_due", F.lag("_exit").over(order))
+        linked = relink(states) if relink else states.withColumn("_due", F.lag("_exit").over(order))
         wrong = linked.filter(F.col("_due").isNotNull() & ~_same("_entry", "_due"))
         wrong = materialize(wrong.select(*keys, F.col("_due").alias("_entry")))
         if wrong.isEmpty():
@@ -92,10 +99,10 @@ def settle_states(laid: Laid, step: StepFn, inputs: Sequence[str]) -> DataFrame
         states = materialize(states.join(wrong.select(*keys), keys, "left_anti").unionByName(fixed))
 
 
-def _run_chunks(laid: Laid, step: StepFn, inputs: Sequence[str], shape, schema: StructType) -> DataFrame:
+def _run_chunks(laid: Laid, step: StepFn, inputs: Sequence[str], shape, schema: StructType, relink: Relink | None = None) -> DataFrame:
     """Final pass over the core rows; ``shape(pdf, emitted)`` turns the walked rows into output rows."""
     keys = [*laid.keys, CHUNK]
-    states = settle_states(laid, step, inputs)
+    states = settle_states(laid, step, inputs, relink)
     source = laid.df.filter(CORE)
 
     def walked(pdf: pd.DataFrame, entry: list) -> pd.DataFrame:
@@ -125,7 +132,7 @@ def fold_columns(laid: Laid, step: StepFn, inputs: Sequence[str], outputs: Seque
     return spread(done, laid.rows, tail, 0, laid.keys)
 
 
-def fold_events(laid: Laid, step: StepFn, inputs: Sequence[str], columns: StructType) -> DataFrame:
+def fold_events(laid: Laid, step: StepFn, inputs: Sequence[str], columns: StructType, relink: Relink | None = None) -> DataFrame:
     """Rows ``step`` emits, usually few: it emits a list of tuples in the order of ``columns``.
 
     The output carries the series keys, position and time of the emitting row and the tuple fields.
@@ -142,7 +149,7 @@ def fold_events(laid: Laid, step: StepFn, inputs: Sequence[str], columns: Struct
         return out
 
     narrow = dict.fromkeys([*laid.keys, CHUNK, POS, CORE, "ts", *inputs])
-    return _run_chunks(laid.on(laid.df.select(*narrow)), step, inputs, shape, schema)
+    return _run_chunks(laid.on(laid.df.select(*narrow)), step, inputs, shape, schema, relink)
 
 
 def fold_step(step: StepFn, inputs: Sequence[str], outputs: Sequence[str], warmup: int, tail: int = 0) -> Step:

@@ -10,7 +10,7 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 
 from tapeline.functions.candles import colour
 from tapeline.operators.fold import fold_columns, fold_events
-from tapeline.operators.layout import POS, TOTAL, Laid, lay_out, with_positions
+from tapeline.operators.layout import CHUNK, CORE, POS, TOTAL, Laid, lay_out, with_positions
 from tapeline.operators.scans import prefix_carry, rolling, shift
 from tapeline.operators.steps import Step
 from tapeline.operators.touch import first_touch
@@ -422,14 +422,7 @@ def zone_step(merge_ratio: float, mother_bar: bool):
         pos, h0, l0, h1, l1, h2, l2, h3, l3, h4, l4 = row
         if h4 != h4 or h4 is None:
             return state, []
-        sides, rest = [], list(state) or [0.0, NAN, NAN, NAN, 0.0, 0.0, NAN, NAN, NAN, 0.0]
-        for _ in range(2):
-            armed, top, bottom, at, count = rest[:5]
-            cut = 5 + 4 * int(count)
-            flat = rest[5:cut]
-            sides.append([armed, top, bottom, at, [flat[i : i + 4] for i in range(0, len(flat), 4)]])
-            rest = rest[cut:]
-        out = []
+        sides, out = _zone_sides(state), []
         views = (
             ((h0, l0), (h1, l1), (h2, l2), (h3, l3), (h4, l4)),
             ((-l0, -h0), (-l1, -h1), (-l2, -h2), (-l3, -h3), (-l4, -h4)),
@@ -472,28 +465,99 @@ def zone_step(merge_ratio: float, mother_bar: bool):
             else:
                 top, bottom, at = bar2[0], bar2[1], pos - 2
             sides[s] = [armed, top, bottom, at, zones]
-        flat = []
-        for armed, top, bottom, at, zones in sides:
-            flat += [armed, top, bottom, at, float(len(zones))]
-            for zone in zones:
-                flat += zone
-        return flat, out
+        return _flat_sides(sides), out
 
     return step
 
 
+def _zone_sides(state: list) -> list[list]:
+    """Armed flag, candidate and list of open zones of both sides."""
+    sides, rest = [], list(state) or [0.0, NAN, NAN, NAN, 0.0] * 2
+    for _ in range(2):
+        armed, top, bottom, at, count = rest[:5]
+        cut = 5 + 4 * int(count)
+        flat = rest[5:cut]
+        sides.append([armed, top, bottom, at, [flat[i : i + 4] for i in range(0, len(flat), 4)]])
+        rest = rest[cut:]
+    return sides
+
+
+def _flat_sides(sides: list[list]) -> list[float]:
+    flat = []
+    for armed, top, bottom, at, zones in sides:
+        flat += [armed, top, bottom, at, float(len(zones))]
+        for zone in zones:
+            flat += zone
+    return flat
+
+
+def _zones_due(chunks: list[tuple[list, list, float, float]]) -> list[list | None]:
+    """Entry state due to every chunk of a series, from (entry used, exit state, highest high, lowest low) of all of them.
+
+    A chunk needs of the older open zones only those that its prices reach, and the newest one that they do not remove, since
+    a new zone may join that. The others pass by it. A chunk that has not seen a zone yet is taken to do to it what its prices
+    do. So a zone finds the chunk that ends it in one go, however far away.
+    """
+    due: list[list | None] = []
+    open_: list[list[list]] = [[], []]
+    leave: list | None = None
+    for entry, exit_state, high, low in chunks:
+        given: list[list] = [[], []]
+        if leave is not None:
+            for s, reach in enumerate((high, -low)):
+                last = max((i for i, z in enumerate(open_[s]) if z[0] > reach), default=-1)
+                given[s] = [z for i, z in enumerate(open_[s]) if i == last or reach >= (z[0] if z[3] else z[1])]
+        due.append(None if leave is None else _flat_sides([[*side[:4], g] for side, g in zip(_zone_sides(leave), given)]))
+        leave = exit_state
+        for s, (before, after, reach) in enumerate(zip(_zone_sides(entry), _zone_sides(exit_state), (high, -low))):
+            seen, left, kept = {z[2] for z in before[4]}, {z[2]: z for z in after[4]}, []  # a zone is known by its position
+            asked = {z[2] for z in given[s]}
+            for zone in open_[s]:
+                if zone[2] in asked and zone[2] in seen:
+                    zone = left.get(zone[2])
+                elif zone[2] in asked:
+                    zone = [*zone[:3], 1.0 if zone[3] or reach >= zone[1] else 0.0] if zone[0] > reach else None
+                kept += [zone] if zone else []
+            known = {z[2] for z in open_[s]} | seen
+            open_[s] = kept + [z for z in after[4] if z[2] not in known]
+    return due
+
+
+def _relink_zones(laid: Laid):
+    """The relink of the zone machine; one row per chunk of a series meets in a task."""
+    keys = [*laid.keys, CHUNK]
+    ranges = materialize(laid.df.filter(CORE).groupBy(*keys).agg(F.max("high").alias("_top"), F.min("low").alias("_low")))
+
+    def relink(states: DataFrame) -> DataFrame:
+        fields = [f for f in states.schema.fields if f.name in (*keys, "_entry")]
+        schema = StructType([*fields, StructField("_due", states.schema["_exit"].dataType)])
+
+        def link(pdf):
+            pdf = pdf.sort_values(CHUNK)
+            rows = zip(pdf["_entry"], pdf["_exit"], pdf["_top"].fillna(-float("inf")), pdf["_low"].fillna(float("inf")))
+            due = _zones_due([(list(e), list(x), float(t), float(b)) for e, x, t, b in rows])
+            return pdf[[f.name for f in fields]].assign(_due=due)
+
+        return states.join(ranges, keys).groupBy(*laid.keys).applyInPandas(link, schema)
+
+    return relink
+
+
 _ZONE_COLUMNS = StructType([StructField(n, DoubleType()) for n in ("code", "side", "start_pos", "top", "bottom")])
 
 
 def zone_events(
-    bars: DataFrame, seconds: float, merge_ratio: float = 0.5, mother_bar: bool = True, warmup: int = 1024
+    bars: DataFrame, seconds: float, merge_ratio: float = 0.5, mother_bar: bool = True, warmup: int = 256
 ) -> DataFrame:
-    """Creation, merging, mitigation and removal of zones: ``symbol, ts, pos, kind, event, start_pos, top, bottom``."""
+    """Creation, merging, mitigation and removal of zones: ``symbol, ts, pos, kind, event, start_pos, top, bottom``.
+
+    Zones outlive chunks, so their entry states are not handed from chunk to chunk but linked over the whole series at once.
+    """
     laid = lay_out(bars, seconds, warmup + 4)
     lags = {f"_{n[0]}{k}": shift(laid, n, k) for k in range(1, 5) for n in ("high", "low")}
     laid = laid.add({"_p": F.col(POS).cast("double"), **lags})
     inputs = ["_p", "high", "low"] + [f"_{c}{k}" for k in range(1, 5) for c in ("h", "l")]
-    rows = fold_events(laid, zone_step(merge_ratio, mother_bar), inputs, _ZONE_COLUMNS)
+    rows = fold_events(laid, zone_step(merge_ratio, mother_bar), inputs, _ZONE_COLUMNS, _relink_zones(laid))
     names = F.array(*[F.lit(n) for n in ZONE_EVENTS])
     return rows.select(
         "symbol",

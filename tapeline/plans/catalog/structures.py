@@ -173,8 +173,43 @@ register(
     f"WITH RECURSIVE {DAILY_SQL}, {OUTSIDE_SQL} SELECT symbol, ts, CASE WHEN close > open THEN 'up' ELSE 'down' END AS direction FROM ob JOIN b USING (symbol, pos) WHERE hit",
 )
 register("structure_inducements", lambda s, d: structure.inducements(daily(s, d), DAY))
-register("structure_order_blocks", lambda s, d: structure.order_blocks(daily(s, d), DAY))
-register("structure_zone_events", lambda s, d: structure.zone_events(daily(s, d), DAY))
+# both sides as series of their own, demand on negated prices; one bar of the zone machine per recursion, zones in a list
+ZONES_SQL = """
+zv AS MATERIALIZED (SELECT symbol, pos, ts, s, CASE WHEN s = 0 THEN high ELSE -low END AS h, CASE WHEN s = 0 THEN low ELSE -high END AS l FROM b, (VALUES (0), (1)) sides(s)),
+zb AS MATERIALIZED (SELECT *, lag(h, 1) OVER w AS h1, lag(l, 1) OVER w AS l1, lag(h, 2) OVER w AS h2, lag(l, 2) OVER w AS l2, lag(h, 3) OVER w AS h3, lag(l, 3) OVER w AS l3, lag(h, 4) OVER w AS h4
+  FROM zv WINDOW w AS (PARTITION BY symbol, s ORDER BY pos)),
+zm AS (SELECT symbol, s, pos, false AS armed, CAST(NULL AS DOUBLE) AS top, CAST(NULL AS DOUBLE) AS bottom, CAST(0 AS BIGINT) AS af,
+    CAST([] AS STRUCT(t DOUBLE, b DOUBLE, a BIGINT, m BOOLEAN)[]) AS zones, CAST([] AS STRUCT(e VARCHAR, a BIGINT, t DOUBLE, b DOUBLE)[]) AS told FROM zb WHERE pos = 3
+  UNION ALL
+  SELECT symbol, s, pos, CASE WHEN NOT armed THEN h3 > h4 AND h3 > h2 ELSE NOT born END,
+    CASE WHEN NOT armed THEN CASE WHEN h3 > h4 AND h3 > h2 THEN h3 ELSE top END WHEN born THEN top WHEN h2 < h3 AND l2 > l3 THEN greatest(top, h2) ELSE h2 END,
+    CASE WHEN NOT armed THEN CASE WHEN h3 > h4 AND h3 > h2 THEN l3 ELSE bottom END WHEN born THEN bottom WHEN h2 < h3 AND l2 > l3 THEN least(bottom, l2) ELSE l2 END,
+    CASE WHEN NOT armed THEN CASE WHEN h3 > h4 AND h3 > h2 THEN pos - 3 ELSE af END WHEN born OR (h2 < h3 AND l2 > l3) THEN af ELSE pos - 2 END,
+    CASE WHEN NOT born THEN kept WHEN joins THEN list_append(kept[:-2], joined) ELSE list_append(kept, {'t': top, 'b': bottom, 'a': af, 'm': false}) END,
+    list_concat(list_transform(list_filter(zones, lambda z: h >= z.t), lambda z: {'e': 'removed', 'a': z.a, 't': z.t, 'b': z.b}),
+      list_transform(list_filter(zones, lambda z: h < z.t AND h >= z.b AND NOT z.m), lambda z: {'e': 'mitigated', 'a': z.a, 't': z.t, 'b': z.b}),
+      CASE WHEN NOT born THEN [] WHEN joins THEN [{'e': 'merged', 'a': joined.a, 't': joined.t, 'b': joined.b}] ELSE [{'e': 'created', 'a': af, 't': top, 'b': bottom}] END)
+  FROM (SELECT *, {'t': greatest(top, tail.t), 'b': least(bottom, tail.b), 'a': tail.a, 'm': false} AS joined,
+      coalesce(NOT tail.m AND tail.t > tail.b AND (abs(top - tail.t) / (tail.t - tail.b) < 0.5 OR abs(bottom - tail.b) / (tail.t - tail.b) < 0.5 OR (top >= tail.b AND bottom <= tail.t)), false) AS joins
+    FROM (SELECT *, kept[-1] AS tail FROM (
+      SELECT z.symbol, z.s, z.armed, z.top, z.bottom, z.af, z.zones, x.pos, x.h, x.h1, x.h2, x.l2, x.h3, x.l3, x.h4, z.armed AND z.bottom > x.h1 AND z.bottom <> 0 AS born,
+        list_transform(list_filter(z.zones, lambda q: x.h < q.t), lambda q: {'t': q.t, 'b': q.b, 'a': q.a, 'm': q.m OR x.h >= q.b}) AS kept
+      FROM zm z JOIN zb x ON x.symbol = z.symbol AND x.s = z.s AND x.pos = z.pos + 1)))),
+ze AS MATERIALIZED (SELECT symbol, pos, s, unnest(told, recursive := true) FROM zm WHERE len(told) > 0),
+zone AS (SELECT symbol, pos, CASE WHEN s = 0 THEN 'supply' ELSE 'demand' END AS kind, e AS event, a AS start_pos, CASE WHEN s = 0 THEN t ELSE -b END AS top, CASE WHEN s = 0 THEN b ELSE -t END AS bottom FROM ze)"""
+register(
+    "structure_zone_events",
+    lambda s, d: structure.zone_events(daily(s, d), DAY),
+    f"WITH RECURSIVE {DAILY_SQL}, {ZONES_SQL} SELECT zone.symbol, b.ts, zone.pos, kind, event, start_pos, top, bottom FROM zone JOIN b USING (symbol, pos)",
+)
+_NEWEST = "(pos, CASE event WHEN 'removed' THEN 3 WHEN 'mitigated' THEN 2 ELSE 1 END)"
+register(
+    "structure_order_blocks",
+    lambda s, d: structure.order_blocks(daily(s, d), DAY),
+    f"""WITH RECURSIVE {DAILY_SQL}, {ZONES_SQL}, o AS (SELECT symbol, kind, start_pos, arg_max(top, {_NEWEST}) AS top, arg_max(bottom, {_NEWEST}) AS bottom,
+    bool_or(event = 'removed') AS gone, bool_or(event = 'mitigated') AS met FROM zone GROUP BY ALL)
+    SELECT symbol, kind, start_pos, top, bottom, CASE WHEN met THEN 'mitigated' ELSE 'active' END AS status FROM o WHERE NOT gone""",
+)
 register(
     "structure_script_events",
     lambda s, d: structure.structure_events(daily(s, d), DAY, forget=True).drop("pos"),

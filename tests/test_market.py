@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 from collections import Counter
 from datetime import datetime, timedelta
 
@@ -92,6 +93,38 @@ def test_zones_open_are_never_touched_later(spark, bars, frame):
             assert not (later.low <= z.bottom).any()
 
 
+def falling(n):
+    """Falling bars with a rebound every seventh bar: supply zones that nothing reaches again, and a rise through half of them."""
+    rng, price, rows = random.Random(n), 1000.0, []
+    for i in range(n):
+        price += 4.0 if i % 7 in (3, 4) else -2.5
+        price += 1.1 * (n / 3) * (i == n - 20)
+        c = price + rng.uniform(-0.3, 0.3)
+        rows.append((c + 0.5, c + 1.5, c - 1.5, c - 0.5))
+    return rows
+
+
+def test_zones_settle_in_few_rounds_whatever_the_number_of_chunks(spark, monkeypatch):
+    """Zones that outlive every chunk cost no more rounds over 40 chunks than over 10, and give the events of one pass."""
+    from tapeline.operators import fold
+
+    written, real = [], fold.materialize
+    monkeypatch.setattr(fold, "materialize", lambda df: written.append(1) or real(df))
+    counts = []
+    for n in (640, 2560):
+        df = make(spark, falling(n))
+        whole = collected(structure.zone_events(df, MINUTE, warmup=8))
+        assert len({r[5] for r in whole if "created" in r}) > n / 30 and any("removed" in r for r in whole)
+        spark.conf.set("spark.tapeline.chunkRows", "64")
+        written.clear()
+        try:
+            assert collected(structure.zone_events(df, MINUTE, warmup=8)) == whole
+        finally:
+            spark.conf.unset("spark.tapeline.chunkRows")
+        counts.append(len(written))
+    assert counts[1] <= counts[0] + 2 and counts[1] <= 11
+
+
 def test_inducement_points(spark, bars, frame):
     rows = structure.inducements(bars, MINUTE, length=5).collect()
     assert rows
