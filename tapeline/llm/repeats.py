@@ -212,7 +212,8 @@ def repeated_spans(rows: DataFrame, least: int = LEAST) -> DataFrame:
     # repeated rows have one key; the stretches of one are enough
     stretches = materialize(moved.mapInArrow(fetch, _CONTEXT_DDL)).dropDuplicates(["g", "row", "lo"])
     parts = _resolve(materialize(stretches), least)
-    return whole.unionByName(parts).groupBy("row").agg(F.collect_list(F.struct("lo", "size", "ctx")).alias("spans"))
+    # as a set: repeated rows have one key and tell the same spans
+    return whole.unionByName(parts).groupBy("row").agg(F.collect_set(F.struct("lo", "size", "ctx")).alias("spans"))
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:

@@ -74,3 +74,16 @@ def test_repeated_ids_kept_text_and_no_rows(spark, docs_of):
     assert [o[:2] for o in out] == sorted(want)
     assert {o[2] for o in out if o[0] == 2} == {"short", "other text"} and [o[2] for o in out if o[0] == 3] == ["ü"]
     assert "lang" in df.columns and remove_repeats(docs_of([])).count() == 0
+
+
+def test_repeated_rows_without_id_have_bounded_spans(spark):
+    """A thousand equal rows tell each span once, so that no row carries the spans of all copies."""
+    from pyspark.sql import functions as F
+
+    from tapeline.llm.repeats import remove_repeats, repeated_spans
+
+    text = " ".join(f"word{i}" for i in range(200))
+    docs = spark.range(1000).select(F.lit(None).cast("long").alias("doc_id"), F.lit(text).alias("text")).repartition(5)
+    spans = repeated_spans(docs.select(F.lit(1).cast("long").alias("row"), "text")).collect()
+    assert len(spans) == 1 and len(spans[0]["spans"]) < len(text) / 10
+    assert {(r["n_removed"], r["n_spans"]) for r in remove_repeats(docs).collect()} == {(len(text), 1)}
