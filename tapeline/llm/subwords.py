@@ -29,7 +29,10 @@ _SAMPLE_UNITS = 1 << 20
 
 
 def words_of(text: str) -> list[str]:
+    """Lower-case runs of letters (the Unicode categories of letters; other word characters part them)."""
     found = LETTERS.findall(text.lower())
+    if not all(map(str.isalpha, found)):
+        found = [w for run in found for w in "".join(c if c.isalpha() else " " for c in run).split()]
     if any(len(w) > LONGEST_WORD for w in found):
         found = [w[i : i + LONGEST_WORD] for w in found for i in range(0, len(w), LONGEST_WORD)]
     return found
@@ -182,9 +185,10 @@ def draw(marks: DataFrame, per_label: int, most_labels: int = 1000) -> tuple[Dat
     return marks.filter(F.pmod(F.xxhash64("doc_id"), F.lit(_SAMPLE_UNITS)) < limit[F.col("label")]), share
 
 
-def sample_windows(drawn: DataFrame, share: dict[str, float], width: int, per_doc: int) -> Sample:
-    """Windows of ``width`` words of the drawn documents (doc_id, text, label), at most ``per_doc`` of each, evenly spaced over
-    the whole text. The result is bounded by these numbers, the rows drawn per label and the count of labels."""
+def sample_windows(drawn: DataFrame, share: dict[str, float], width: int, per_doc: int | None) -> Sample:
+    """Windows of ``width`` words of the drawn documents (doc_id, text, label). Of each document at most ``per_doc``, evenly
+    spaced over the whole text; without that bound, all different ones. Of rows with one id the text that sorts first is read,
+    so the documents are bounded by the rows drawn per label and the count of labels."""
     if not share:
         return Sample(np.zeros(0, np.int64), np.zeros(0, object), [], {})
 
@@ -193,14 +197,18 @@ def sample_windows(drawn: DataFrame, share: dict[str, float], width: int, per_do
             rows: list[list] = [[], [], [], []]
             for doc_id, label, text in zip(batch.column("doc_id").to_pylist(), batch.column("label").to_pylist(), texts(batch)):
                 words = words_of(text)
-                count = -(-len(words) // width)
-                picks = range(count) if count <= per_doc else np.unique(np.linspace(0, count - 1, per_doc).astype(int))
-                for i in picks:
-                    for column, value in zip(rows, (doc_id, label, int(i), " ".join(words[i * width : (i + 1) * width]))):
+                windows = [" ".join(words[i : i + width]) for i in range(0, len(words), width)]
+                if per_doc is None:
+                    windows = list(dict.fromkeys(windows))
+                elif len(windows) > per_doc:
+                    windows = [windows[i] for i in np.unique(np.linspace(0, len(windows) - 1, per_doc).astype(int))]
+                for i, window in enumerate(windows):
+                    for column, value in zip(rows, (doc_id, label, i, window)):
                         column.append(value)
             yield rows_of(WINDOW, rows)
 
-    found = drawn.filter(F.col("text").isNotNull()).select("doc_id", F.col("label").cast("string").alias("label"), "text").mapInArrow(cut, "doc_id long, label string, nth int, words string")
+    chosen = drawn.filter(F.col("text").isNotNull()).groupBy("doc_id").agg(F.min(F.struct("text", "label")).alias("_first"))
+    found = chosen.select("doc_id", F.col("_first.label").cast("string").alias("label"), "_first.text").mapInArrow(cut, "doc_id long, label string, nth int, words string")
     got = found.toArrow().sort_by([("doc_id", "ascending"), ("label", "ascending"), ("nth", "ascending"), ("words", "ascending")])
     windows = [w.split() for w in got["words"].to_pylist()]
     return Sample(got["doc_id"].to_numpy(), np.array(got["label"].to_pylist(), dtype=object), windows, share)

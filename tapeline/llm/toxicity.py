@@ -1,8 +1,9 @@
 """Toxicity of whole texts: subword-bag embeddings averaged over windows into a linear softmax.
 
-Toxic words are few in a long text, so a text is judged by its worst window of ``WIDTH`` words. One word did best on held-out
-documents: in wider windows the harmless words around a toxic one add noise. The first fit takes all windows of a toxic
-document as toxic; each later round keeps the worst one of each and those above even odds. A logistic curve over the worst
+Toxic words are few in a long text, so a text is judged by its worst window of ``WIDTH`` words, not by the mean over all of it.
+One word did best on held-out documents: in wider windows the harmless words around a toxic one add noise. With windows of one
+word only the n-grams inside a word are averaged; the average over a text is given up. Labelled documents are read whole, each
+different word of them once. The first fit takes all windows of a toxic document as toxic; each later round keeps the worst one of each and those above even odds. A logistic curve over the worst
 window's log-odds, fitted on documents the model has not seen, gives the score.
 """
 
@@ -15,12 +16,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tapeline.llm.common import batches, held_out, rows_of, text_column, texts
+from tapeline.llm.common import batches, held_out, materialize, rows_of, text_column, texts
 from tapeline.llm.subwords import Model, Scorer, draw, for_calibration, sample_windows, train, words_of
 
 WIDTH = 1
 DOCS_PER_LABEL = 1200  # bound of the sample of labelled documents, per class
-WINDOWS_PER_DOC = 256
 ROUNDS = 3
 THRESHOLD = 0.3
 
@@ -73,9 +73,9 @@ def fit(docs: DataFrame, labels: DataFrame, docs_per_label: int = DOCS_PER_LABEL
     """
     marks = labels.filter(F.col("toxic").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max("toxic").cast("string").alias("label"))
     drawn, share = draw(marks, docs_per_label)
-    # the drawn rows are bounded by docs_per_label, so the texts need not move
-    known = docs.select("doc_id", "text").join(F.broadcast(drawn.select("doc_id", "label")), "doc_id")
-    sample = sample_windows(known, share, WIDTH, WINDOWS_PER_DOC)
+    # the drawn rows are bounded by docs_per_label, so the planner broadcasts them and the texts need not move
+    known = docs.select("doc_id", "text").join(materialize(drawn.select("doc_id", "label")), "doc_id")
+    sample = sample_windows(known, share, WIDTH, None)
     windows, doc = sample.windows, sample.doc
     classes = set(sample.label)
     if classes != {"0", "1"}:

@@ -30,6 +30,7 @@ def test_unseen_misspellings_share_the_class():
 def test_words_and_rows():
     assert words_of("Ärger, d'été_2 x" + "y" * 70)[:4] == ["ärger", "d", "été", "x" + "y" * 59]
     assert len(grams_of("ab")) == 1 + 3 + 2 + 1
+    assert words_of("² ½ Ⅳ ① 3 _") == [] and words_of("m²x ªb") == ["m", "x", "ªb"]
 
 
 def test_held_out_languages(spark):
@@ -51,6 +52,29 @@ def test_held_out_toxicity(spark):
     assert np.mean([r["predicted"] == r["toxic"] for r in out]) > 0.9
 
 
+def test_one_toxic_word_in_long_documents(spark, docs_of):
+    """Labelled documents are read whole: one toxic word among 1,500 is learned and found in held-out documents."""
+    rng = random.Random(8)
+    plain = ["".join(rng.choice("abdeglnorstu") for _ in range(rng.randrange(4, 9))) for _ in range(3000)]
+    rows, marks = [], []
+    for i in range(400):
+        words = [rng.choice(plain) for _ in range(1500)]
+        if i % 2:
+            words[rng.randrange(1500)] = rng.choice(["wretchfiend", "vilemonger"])
+        rows.append((i, " ".join(words)))
+        marks.append((i, i % 2))
+    docs, labels = docs_of(rows), spark.createDataFrame(marks, "doc_id long, toxic int")
+    out = [r for r in toxicity.score(docs, toxicity.fit(docs, labels)).collect() if r["held_out"]]
+    assert np.mean([r["predicted"] == r["doc_id"] % 2 for r in out]) >= 0.95
+
+
+def test_repeated_ids_are_learned_from_once(spark, docs_of):
+    docs = docs_of([(3, f"calm river {i}") for i in range(300)] + [(i, "vile tree" if i % 2 else "calm tree") for i in range(4, 80)])
+    labels = spark.createDataFrame([(3, 0)] + [(i, i % 2) for i in range(4, 80)], "doc_id long, toxic int")
+    rows = toxicity.score(docs, toxicity.fit(docs, labels)).collect()
+    assert len(rows) == 376 and all(r["predicted"] == r["doc_id"] % 2 for r in rows if r["doc_id"] > 3)
+
+
 def test_held_out_labels_are_not_read(spark, docs_of):
     """Labels of held-out documents may say anything without changing a score."""
     rng = random.Random(4)
