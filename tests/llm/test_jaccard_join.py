@@ -20,8 +20,8 @@ def plain_sets(texts, words=3):
     return out
 
 
-def brute(ids, texts, percent=90):
-    sets, root = plain_sets(texts), list(range(len(texts)))
+def brute(ids, texts, percent=90, words=3):
+    sets, root = plain_sets(texts, words), list(range(len(texts)))
 
     def find(i):
         while root[i] != i:
@@ -30,7 +30,7 @@ def brute(ids, texts, percent=90):
 
     for i in range(len(sets)):
         for j in range(i):
-            if sets[i] and 10 * min(len(sets[i]), len(sets[j])) >= 9 * max(len(sets[i]), len(sets[j])) and 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j]):
+            if sets[i] and 100 * min(len(sets[i]), len(sets[j])) >= percent * max(len(sets[i]), len(sets[j])) and 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j]):
                 a, b = sorted((find(i), find(j)))
                 root[b] = a
     least = {}

@@ -28,7 +28,7 @@ def test_stages_against_brute_force(spark):
         kept[name] = rows(state)
     assert len(kept["language"]) > 0.98 * len(before) and all(before[d] == r for d, r in kept["language"].items())
     ids = sorted(kept["language"])
-    want = {c for _, _, c in components(ids, [kept["language"][i]["text"] for i in ids])}
+    want = {c for _, _, c in components(ids, [kept["language"][i]["text"] for i in ids], 80, 5)}
     assert set(kept["near_duplicates"]) == want
     ids = sorted(want)
     told = repeats([kept["near_duplicates"][i]["text"] for i in ids])
