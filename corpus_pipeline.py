@@ -26,8 +26,8 @@ def recognised_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of every component of near duplicates."""
-    return jaccard_join.representatives(docs.select(*COLUMNS)).select(*COLUMNS)
+    """The document with the smallest id of every component of near duplicates: shingles of five words, similarity of 0.8."""
+    return jaccard_join.representatives(docs.select(*COLUMNS), words=5, percent=80).select(*COLUMNS)
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
