@@ -12,6 +12,7 @@ as a broadcast if there are at most ``BROADCAST_PAIRS`` of them, else by a join.
 from __future__ import annotations
 
 import hashlib
+import json
 from array import array
 from collections.abc import Iterator, Sequence
 
@@ -26,7 +27,7 @@ from tapeline.llm.common import batches, byte_letters, materialize, rows_of, tex
 
 SPACE = "▁"  # stands for a space in pieces
 BROADCAST_PAIRS = 2_000_000  # 26 bytes each
-KEPT_WINDOWS = 150_000  # per worker, twice
+KEPT_WINDOWS = 300_000  # per worker, twice
 LONG_WINDOW = 128  # bytes of ids; longer windows are aligned each time
 END = b"\xff\xff"  # no id; stands between the two sides of a window
 COUNTED_PAIRS = 1 << 20  # pairs a task holds before it passes its counts on
@@ -105,12 +106,15 @@ class Aligner:
         self.size_a, self.size_b = (np.array([len(t) for t in side]) for side in (self.bytes_a, self.bytes_b))
         self.spaced_a, self.spaced_b = (np.array([t[:1] == b" " for t in side]) for side in (self.bytes_a, self.bytes_b))
         self._told = [[np.array([b"%d%c" % (i, ord(end)) for i in range(len(side))], object) for end in ends] for side, ends in ((self.bytes_a, ",|"), (self.bytes_b, ",;"))]
+        # a byte-level vocabulary that changes no text spells it out always
+        steps = json.loads(self.a.tokenizer.to_str())
+        self.lossless = steps["normalizer"] is None and steps["pre_tokenizer"]["type"] == "ByteLevel" and not steps["pre_tokenizer"]["add_prefix_space"] and all(c in vocabulary for c in raw)
         self.limit = windows
         self.known: dict = {}
         self.old: dict = {}
 
-    def align(self, windows: Sequence[bytes]) -> list[tuple[bytes, bytes, bytes | None]]:
-        """Written groups, linked pairs and bytes of every window (``a ids, END, b ids``); the bytes are None if the sides differ.
+    def align(self, windows: Sequence[bytes]) -> list[tuple[bytes, bytes | None]]:
+        """Written groups and linked pairs of every window (``a ids, END, b ids``); the pairs are None if the sides' bytes differ.
 
         The windows are laid end to end. Both sides of a window have the same size, so ends stay comparable across windows: every
         stretch between two neighbouring ends is one link, every end of both sides closes a group.
@@ -140,8 +144,7 @@ class Aligner:
         pairs, alike, out = pairs.tobytes(), spelt_a == spelt_b, []
         t = k = s = 0
         for t1, k1, s1 in zip(tokens, links, sizes):
-            spelt = spelt_a[s:s1]
-            out.append((b"".join(told[t:t1])[:-1], pairs[k:k1], spelt if alike or spelt == spelt_b[s:s1] else None))
+            out.append((b"".join(told[t:t1])[:-1], pairs[k:k1] if alike or spelt_a[s:s1] == spelt_b[s:s1] else None))
             t, k, s = t1, k1, s1
         return out
 
@@ -174,7 +177,7 @@ class Aligner:
         known.update(zip(new, self.align(new) if new else []))
         for a, b, raw, windows in zip(ids_a, ids_b, spelt, cut):
             found = list(zip(*map(known.__getitem__, windows)))
-            if not found or None in found[2] or b"".join(found[2]) != raw:
+            if not found or None in found[1] or not (self.lossless or b"".join(map(self.bytes_a.__getitem__, a.tolist())) == raw):
                 yield 0, 0, 0, 0, b"", b""
             else:
                 groups, pairs = b";".join(found[0]), b"".join(found[1])
@@ -220,7 +223,7 @@ def link(docs: DataFrame, path_a: str, path_b: str, with_groups: bool = False) -
 
     def run(source):
         pair, packer, number = aligner(path_a, path_b), zstd.ZstdCompressor(level=1), TaskContext.get().partitionId() << 40
-        for batch in batches(source, 64):
+        for batch in batches(source, 256):
             columns: list[list] = [[] for _ in shape]
             for n_a, n_b, n_groups, n_links, groups, pairs in pair.documents(texts(batch)):
                 digest = hashlib.sha256(groups).hexdigest() if n_a else ""
