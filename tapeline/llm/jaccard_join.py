@@ -4,8 +4,8 @@ The join works on groups of similar documents and a token-group matrix.
 
 1. Documents with the same set are one node from the start.
 2. Similar documents come together by partitioned signatures. Two sets of sizes a <= b that link differ in at most
-   (a + b) / 19 shingles, so if the shingles are dealt by hash into one part more than that, one part is equal in both.
-   Sets of similar size deal alike and every part is hashed, so linked sets share a signature: no link is lost.
+   (a + b) / 19 shingles, so if the shingles are dealt by hash into one part more than that, one part is equal in both; with
+   some parts more, one that is not empty. Sets of similar size deal alike, so linked sets share a signature: no link is lost.
 3. In every signature bucket the members are compared with one hub (the member that shares most), which is linear in the
    bucket. Linked members form components; most buckets then lie inside one component and are done.
 4. The documents of all other buckets are partitioned into groups of similar ones: those that share such buckets, of about
@@ -78,23 +78,38 @@ def node_of(shingles: np.ndarray) -> int:
 
 
 @cache
-def size_classes(percent: int) -> tuple[list[int], list[int]]:
-    """Lower ends of the size classes, each about three times the tolerance wide, and the parts dealt in each scheme.
+def size_classes(percent: int) -> tuple[list[int], list[int], list[int]]:
+    """Lower ends of the size classes, the parts dealt in each scheme and how many of them may be empty.
 
-    Scheme s serves sets of class s and the larger ones they may link with.
+    Scheme s serves sets of class s and the larger ones they may link with. Classes are a few times the tolerance wide, fewer
+    where the tolerance is large, since the parts of the smallest sets of a class would else hold too few shingles.
     """
-    ends, parts, ratio = [1], [], (percent / 100) ** 3
+    ends, parts, spare, ratio = [1], [], [], (percent / 100) ** (3 if percent >= 90 else 1.5)
     while ends[-1] < 1 << 40:
-        ends.append(max(ends[-1] + 1, int(ends[-1] / ratio)))
+        least = ends[-1]
+        ends.append(max(least + 1, int(least / ratio)))
         most = ends[-1] - 1
         larger = most * 100 // percent
-        parts.append((most + larger) * (100 - percent) // (100 + percent) + 1)
-    return ends, parts
+        n = (most + larger) * (100 - percent) // (100 + percent) + 1
+        empty = 0
+        for _ in range(50):  # as many empty parts as the smallest sets rarely exceed
+            mean = (n + empty) * math.exp(-least / (n + empty))
+            wanted = math.ceil(mean + 4 * math.sqrt(mean)) if mean > 1e-6 else 0
+            if wanted <= empty or wanted > n:
+                break
+            empty = wanted
+        parts.append(n + empty)
+        spare.append(empty)
+    return ends, parts, spare
 
 
 def signatures(shingles: np.ndarray, percent: int = PERCENT) -> np.ndarray:
-    """Signatures of a set: of all parts in its own scheme and, where a set of the class below may link, in that scheme."""
-    ends, parts = size_classes(percent)
+    """Signatures of a set: of the parts in its own scheme and, where a set of the class below may link, in that scheme.
+
+    A set with no more empty parts than the scheme allows for does not sign them: more parts than that are equal in both sets of
+    a link, so one of them is not empty. Only if both sets have more empty parts may all equal parts be empty; those sign all.
+    """
+    ends, parts, spare = size_classes(percent)
     n = len(shingles)
     if not n:
         return np.zeros(0, np.int64)
@@ -105,8 +120,11 @@ def signatures(shingles: np.ndarray, percent: int = PERCENT) -> np.ndarray:
     for s in schemes:
         if parts[s] > 1:  # with one part only equal sets link
             sums = np.zeros(parts[s], np.uint64)
-            np.add.at(sums, (shingles >> np.uint64(20)) % np.uint64(parts[s]), mixed(shingles))
-            out.append(mixed(mixed(sums + _MIX[3]) + np.arange(parts[s], dtype=np.uint64) * _MIX[4] + np.uint64(s * int(_MIX[0]) % (1 << 64))))
+            dealt = ((shingles >> np.uint64(20)) % np.uint64(parts[s])).astype(np.int64)
+            np.add.at(sums, dealt, mixed(shingles))
+            signed = mixed(mixed(sums + _MIX[3]) + np.arange(parts[s], dtype=np.uint64) * _MIX[4] + np.uint64(s * int(_MIX[0]) % (1 << 64)))
+            full = np.bincount(dealt, minlength=parts[s]) > 0
+            out.append(signed[full] if parts[s] - full.sum() <= spare[s] else signed)
     return np.concatenate(out).view(np.int64) if out else np.zeros(0, np.int64)
 
 

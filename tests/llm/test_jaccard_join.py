@@ -39,26 +39,37 @@ def brute(ids, texts, percent=90, words=3):
     return [(d, len(s), least[find(i)]) for i, (d, s) in enumerate(zip(ids, sets))]
 
 
-def test_linked_sets_share_a_signature():
+@pytest.mark.parametrize("percent, share", [(90, 9), (80, 4), (85, 6)])
+def test_linked_sets_share_a_signature(percent, share):
     rng = np.random.default_rng(8)
     tried = 0
     for _ in range(3000):
         n = int(rng.integers(1, 400))
         base = rng.integers(0, 2**63, n).astype(np.uint64)
-        gone, new = int(rng.integers(0, n // 9 + 2)), int(rng.integers(0, n // 9 + 2))
+        gone, new = int(rng.integers(0, n // share + 2)), int(rng.integers(0, n // share + 2))
         a, b = np.unique(base), np.unique(np.concatenate([base[gone:], rng.integers(0, 2**63, new).astype(np.uint64)]))
-        if linked(a, b) and not np.array_equal(a, b):
+        if linked(a, b, percent) and not np.array_equal(a, b):
             tried += 1
-            assert set(signatures(a)) & set(signatures(b))
+            assert set(signatures(a, percent)) & set(signatures(b, percent))
     assert tried > 500
 
 
-def test_size_classes_reach_every_partner():
-    ends, _ = size_classes(90)
+def test_unrelated_sets_share_no_signature():
+    rng = np.random.default_rng(2)
+    seen, shared = {}, 0
+    for i in range(20_000):
+        for x in signatures(np.unique(rng.integers(0, 2**63, int(rng.integers(250, 350))).astype(np.uint64))).tolist():
+            shared += seen.setdefault(x, i) != i
+    assert shared == 0
+
+
+@pytest.mark.parametrize("percent", [80, 85, 90])
+def test_size_classes_reach_every_partner(percent):
+    ends, *_ = size_classes(percent)
     at = lambda n: int(np.searchsorted(ends, n, "right")) - 1
     for b in range(1, 5000):
-        a = -(-9 * b // 10)
-        assert at(b) - at(a) <= 1 and (at(a) == at(b) or (ends[at(b)] - 1) * 10 >= 9 * b)
+        a = -(-percent * b // 100)
+        assert at(b) - at(a) <= 1 and (at(a) == at(b) or (ends[at(b)] - 1) * 100 >= percent * b)
 
 
 def test_components_of_chains_and_stars(spark):
