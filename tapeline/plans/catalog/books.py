@@ -298,6 +298,23 @@ register(
     lambda s, d: ledger.daily_report(_turns(s, d), deals(s, d), _log(s, d), "2024-01-05", 5, 5000.0)["warning"],
     """SELECT count(*) >= 5 AS warning, count(*) AS alerts, 0::BIGINT AS rejected FROM events WHERE (event_type = 'error' OR user_id % 40 = 0) AND CAST(ts AS DATE) = DATE '2024-01-05'""",
 )
+
+
+def _report(name):
+    return lambda s, d: ledger.daily_report(_turns(s, d), deals(s, d), _log(s, d), "2024-01-05", 5, 5000.0)[name]
+
+
+register(
+    "lifecycle_daily_states",
+    _report("states"),
+    "SELECT state, count(*) AS trades FROM (SELECT conv_id, arg_max(role, turn) AS state FROM conversations GROUP BY 1) GROUP BY 1",
+)
+register(
+    "lifecycle_daily_alerts",
+    lambda s, d: _report("alerts")(s, d).select("event_id", "level", "event"),
+    """SELECT event_id, CASE WHEN event_type = 'error' THEN 'ERROR' ELSE 'INFO' END AS level, CASE WHEN user_id % 40 = 0 THEN 'trade_rejected' ELSE event_type END AS event FROM events
+    WHERE (event_type = 'error' OR user_id % 40 = 0) AND CAST(ts AS DATE) = DATE '2024-01-05'""",
+)
 register(
     "documents_ranked",
     lambda s, d: ledger.rank_documents(table(s, d, "documents"), "the and ation est"),
