@@ -136,7 +136,28 @@ _INDICATOR_SQL = {
     "kalman_trend": f"""WITH RECURSIVE {DAILY_SQL}, {kalman_sql('ks', 'b', 20)}, {kalman_sql('kl', 'b', 50)},
     tt AS (SELECT symbol, pos, CASE WHEN ks.v > kl.v THEN 'buy' ELSE 'sell' END AS trend FROM ks JOIN kl USING (symbol, pos)), {_turn_sql('tt')}""",
 }
+
+
+def _named_sql(query: str, trend: str) -> str:
+    """Trend from the SQL of a registered query that has the indicator's state."""
+    return f"WITH {DAILY_SQL}, tt AS (SELECT symbol, b.pos, {trend} AS trend FROM ({ORACLES[query]}) o JOIN b USING (symbol, ts)), {_turn_sql('tt')}"
+
+
+def _side_sql(column: str) -> str:
+    return f"CASE WHEN {column} = 'long' THEN 'buy' WHEN {column} IS NOT NULL THEN 'sell' END"
+
+
+_INDICATOR_SQL |= {
+    "sma": f"""WITH {DAILY_SQL}, m AS (SELECT symbol, pos, close, CASE WHEN pos >= 19 THEN avg(close) OVER (PARTITION BY symbol ORDER BY pos ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) END AS m FROM b),
+    tt AS (SELECT symbol, pos, CASE WHEN close > m THEN 'buy' WHEN close < m THEN 'sell' END AS trend FROM m), {_turn_sql('tt')}""",
+    "macd": _named_sql("osc_macd", "CASE WHEN macd_hist > 0 THEN 'buy' WHEN macd_hist <= 0 THEN 'sell' END"),
+    "supertrend": _named_sql("trend_supertrend", _side_sql("st_position")),
+    "sar": _named_sql("trend_sar", "CASE WHEN sar_trend > 0 THEN 'buy' WHEN sar_trend <= 0 THEN 'sell' END"),
+    "volumatic_vidya": _named_sql("trend_volumatic_vidya", _side_sql("vidya_trend")),
+    "trend_ali": _named_sql("trend_hull", _side_sql("hull_trend")),
+}
 for _name, _params in (
+    ("sma", {"window": 20}), ("macd", {}), ("supertrend", {}), ("sar", {}), ("volumatic_vidya", {}), ("trend_ali", {"length": 20, "length_mult": 6.0}),
     ("ema", {"window": 20}), ("ut_bot", {"key_value": 3, "atr_period": 10}), ("half_trend", {"amplitude": 2}), ("deviation_trend", {"sma_length": 50}),
     ("stoch_rsi", {}), ("kalman_trend", {"sell_len": 20, "buy_len": 50}),
 ):
