@@ -1,10 +1,11 @@
 """Main text of web pages by nearest-URL page differencing.
 
 Pages of a host are ordered by URL path and each is compared with the nearer of its two neighbours: their text lines are
-aligned by a longest common subsequence, and lines that both share are the site's and not the page's. Markup settles the
-rest: scripts, menus, forms and other boilerplate elements never count, and lines inside an ``article`` or ``main`` element
-are the page's own even where a neighbour quotes them; where a page has such an element, lines outside it are left out.
-A page whose every line is shared is a copy of its neighbour, and differencing says nothing about it.
+aligned by a longest common subsequence, and lines that both share are the site's and not the page's. Markup is evidence
+beside that: scripts, menus, forms and other boilerplate elements never count; an ``article`` or ``main`` element is the text,
+lines that a neighbour quotes included, unless the page has more than twice as many words of its own outside it (then the
+element was a teaser, and the page's own lines are the text). A page whose every line is shared is a copy of its neighbour,
+and differencing says nothing about it.
 """
 
 from __future__ import annotations
@@ -43,6 +44,12 @@ MARKERS = frozenset(
      "cookie", "cookies", "disqus", "footer", "gdpr", "header", "login", "menu", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "overlay", "pagination", "popup",
      "promo", "promoted", "related", "replies", "respond", "search", "share", "sharing", "sidebar", "signup", "social", "sponsor", "sponsored", "subscribe", "toolbar", "widget"}
 )
+#: Words that say where or how a marked element is laid out. Any other word beside a marker speaks of something else
+#: (``related-work``, ``article-header``), and the element is text.
+LAYOUT = frozenset(
+    {"area", "articles", "bar", "block", "bottom", "box", "btn", "container", "content", "global", "group", "icons", "inner", "item", "items", "left", "link", "links", "list", "media",
+     "outer", "page", "panel", "posts", "primary", "reader", "right", "row", "secondary", "section", "site", "slot", "stories", "top", "unit", "user", "wrap", "wrapper", "zone"}
+)
 #: An element with such a marker is still text if it is one of these.
 NEVER_MARKED = frozenset({"html", "body"})
 
@@ -56,9 +63,10 @@ class Line:
 
 def _marked(rest: str) -> bool:
     for found in _MARKS.finditer(rest):
-        value = found[1] or found[2] or found[3] or ""
-        if MARKERS & set(re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1-\2", value).lower())):
-            return True
+        for name in (found[1] or found[2] or found[3] or "").split():
+            words = set(re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1-\2", name).lower()))
+            if words & MARKERS and words <= MARKERS | LAYOUT:
+                return True
     return False
 
 
@@ -189,13 +197,14 @@ def common_subsequence(a: Sequence[int], b: Sequence[int]) -> list[int]:
 
 def main_text(lines: Sequence[Line], neighbour: Sequence[int] | None) -> str:
     """The page's own lines, joined by one space; ``neighbour`` holds the line hashes of the nearest page of the host."""
-    if any(x.main and not x.boilerplate for x in lines):
-        return " ".join(x.text for x in lines if x.main and not x.boilerplate)
     mine = [x for x in lines if not x.boilerplate]
     shared = set(common_subsequence(hashes(mine).tolist(), neighbour)) if neighbour else set()
     if len(shared) == len(mine):
         shared = set()
-    return " ".join(x.text for i, x in enumerate(mine) if i not in shared)
+    words = lambda kept: sum(x.text.count(" ") + 1 for x in kept)
+    article, own = [x for x in mine if x.main], [x for i, x in enumerate(mine) if i not in shared]
+    outside = [x for x in own if not x.main]
+    return " ".join(x.text for x in (article if article and words(outside) <= 2 * words(article) else own))
 
 
 def hashes(lines: Sequence[Line]) -> np.ndarray:
@@ -211,37 +220,38 @@ def host_and_path(url: str | None) -> tuple[str, str]:
         return "", url or ""
 
 
-SLIM = pa.schema([("_key", pa.int64()), ("host", pa.string()), ("path", pa.string()), ("settled", pa.bool_()), ("lines", pa.binary())])
+SLIM = pa.schema([("_key", pa.int64()), ("host", pa.string()), ("path", pa.string()), ("lines", pa.binary())])
 
 
 def neighbours(pages: DataFrame) -> DataFrame:
-    """Row key and line hashes of the nearest page, for pages without a main element.
+    """Row key and line hashes of the nearest other page of the host, for pages that have one.
 
     A host may hold a third of all pages: pages are sorted by host and path in ranges, neighbours are looked up inside each
-    range, and only the first and last page of every range and host go through one window per host. Only hashes of lines move.
+    range, and what the first and last page of every range and host lack comes from one window over these alone. Only hashes
+    of lines move; equal rows are one page.
     """
 
     def parse(source):
         for batch in batches(source, 256):
             rows: list[list] = [[] for _ in SLIM]
             for key, url, page in zip(*(batch.column(n).to_pylist() for n in ("_key", "url", "html"))):
-                lines = lines_of(page)
-                settled = any(x.main and not x.boilerplate for x in lines)
-                for column, value in zip(rows, (key, *host_and_path(url), settled, hashes(lines).tobytes())):
+                for column, value in zip(rows, (key, *host_and_path(url), hashes(lines_of(page)).tobytes())):
                     column.append(value)
             yield rows_of(SLIM, rows)
 
-    slim = pages.mapInArrow(parse, "_key long, host string, path string, settled boolean, lines binary")
+    slim = pages.mapInArrow(parse, "_key long, host string, path string, lines binary").dropDuplicates(["_key"])
     ranged = materialize(slim.repartitionByRange("host", "path", "_key").withColumn("_range", F.spark_partition_id()))
-    if ranged.filter(~F.col("settled")).isEmpty():
-        return ranged.select("_key", "lines").limit(0)  # every page has a main element
-    own = Window.partitionBy("host", "_range").orderBy("path", "_key")
-    near = lambda w: {"_before": F.lag(F.struct("path", "lines")).over(w), "_after": F.lead(F.struct("path", "lines")).over(w)}
-    inside = ranged.withColumns(near(own))
+
+    def beside(before: str, after: str, *by: str) -> dict:
+        w = Window.partitionBy(*by).orderBy("path", "_key")
+        return {before: F.lag(F.struct("path", "lines")).over(w), after: F.lead(F.struct("path", "lines")).over(w)}
+
+    inside = ranged.withColumns(beside("_before", "_after", "host", "_range"))
     ends = F.col("_before").isNull() | F.col("_after").isNull()
-    edges = inside.filter(ends).withColumns(near(Window.partitionBy("host").orderBy("path", "_key")))
-    both = inside.filter(~ends).unionByName(edges).filter(~F.col("settled"))
-    pairs = both.groupBy("_key").agg(F.min(F.struct("path", "_before", "_after")).alias("_pair")).select("_key", "_pair.*")
+    edges = inside.filter(ends).withColumns(beside("_b", "_a", "host"))
+    # inside a range the neighbour found there is the nearest; only a missing one is that of the range beside it
+    edges = edges.withColumns({"_before": F.coalesce("_before", "_b"), "_after": F.coalesce("_after", "_a")}).drop("_b", "_a")
+    pairs = inside.filter(~ends).unionByName(edges).select("_key", "path", "_before", "_after")
 
     def choose(source):
         for batch in source:

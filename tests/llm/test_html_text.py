@@ -4,9 +4,10 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tapeline.llm.common import table
-from tapeline.llm.html_text import common_subsequence, extract, host_and_path, lines_of, main_text
+from tapeline.llm.html_text import common_subsequence, extract, hashes, host_and_path, lines_of, main_text
 
 PAGES = "page_id long, url string, html string, path string, host string"
 
@@ -28,6 +29,64 @@ def test_markup(page, text):
     assert own(page) == text
 
 
+@pytest.mark.parametrize("page, text", [
+    ("<div class='content share-enabled'><p>story</p></div>", "story"),
+    ("<article><div class='article-header'><h1>Title</h1></div><p>body</p></article>", "Title body"),
+    ("<p class=related-work>a</p><div class='notice-of-race'>b</div><div id='ad-hoc-networks'>c</div>", "a b c"),
+    ("<div class='site-header'>x</div><div id=topAdBox>x</div><ul class='comments list'><li>x</li></ul><p>y</p>", "y"),
+    ("<article class='teaser'><p>Read on</p></article><div><p>the real text is longer by far</p><p>and goes on</p></div>", "Read on the real text is longer by far and goes on"),
+    ("<article><p>one two three</p></article><p>four five six seven</p>", "one two three"),
+])
+def test_markers_are_evidence(page, text):
+    assert own(page) == text
+
+
+def nearest_by_scan(pages):
+    """Text of every page against its nearest page, found by looking at all pages of the host in order."""
+    order = sorted({(*host_and_path(r["url"]), r["_key"], r["html"]) for r in pages})
+    out = {}
+    for i, (host, path, key, page) in enumerate(order):
+        near = [order[j] for j in (i - 1, i + 1) if 0 <= j < len(order) and order[j][0] == host]
+        alike = [next((k for k, (x, y) in enumerate(zip(n[1], path)) if x != y), min(len(n[1]), len(path))) for n in near]
+        seen = hashes(lines_of(near[alike.index(max(alike))][3])).tolist() if near else None
+        mine = [x for x in lines_of(page) if not x.boilerplate]
+        drop = set()
+        if seen:
+            at = hashes(mine).tolist()
+            # the lines of these pages differ within a page, so any longest common subsequence of shared lines in order is one
+            drop = {k for k, h in enumerate(at) if h in seen}
+            assert longest(at, seen) == len(drop)
+        if len(drop) == len(mine):
+            drop = set()
+        article = [x.text for x in mine if x.main]
+        out[key] = " ".join(article or [x.text for k, x in enumerate(mine) if k not in drop])
+    return out
+
+
+@pytest.mark.parametrize("partitions", [1, 2, 7, 16])
+def test_differencing_against_a_scan(spark, partitions):
+    """Pages with and without a main element, mixed, give the same text however many ranges they are sorted into."""
+    rows = []
+    for i in range(60):
+        host, part = f"h{i % 3 % 2}.org", f"/s{i % 5}/{i * 7 % 60:02d}"
+        top = f"<div>Section {i % 5}</div><div>Host {host}</div>"
+        body = f"<article><p>Quoted {host}</p><p>main {i} and some more words of it</p></article>" if i % 4 == 0 else f"<p>only {i}</p>"
+        rows.append((i, f"http://{host}{part}", f"{top}{body}<div>End of {host}</div>", "", ""))
+    pages = spark.createDataFrame(rows + rows[:5], PAGES)
+    keyed = pages.withColumn("_key", F.xxhash64("page_id", "url", "html")).collect()
+    want = nearest_by_scan(keyed)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    adaptive = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        got = extract(pages.repartition(3)).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", adaptive)
+    assert sorted((r["page_id"], r["text"]) for r in got) == sorted((r["page_id"], want[r["_key"]]) for r in keyed)
+
+
 def longest(a, b):
     d = np.zeros((len(a) + 1, len(b) + 1), int)
     for i, x in enumerate(a):
