@@ -20,7 +20,7 @@ from tapeline.operators.layout import CHUNK, CORE, POS, Laid, spread
 from tapeline.operators.steps import Step
 from tapeline.session import materialize
 
-# step(state, row) -> (state, emitted). ``state`` is a list of floats, empty before the first row.
+# step(state, row) -> (state, emitted). ``state`` is a list of floats, empty before the first row. Inputs are doubles or arrays.
 StepFn = Callable[[list, tuple], tuple[list, object]]
 
 # relink(states) adds ``_due`` to a table of the series keys, chunk, ``_entry`` and ``_exit``
@@ -65,7 +65,8 @@ def settle_states(laid: Laid, step: StepFn, inputs: Sequence[str], relink: Relin
     keys = [*laid.keys, CHUNK]
     if laid.df.filter(F.col(CORE) & (F.col(CHUNK) > 0)).select(F.lit(1)).limit(1).count() == 0:
         return None
-    source = laid.df.select(*keys, POS, CORE, *[F.col(c).cast("double") for c in inputs])
+    plain = {f.name for f in laid.df.schema.fields if isinstance(f.dataType, ArrayType)}
+    source = laid.df.select(*keys, POS, CORE, *[F.col(c) if c in plain else F.col(c).cast("double") for c in inputs])
     schema = StructType(
         [f for f in source.schema.fields if f.name in keys]
         + [StructField(n, ArrayType(DoubleType())) for n in ("_entry", "_exit")]

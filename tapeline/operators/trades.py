@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
@@ -11,13 +12,14 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 from tapeline.operators.asof import asof_join
 from tapeline.operators.bars import at_seconds
 from tapeline.operators.fold import fold_columns, fold_events
-from tapeline.operators.layout import POS, epoch_seconds, lay_out, spread, with_positions
+from tapeline.operators.layout import CHUNK, POS, epoch_seconds, lay_out, spread, with_positions
 from tapeline.operators.scans import prefix_carry, shift
 from tapeline.operators.touch import first_touch
 from tapeline.session import chunk_rows, materialize
 
 EXIT_REASONS = ("TP", "SL", "Manual Close", "SL")  # the last one: a losing close on the opposite signal
 NAN = float("nan")
+SKIPPED = -1.0
 
 
 BALANCE_ROWS = 65536  # trades per task of the balance pass
@@ -28,7 +30,8 @@ def trade_step():
 
     Row: high, low, close, position, seconds, signal, stop and target distance, break-even distance, close on opposite,
     lot, money per price unit. Unused distances are nan; a signal without a lot is not taken.
-    Emits ``(reason, side, entry seconds, entry position, entry price, exit price, lot, profit, stop, money per unit)``.
+    Emits ``(reason, side, entry seconds, entry position, entry price, exit price, lot, profit, stop, money per unit)``; the
+    reason ``SKIPPED`` marks a signal that found no position open and had no lot.
     """
 
     def step(state, row):
@@ -50,6 +53,8 @@ def trade_step():
             if signal and size == size:
                 side, entry, since, at, freed = signal, close, now, pos, 0.0
                 sl, tp = close - signal * stop, close + signal * target
+            elif signal:
+                out.append((SKIPPED, signal, now, pos, close, close, size, 0.0, stop, worth))
         else:
             ahead, behind = (high, low) if side > 0 else (low, high)
             if free == free and not freed and side * (ahead - entry) >= free:
@@ -89,6 +94,26 @@ _TRADE_COLUMNS = StructType(
 )
 
 
+def _signal_events(bars, seconds, signal, stop, target, break_even, close_opposite, lot, money_per_point, keys, warmup) -> DataFrame:
+    """Closed trades and skipped signals as ``trade_step`` emits them."""
+    none = F.lit(None).cast("double")
+    held = bars.withColumns(
+        {
+            "_sig": F.coalesce(signal.cast("double"), F.lit(0.0)),
+            "_stop": none if stop is None else stop.cast("double"),
+            "_target": none if target is None else target.cast("double"),
+            "_free": none if break_even is None else break_even.cast("double"),
+            "_opp": (F.lit(close_opposite) if isinstance(close_opposite, bool) else close_opposite).cast("double"),
+            "_lot": (F.lit(lot) if isinstance(lot, (int, float)) else lot).cast("double"),
+            "_worth": (F.lit(money_per_point) if isinstance(money_per_point, (int, float)) else money_per_point).cast("double"),
+            "_now": epoch_seconds("ts").cast("double"),
+        }
+    )
+    laid = lay_out(held, seconds, warmup, keys=keys).add({"_p": F.col(POS).cast("double")})
+    inputs = ["high", "low", "close", "_p", "_now", "_sig", "_stop", "_target", "_free", "_opp", "_lot", "_worth"]
+    return fold_events(laid, trade_step(), inputs, _TRADE_COLUMNS)
+
+
 def bar_trades(
     bars: DataFrame,
     seconds: float,
@@ -115,22 +140,8 @@ def bar_trades(
     Entries and exits do not depend on the balance, so the pass over the bars leaves it out: its state lives as long as a
     position. The balance then runs over the trades alone, ``BALANCE_ROWS`` of them per task.
     """
-    none = F.lit(None).cast("double")
-    held = bars.withColumns(
-        {
-            "_sig": F.coalesce(signal.cast("double"), F.lit(0.0)),
-            "_stop": none if stop is None else stop.cast("double"),
-            "_target": none if target is None else target.cast("double"),
-            "_free": none if break_even is None else break_even.cast("double"),
-            "_opp": (F.lit(close_opposite) if isinstance(close_opposite, bool) else close_opposite).cast("double"),
-            "_lot": (F.lit(lot) if isinstance(lot, (int, float)) else lot).cast("double"),
-            "_worth": (F.lit(money_per_point) if isinstance(money_per_point, (int, float)) else money_per_point).cast("double"),
-            "_now": epoch_seconds("ts").cast("double"),
-        }
-    )
-    laid = lay_out(held, seconds, warmup, keys=keys).add({"_p": F.col(POS).cast("double")})
-    inputs = ["high", "low", "close", "_p", "_now", "_sig", "_stop", "_target", "_free", "_opp", "_lot", "_worth"]
-    rows = fold_events(laid, trade_step(), inputs, _TRADE_COLUMNS)
+    rows = _signal_events(bars, seconds, signal, stop, target, break_even, close_opposite, lot, money_per_point, keys, warmup)
+    rows = rows.filter(F.col("_reason") >= 0)
     if risk_of_balance is not None:
         trades = rows.withColumnRenamed(POS, "_exit_pos").withColumn("_move", F.col("_side") * (F.col("exit_price") - F.col("entry_price")))
         # a bar closes at most one trade, so times order the trades of a key
@@ -138,6 +149,82 @@ def bar_trades(
         money = balance_step(risk_of_balance, initial_balance, per_lot, pip)
         done = fold_columns(spread_out, money, ["_move", "_width", "lot", "_unit"], ["_lot", "_profit"])
         rows = done.core().drop("lot", "profit").withColumnsRenamed({"_lot": "lot", "_profit": "profit", "_exit_pos": POS})
+    return _trade_rows(rows, keys)
+
+
+def skipped_entries(
+    bars: DataFrame, seconds: float, signal: Column, stop: Column, target: Column, lot: Column, keys: Sequence[str] = ("symbol",), warmup: int = 1024
+) -> DataFrame:
+    """Per key how many signals found no position open and were not taken for want of a lot (a missing or zero distance)."""
+    events = _signal_events(bars, seconds, signal, stop, target, None, False, lot, 1.0, keys, warmup)
+    count = F.count_if(F.col("_reason") == SKIPPED)
+    found = events.groupBy(*keys).agg(count.alias("skipped_entries"))
+    return bars.select(*keys).distinct().join(found, list(keys), "left").fillna(0, ["skipped_entries"])
+
+
+_SET_COLUMNS = StructType([StructField("_set", DoubleType()), *_TRADE_COLUMNS.fields[:-2]])
+
+
+def set_step(settings: Sequence[dict]):
+    """``trade_step`` for many settings at once: the sets are the second axis of the state, one bar is one round of array work.
+
+    A setting has ``stop``, ``target``, ``break_even`` (distances, nan: none), ``close_opposite``, ``lot`` (nan: never taken) and
+    ``worth`` (money per price unit). Row: high, low, close, position, seconds, signals of all sets.
+    """
+    stop, target, free, lot, worth = (np.array([p[n] for p in settings], float) for n in ("stop", "target", "break_even", "lot", "worth"))
+    opposite, sized = np.array([p["close_opposite"] for p in settings], bool), lot == lot
+
+    def step(state, row):
+        high, low, close, pos, now, signals = row
+        signals = np.asarray(signals)
+        if state:
+            side, entry, since, at, freed = np.array(state).reshape(5, -1)
+        else:
+            side, freed = np.zeros(len(settings)), np.zeros(len(settings))
+            entry, since, at = np.full((3, len(settings)), NAN)
+        held, wants = side != 0, (signals != 0) & sized
+        if state and not held.any() and not wants.any():
+            return state, []
+        turned = held & opposite & (signals == -side)
+        stay, long = held & ~turned, side > 0
+        ahead, behind = np.where(long, high, low), np.where(long, low, high)
+        freed = np.where(stay & (side * (ahead - entry) >= free), 1.0, freed)
+        goal, guard = entry + side * target, np.where(freed > 0, entry, entry - side * stop)
+        won = stay & (side * (ahead - goal) >= 0)
+        lost = stay & ~won & (side * (behind - guard) <= 0)
+        left = turned | won | lost
+        out = []
+        if left.any():
+            price = np.where(turned, close, np.where(won, goal, guard))
+            profit = side * (price - entry) * worth
+            reason = np.where(turned, np.where(profit < 0, 3.0, 2.0), np.where(won, 0.0, 1.0))
+            ids = np.flatnonzero(left)
+            out = list(zip(ids.astype(float).tolist(), *(v[ids].tolist() for v in (reason, side, since, at, entry, price, lot, profit))))
+        enters = (~held | turned) & wants
+        gone = left & ~enters
+        side = np.where(enters, signals, np.where(gone, 0.0, side))
+        entry, since, at = (np.where(enters, v, np.where(gone, NAN, old)) for v, old in ((close, entry), (now, since), (pos, at)))
+        freed = np.where(enters | gone, 0.0, freed)
+        return np.concatenate([side, entry, since, at, freed]).tolist(), out
+
+    return step
+
+
+def set_trades(
+    bars: DataFrame, seconds: float, signals: Column, settings: Sequence[dict], keys: Sequence[str] = ("symbol",), warmup: int = 1024
+) -> DataFrame:
+    """Trades of every setting of ``set_step`` with its number ``param_id``; ``signals`` is an array with one signal per setting.
+
+    The bars are shuffled once and walked once per chunk, however many settings there are; signals are computed after the shuffle.
+    """
+    laid = lay_out(bars.withColumn("_now", epoch_seconds("ts").cast("double")), seconds, warmup, keys=keys)
+    dealt = laid.on(laid.df.repartition(*keys, CHUNK))  # before the signals are there: the walk groups by the same columns
+    laid = dealt.add({"_p": F.col(POS).cast("double"), "_signals": signals})
+    rows = fold_events(laid, set_step(settings), ["high", "low", "close", "_p", "_now", "_signals"], _SET_COLUMNS)
+    return _trade_rows(rows.withColumn("param_id", F.col("_set").cast("int")), (*keys, "param_id"))
+
+
+def _trade_rows(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     names = F.array(*[F.lit(n) for n in EXIT_REASONS])
     return rows.select(
         *keys,

@@ -231,26 +231,19 @@ def _sweep_bars(bars, seconds, params, keys=("symbol",)):
         return laid.add({f"_p{n}": shift(laid, f"_e{n}") for n in periods})
 
     reach = max(fade_rows(ma.span_decay(n)) for n in periods) + 1
-    return run(bars, seconds, Step(means, reach), keys=keys, keep=[POS, TOTAL]), periods
+    return run(bars, seconds, Step(means, reach), keys=keys, keep=[POS, TOTAL])
 
 
-def _cross_signal(periods):
-    table = lambda prefix: F.create_map(*[x for n in periods for x in (F.lit(n), F.col(f"{prefix}{n}"))])
-
-    def signal():
-        fast, slow = F.col("fast_period").cast("int"), F.col("slow_period").cast("int")
-        now, prev = table("_e"), table("_p")
-        up = now[fast] > now[slow]
-        was = prev[fast] > prev[slow]
-        return F.when(up & ~was, 1).when(~up & was, -1).otherwise(0)
-
-    return signal
+def _cross_signal(p):
+    up = F.col(f"_e{p['fast_period']}") > F.col(f"_e{p['slow_period']}")
+    was = F.col(f"_p{p['fast_period']}") > F.col(f"_p{p['slow_period']}")
+    return F.when(up & ~was, 1).when(~up & was, -1).otherwise(0)
 
 
 def sweep_results(s, d):
     params = sweep_params(s)
-    bars, periods = _sweep_bars(daily(s, d), DAY, params)
-    done = sweeps.sweep_trades(bars, DAY, params, _cross_signal(periods), 100.0, 0.1)
+    bars = _sweep_bars(daily(s, d), DAY, params)
+    done = sweeps.sweep_trades(bars, DAY, params, _cross_signal, 100.0, 0.1)
     return sweeps.sweep_metrics(materialize(done), DAY, params, 5000.0)
 
 
@@ -298,14 +291,36 @@ register(
 )
 
 
+_RISK = list(sweeps.risk_grid([150.0, 300.0, 450.0], [200.0, 400.0, 800.0], [300.0, 600.0, 900.0]))
+
+
 def _risk_sweep(s, d):
-    params = list(sweeps.risk_grid([300.0], [400.0, 800.0], [900.0], (True, False)))
+    """Rounded to 7 places: money and its percentages have at most as many, so no value lies between two."""
     bars = run(daily(s, d), DAY, crossing(), keep=[POS, TOTAL])
-    done = sweeps.sweep_trades(bars, DAY, params, lambda: F.col("signal"), 100.0, 0.1)
-    return rounded(sweeps.sweep_metrics(materialize(done), DAY, params, 5000.0), 4, *_RES, plain=(*_PLAIN, "status"))
+    done = sweeps.sweep_trades(bars, DAY, _RISK, lambda p: F.col("signal"), 100.0, 0.1)
+    return rounded(sweeps.sweep_metrics(materialize(done), DAY, _RISK, 5000.0), 7, *_RES, plain=(*_PLAIN, "status"))
 
 
-register("sweep_risk_settings", _risk_sweep)
+def _risk_values() -> str:
+    """Settings as rows of SQL; a distance that is off is out of reach. The lot follows the stop, or 50 pips without one."""
+    row = "({}, {!r}::DOUBLE, {!r}::DOUBLE, {!r}::DOUBLE, {})"
+    far = lambda p, switch, pips: p[pips] * 100.0 if p[switch] else 1e18
+    return ", ".join(
+        row.format(i, far(p, "use_sl", "sl_pips"), far(p, "use_tp", "tp_pips"), far(p, "use_risk_free", "risk_free_distance_pips"), p["close_opposite_position"])
+        for i, p in enumerate(_RISK)
+    )
+
+
+_RISK_SQL = f"""WITH RECURSIVE {DAILY_SQL}, {SIGNAL_SQL.replace('sg AS MATERIALIZED', 'sg0 AS MATERIALIZED')},
+rp(id, stop, target, free, opp) AS (VALUES {_risk_values()}),
+rz AS (SELECT *, greatest(0.01, round(100 / (CASE WHEN stop < 1e18 THEN stop / 100 ELSE 50 END * 0.1::DOUBLE), 2)) AS lot FROM rp),
+sg AS MATERIALIZED (SELECT concat_ws('|', symbol, id, stop, target, free, opp, lot) AS symbol, pos, close, high, low, sig FROM sg0, rz),
+{trades_sql('rk', 'sg', "split_part(symbol, '|', 3)::DOUBLE", "split_part(symbol, '|', 4)::DOUBLE", "split_part(symbol, '|', 5)::DOUBLE", "split_part(s.symbol, '|', 6)::BOOLEAN", '1').split('rk_t AS MATERIALIZED')[0].rstrip().rstrip(',')},
+st AS MATERIALIZED (SELECT symbol AS k, pos, t_side * (t_exit - t_entry) * round(split_part(symbol, '|', 7)::DOUBLE * 0.1::DOUBLE, 3) / 100 AS profit FROM rk WHERE reason IS NOT NULL),
+{SWEEP_SQL[SWEEP_SQL.index("bc AS (SELECT *, 5000"):]}
+SELECT b0.symbol, rp.id AS param_id, total_trades, {_RES_SQL.split("total_trades, ", 1)[1].replace(", 4)", ", 7)")}, CASE WHEN total_trades IS NULL THEN 'no_trades' ELSE 'success' END AS status
+FROM (SELECT DISTINCT symbol FROM b) b0 CROSS JOIN rp LEFT JOIN rs ON rs.symbol = b0.symbol AND rs.param_id = rp.id"""
+register("sweep_risk_settings", _risk_sweep, _RISK_SQL)
 
 
 def _hit_events(s, d):
@@ -337,18 +352,18 @@ register(
 
 
 def _walk_forward(s, d):
-    params = [{"fast_period": f, "slow_period": n} for f, n in ((5, 12), (9, 21), (12, 30))]
+    params = sweep_params(s)
     keys = ("symbol", "window_id")
     windows = calendar_windows(daily(s, d), DAY, 400)
-    bars, periods = _sweep_bars(windows, DAY, params, keys)
-    done = materialize(sweeps.sweep_trades(bars, DAY, params, _cross_signal(periods), 100.0, 0.1, keys=keys))
+    bars = _sweep_bars(windows, DAY, params, keys)
+    done = materialize(sweeps.sweep_trades(bars, DAY, params, _cross_signal, 100.0, 0.1, keys=keys))
     universe = windows.select(*keys).distinct()
     results = sweeps.sweep_metrics(done, DAY, params, 5000.0, keys, universe)
     return rounded(sweeps.walk_forward(materialize(results)), 4, "is_roi", "oos_roi", plain=("symbol", "fold", "param_id", "oos_trades", "status"))
 
 
 _DAILY0_SQL = DAILY_SQL.replace("\nb AS MATERIALIZED", "\nb0 AS MATERIALIZED")
-_WALK_SQL = f"""WITH RECURSIVE {_DAILY0_SQL}, pr AS (SELECT unnest([0, 1, 2]) AS pid, unnest([5, 9, 12]) AS f, unnest([12, 21, 30]) AS s),
+_WALK_SQL = f"""WITH RECURSIVE {_DAILY0_SQL}, {_GRID_SQL}, pr AS MATERIALIZED (SELECT fast_period AS f, slow_period AS s, CAST(row_number() OVER (ORDER BY fast_period, slow_period) - 1 AS INTEGER) AS pid FROM c WHERE fast_period < slow_period),
 b AS MATERIALIZED (SELECT symbol || '|' || (pos // 400) || '|' || pid AS symbol, pos % 400 AS pos, ts, open, high, low, close, volume, f, s FROM b0, pr),
 em AS (SELECT symbol, pos, close AS x, 1.0::DOUBLE AS xw, close AS y, 1.0::DOUBLE AS yw FROM b WHERE pos = 0
   UNION ALL SELECT b.symbol, b.pos, x * (1 - 2.0 / (f + 1)) + close, xw * (1 - 2.0 / (f + 1)) + 1, y * (1 - 2.0 / (s + 1)) + close, yw * (1 - 2.0 / (s + 1)) + 1 FROM em JOIN b ON b.symbol = em.symbol AND b.pos = em.pos + 1),

@@ -180,6 +180,22 @@ register(
     lambda s, d: _sized(_atr_trades(s, d)),
     f"WITH RECURSIVE {DAILY_SQL}, {_ATR_SQL}, {sized_trades_sql('2 * s.atr', '3 * s.atr', 'CASE WHEN s.atr > 0 THEN greatest(0.01, round(100 / (2 * s.atr * 0.1::DOUBLE), 2)) END')}",
 )
+
+
+def _skipped(s, d):
+    """Signals before the mean range of 200 days is known find no lot."""
+    from tapeline.operators.oscillators import true_range
+
+    bars = run(daily(s, d), DAY, true_range("_tr") >> ma.sma(200, "_tr", "atr"), crossing())
+    lot = trades.fixed_risk_lot(5000.0, 2.0, F.col("atr") * 2, 1.0, 0.1)
+    return trades.skipped_entries(bars, DAY, F.col("signal"), F.col("atr") * 2, F.col("atr") * 3, lot)
+
+
+register(
+    "trades_skipped_entries",
+    _skipped,
+    f"WITH RECURSIVE {DAILY_SQL}, {SIGNAL_SQL} SELECT symbol, count(*) FILTER (sig <> 0 AND pos < 199) AS skipped_entries FROM sg GROUP BY 1",
+)
 register(
     "trades_bar_running_risk",
     lambda s, d: _sized(

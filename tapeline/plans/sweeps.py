@@ -6,6 +6,7 @@ import hashlib
 import itertools
 import json
 from collections.abc import Callable, Iterator, Sequence
+from decimal import ROUND_HALF_UP, Decimal
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 from tapeline.operators.layout import POS, lay_out, with_positions
 from tapeline.operators.metrics import balance_curve, max_drawdown, trade_metrics
 from tapeline.operators.scans import shift
-from tapeline.operators.trades import bar_trades, fixed_risk_lot, money_per_point
+from tapeline.operators.trades import set_trades
 
 # Default grids per indicator.
 DEFAULT_GRIDS = {
@@ -64,9 +65,9 @@ def risk_grid(
 
 
 def with_params(bars: DataFrame, params: Sequence[dict]) -> DataFrame:
-    """Every bar once per parameter set with ``param_id`` and the parameters.
+    """Every bar once per parameter set with ``param_id`` and the parameters, for signals that no single row can give.
 
-    Positions are taken before the copies are made. The sets are one constant of the plan, however many there are.
+    The sets are one constant of the plan, however many there are. Sweeps of trades do not copy bars (``sweep_trades``).
     """
     kinds = {bool: "boolean", int: "long", float: "double", str: "string"}
     shape = "param_id int, " + ", ".join(f"{n} {kinds[type(v)]}" for n, v in params[0].items())
@@ -75,33 +76,39 @@ def with_params(bars: DataFrame, params: Sequence[dict]) -> DataFrame:
     return bars.withColumn("_p", F.explode(sets)).select("*", "_p.*").drop("_p")
 
 
+def _half_up(value: float, digits: int) -> float:
+    """Rounding of a constant as the column function rounds."""
+    return float(Decimal(repr(value)).quantize(Decimal(1).scaleb(-digits), ROUND_HALF_UP))
+
+
+def trade_setting(p: dict, pip: float, per_lot: float, initial_balance: float = 5000.0, risk_percent: float = 2.0) -> dict:
+    """Distances, lot and money per price unit of a parameter set; missing ones default to stop 500, target 1000 pips, no break-even."""
+    p = {"use_risk_free": False, "risk_free_distance_pips": 0.0, "use_sl": True, "sl_pips": 500.0, "use_tp": True, "tp_pips": 1000.0,
+         "close_opposite_position": False, **p}
+    distance = lambda switch, pips: float(p[pips]) * pip if p[switch] else float("nan")
+    stop = distance("use_sl", "sl_pips")
+    pips = (stop if p["use_sl"] else 50 * pip) / pip
+    lot = max(0.01, _half_up(initial_balance * risk_percent / 100.0 / (pips * per_lot), 2)) if pips > 0 else float("nan")
+    worth = _half_up(lot * per_lot, 3) / pip if pips > 0 else float("nan")
+    return {"stop": stop, "target": distance("use_tp", "tp_pips"), "break_even": distance("use_risk_free", "risk_free_distance_pips"),
+            "close_opposite": p["close_opposite_position"], "lot": lot, "worth": worth}
+
+
 def sweep_trades(
     bars: DataFrame,
     seconds: float,
     params: Sequence[dict],
-    signal: Callable[[], Column],
+    signal: Callable[[dict], Column],
     pip: float,
     per_lot: float,
     initial_balance: float = 5000.0,
     risk_percent: float = 2.0,
     keys: Sequence[str] = ("symbol",),
 ) -> DataFrame:
-    """Trades of every parameter set. Missing parameters default to stop 500, target 1000 pips, no break-even."""
-    full = [
-        {"use_risk_free": False, "risk_free_distance_pips": 0.0, "use_sl": True, "sl_pips": 500.0, "use_tp": True, "tp_pips": 1000.0,
-         "close_opposite_position": False, **p}
-        for p in params
-    ]
-    full = [{k: float(v) if isinstance(v, int) and not isinstance(v, bool) else v for k, v in p.items()} for p in full]
-    placed = bars if POS in bars.columns else with_positions(bars, seconds, keys)
-    rows = with_params(placed, full)
-    distance = lambda switch, pips: F.when(F.col(switch), F.col(pips) * pip)
-    stop = distance("use_sl", "sl_pips")
-    lot = fixed_risk_lot(initial_balance, risk_percent, F.coalesce(stop, F.lit(50 * pip)), pip, per_lot)
-    return bar_trades(
-        rows, seconds, signal(), stop, distance("use_tp", "tp_pips"), distance("use_risk_free", "risk_free_distance_pips"),
-        F.col("close_opposite_position"), lot, money_per_point(lot, pip, per_lot), keys=(*keys, "param_id"),
-    )
+    """Trades of every parameter set; ``signal`` gives the signal column of a set. A chunk of bars is walked for all sets at once."""
+    settings = [trade_setting(p, pip, per_lot, initial_balance, risk_percent) for p in params]
+    signals = F.array(*[F.coalesce(signal(p), F.lit(0)).cast("byte") for p in params])
+    return set_trades(bars if POS in bars.columns else with_positions(bars, seconds, keys), seconds, signals, settings, keys)
 
 
 def sweep_metrics(
