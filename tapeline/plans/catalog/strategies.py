@@ -295,10 +295,11 @@ _RISK = list(sweeps.risk_grid([150.0, 300.0, 450.0], [200.0, 400.0, 800.0], [300
 
 
 def _risk_sweep(s, d):
-    """Rounded to 7 places: money and its percentages have at most as many, so no value lies between two."""
+    """Money has at most 7 decimal places and its percentage of 5,000 at most 9: rounded there, no value lies between two."""
     bars = run(daily(s, d), DAY, crossing(), keep=[POS, TOTAL])
     done = sweeps.sweep_trades(bars, DAY, _RISK, lambda p: F.col("signal"), 100.0, 0.1)
-    return rounded(sweeps.sweep_metrics(materialize(done), DAY, _RISK, 5000.0), 7, *_RES, plain=(*_PLAIN, "status"))
+    told = sweeps.sweep_metrics(materialize(done), DAY, _RISK, 5000.0).withColumn("final_balance", F.round("final_balance", 7))
+    return rounded(told, 9, *_RES, plain=(*_PLAIN, "status"))
 
 
 def _risk_values() -> str:
@@ -318,7 +319,7 @@ sg AS MATERIALIZED (SELECT concat_ws('|', symbol, id, stop, target, free, opp, l
 {trades_sql('rk', 'sg', "split_part(symbol, '|', 3)::DOUBLE", "split_part(symbol, '|', 4)::DOUBLE", "split_part(symbol, '|', 5)::DOUBLE", "split_part(s.symbol, '|', 6)::BOOLEAN", '1').split('rk_t AS MATERIALIZED')[0].rstrip().rstrip(',')},
 st AS MATERIALIZED (SELECT symbol AS k, pos, t_side * (t_exit - t_entry) * round(split_part(symbol, '|', 7)::DOUBLE * 0.1::DOUBLE, 3) / 100 AS profit FROM rk WHERE reason IS NOT NULL),
 {SWEEP_SQL[SWEEP_SQL.index("bc AS (SELECT *, 5000"):]}
-SELECT b0.symbol, rp.id AS param_id, total_trades, {_RES_SQL.split("total_trades, ", 1)[1].replace(", 4)", ", 7)")}, CASE WHEN total_trades IS NULL THEN 'no_trades' ELSE 'success' END AS status
+SELECT b0.symbol, rp.id AS param_id, total_trades, {_RES_SQL.split("total_trades, ", 1)[1].replace("final_balance, 4)", "final_balance, 7)").replace(", 4)", ", 9)")}, CASE WHEN total_trades IS NULL THEN 'no_trades' ELSE 'success' END AS status
 FROM (SELECT DISTINCT symbol FROM b) b0 CROSS JOIN rp LEFT JOIN rs ON rs.symbol = b0.symbol AND rs.param_id = rp.id"""
 register("sweep_risk_settings", _risk_sweep, _RISK_SQL)
 
