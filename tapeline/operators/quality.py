@@ -153,13 +153,14 @@ def content_hash(df: DataFrame, metadata: str = "") -> DataFrame:
     return branches.agg(F.sha2(F.concat_ws("|", F.lit(",".join(names)), F.lit(metadata), whole), 256).alias("content_hash"))
 
 
-def order_violations(df: DataFrame, seq: str = "seq", rows: int = 4096, keys: Sequence[str] = ("symbol",)) -> DataFrame:
+def order_violations(df: DataFrame, seq: str = "seq", rows: int = 4096, keys: Sequence[str] = ("symbol",), lead: Sequence[str] = ()) -> DataFrame:
     """Rows whose timestamp does not exceed that of the row before them in file order.
 
-    ``seq`` is the file order. Rows are compared inside ranges of ``seq``; each range also knows the last row before it.
+    ``seq`` is the order inside a block of a file, and the columns ``lead`` (file, start of the block) order the blocks. Rows are
+    compared inside ranges of ``seq``; each range also knows the last row before it.
     """
     keys = list(keys)
-    ranged = df.withColumn("_range", F.floor(F.col(seq) / rows))
+    ranged = df.withColumn("_range", F.struct(*lead, F.floor(F.col(seq) / rows).alias("_step")))
     inside = Window.partitionBy(*keys, "_range").orderBy(seq)
     tops = ranged.groupBy(*keys, "_range").agg(F.max_by("ts", seq).alias("_last"))
     over = Window.partitionBy(*keys).orderBy("_range")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,22 +21,17 @@ def scratch(spark: SparkSession) -> str:
     return f"{spark.sparkContext.getCheckpointDir()}/exports/{uuid.uuid4().hex}"
 
 
-def _symbols(rows: DataFrame) -> list[str]:
-    """One file per symbol is how the readers take them; symbols are few by nature."""
-    return sorted(r.symbol for r in rows.select("symbol").distinct().collect())
-
-
 def _through_files(rows: DataFrame, out: DataFrame, read, sep: str = ",") -> DataFrame:
-    """Write ``out`` (with symbol) as one CSV file per symbol, in order of time, and read all of them."""
-    folder, parts = scratch(rows.sparkSession), []
-    for i, symbol in enumerate(_symbols(rows)):
-        mine = out.filter(F.col("symbol") == symbol).drop("symbol").coalesce(1).sortWithinPartitions("_at").drop("_at")
-        mine.write.option("header", True).option("sep", sep).option("emptyValue", "").csv(f"{folder}/{i}")
-        parts.append(read(f"{folder}/{i}", symbol))
-    whole = parts[0]
-    for part in parts[1:]:
-        whole = whole.unionByName(part)
-    return whole
+    """Write ``out`` (with symbol) as a folder of CSV files per symbol, in order of time from file to file, and read every folder.
+
+    One job writes all symbols in ranges of time, so a symbol with most of the rows has many files.
+    """
+    folder = scratch(rows.sparkSession)
+    symbols = sorted(r.symbol for r in rows.select("symbol").distinct().collect())  # few by nature: the readers take one at a time
+    ranged = out.repartitionByRange("symbol", "_at").withColumn("_part", F.array_position(F.array(*map(F.lit, symbols)), F.col("symbol")))
+    lines = ranged.sortWithinPartitions("_part", "_at").drop("symbol", "_at")
+    lines.write.partitionBy("_part").option("header", True).option("sep", sep).option("emptyValue", "").csv(folder)
+    return reduce(DataFrame.unionByName, [read(f"{folder}/_part={i}", symbol) for i, symbol in enumerate(symbols, 1)])
 
 
 def _clock(pattern: str):

@@ -15,6 +15,14 @@ def _csv(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
     return spark.read.csv(path, header=True, sep=sep, inferSchema=False, encoding="UTF-8", ignoreLeadingWhiteSpace=True)
 
 
+_PLACE = ("_file", "_block", "_seq")  # order of lines: by file, by block of it, by row; a block is read in order by one task
+
+
+def _placed(df: DataFrame) -> DataFrame:
+    """The rows of a file source with their place, which does not depend on how files are dealt to tasks."""
+    return df.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_seq"))
+
+
 def _plain(name: str) -> str:
     return name.replace("﻿", "").strip().strip("<>").lower()
 
@@ -102,15 +110,13 @@ def read_dataset_csv(spark: SparkSession, path: str, symbol: str, expected_rows:
 
     Prices, volumes, order of time and the expected row count are checked.
     """
-    raw = _csv(spark, path)
-    named = raw.toDF(*[_plain(c) for c in raw.columns])
-    numbered = named.withColumns({"symbol": F.lit(symbol), "_seq": F.monotonically_increasing_id()})
+    raw = _placed(_csv(spark, path))
+    numbered = raw.toDF(*[_plain(c) for c in raw.columns]).withColumn("symbol", F.lit(symbol))
     bars = _timed(canonicalize(_numbers(numbered, ("open", "high", "low", "close", "volume"))))
     bars = dedupe(require_valid(bars, check_volume="volume" in bars.columns), "reject")
-    # file order: rows are numbered by split and place, so the ranges that are compared follow the file
-    if not order_violations(bars, "_seq").isEmpty():
+    if not order_violations(bars, "_seq", lead=_PLACE[:2]).isEmpty():
         raise ValueError("times do not increase")
-    bars = bars.drop("_seq")
+    bars = bars.drop(*_PLACE)
     if expected_rows is not None:
         found = bars.count()
         if found != expected_rows:
@@ -122,7 +128,8 @@ def load_dataset(
     spark: SparkSession, path: str, symbol: str, timeframe: str, policy: str = "reject", version: str = "1", source: str | None = None
 ) -> tuple[DataFrame, DataFrame]:
     """Prepared bars and their one-row-per-symbol summary with the content hash."""
-    raw = _csv(spark, path).withColumn("_seq", F.monotonically_increasing_id())
+    raw = _placed(_csv(spark, path))
+    raw = raw.withColumn("_seq", F.struct(*_PLACE)).drop(*_PLACE[:2])
     named = raw.toDF(*[_plain(c) for c in raw.columns])
     bars = canonicalize(_numbers(named, ("open", "high", "low", "close", "volume", "tick_volume")).withColumn("symbol", F.lit(symbol)))
     bars = require_valid(_timed(bars))
