@@ -225,3 +225,26 @@ def test_structure_levels_enclose_the_close(spark, bars):
     levels = structure.structure_levels(bars, MINUTE).join(bars, ["symbol", "ts"])
     outside = levels.filter("high > structure_high OR low < structure_low OR abs(equilibrium - (structure_high + structure_low) / 2) > 1e-9")
     assert levels.count() == bars.count() and outside.count() == 0
+
+
+def test_ladder_of_a_flat_day_and_closes_on_rungs(spark):
+    """A larger bar after a flat one has one rung; a close that lies on a rung is neither above nor below it."""
+    from tapeline.operators.oscillators import range_ladder
+
+    rng = random.Random(3)
+    days = [[(100, 100, 100, 100)] * 3, [(100, 103, 99, 101), (101, 104, 100, 100.5)]]
+    for _ in range(60):
+        low = round(rng.uniform(1, 50), 2)
+        days.append([(low + 0.1, low + 0.8 * rng.randrange(1, 4), low, low + 0.1)] + [(low + 0.1 * k, low + 0.1 * k, low + 0.1 * k, low + 0.1 * k) for k in range(1, 9)])
+    rows = [("S", T0 + timedelta(days=i, hours=j), *map(float, r), 1.0) for i, day in enumerate(days) for j, r in enumerate(day)]
+    got = {r.ts: (r.above, r.below) for r in range_ladder(spark.createDataFrame(rows, SHAPE), 3600, "1d").collect()}
+    want, leg = {}, None
+    for i, day in enumerate(days):
+        high, low = max(r[1] for r in day), min(r[2] for r in day)
+        if leg is not None:
+            down = day[0][0] > day[-1][3]
+            rungs = [(high if down else low) + (-leg if down else leg) * k for k in range(51)]
+            for j, r in enumerate(day):
+                want[T0 + timedelta(days=i, hours=j)] = (min((x for x in rungs if x > r[3]), default=None), max((x for x in rungs if x < r[3]), default=None))
+        leg = (high - low) / 8
+    assert got == want
