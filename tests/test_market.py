@@ -248,3 +248,10 @@ def test_ladder_of_a_flat_day_and_closes_on_rungs(spark):
                 want[T0 + timedelta(days=i, hours=j)] = (min((x for x in rungs if x > r[3]), default=None), max((x for x in rungs if x < r[3]), default=None))
         leg = (high - low) / 8
     assert got == want
+
+
+def test_lots_round_halves_away_from_zero():
+    """A balance of 3,750 asks for 0.015 lots, one of 11,250 for 0.045; both doubles lie below the half."""
+    step = trades.balance_step(2.0, 5000.0, 0.1, 1.0)
+    lots = [step([balance], (0.0, 50000.0, 0.1, 1.0))[1][0] for balance in (3750.0, 6250.0, 8750.0, 11250.0, 100.0)]
+    assert lots == [0.02, 0.03, 0.04, 0.05, 0.01]
