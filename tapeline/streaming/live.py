@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import json
+import math
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,6 +36,10 @@ def live_bars(ticks: DataFrame, timeframe: str | int, delay: str = "10 minutes",
     )
 
 
+def _microseconds(ts: pd.Series) -> np.ndarray:
+    return ts.to_numpy().astype("datetime64[us]").astype(np.int64)
+
+
 # -- indicator state --------------------------------------------------------------------------------------------
 
 _STATE = StructType([StructField("values", StringType())])
@@ -151,36 +157,38 @@ def live_fills(orders: DataFrame, ticks: DataFrame, slippage: float = 0.0, bucke
 def live_alerts(log: DataFrame, cooldown: float = 300.0, delay: str = "1 hour") -> DataFrame:
     """Alert rows, at most one per level, event and message within ``cooldown`` seconds of event time.
 
-    ``log``: ts (TIMESTAMP), level, event, message. Rows of one second are thinned to one before the shuffle, which
-    bounds what a frequent message brings into a task (equal times only if the cooldown is below a second); a state is forgotten when the watermark passes its cooldown.
+    ``log``: ts (TIMESTAMP), level, event, message. Only rows of equal time are thinned before the shuffle: any other row may
+    be the first one after a cooldown. Of a message's rows in a micro-batch a task holds the times alone, eight bytes each. A
+    state is forgotten when the watermark passes its cooldown.
     """
     keys = ["level", "event", "message"]
     shape = StructType([StructField(k, StringType()) for k in keys] + [StructField("ts", TimestampType())])
     store = StructType([StructField("sent", LongType())])
-    grain = "s" if cooldown >= 1 else "us"  # a shorter cooldown than the grain would lose alerts
+    wait = math.ceil(cooldown * 1_000_000)
 
     def thin(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            second = pdf["ts"].dt.floor(grain)
-            yield pdf.assign(_s=second).sort_values("ts").drop_duplicates([*keys, "_s"]).drop(columns="_s")
+            yield pdf.drop_duplicates([*keys, "ts"])
 
     def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
+        times = np.sort(np.concatenate([_microseconds(pdf["ts"]) for pdf in batches]))
         sent = state.get[0] if state.exists else None
+        at = 0 if sent is None else int(np.searchsorted(times, sent + wait))
         out = []
-        for ts in sorted(t for pdf in batches for t in pdf["ts"]):
-            now = int(ts.value // 1000)
-            if sent is None or now - sent >= cooldown * 1_000_000:
-                sent = now
-                out.append((*key, ts))
+        while at < len(times):
+            sent = int(times[at])
+            out.append(sent)
+            at = max(at + 1, int(np.searchsorted(times, sent + wait)))
         state.update((sent,))
         # never set a timeout before the current watermark
         due = sent // 1000 + int(cooldown * 1000)
         if due > state.getCurrentWatermarkMs():
             state.setTimeoutTimestamp(due)
-        yield pd.DataFrame(out, columns=[*keys, "ts"])
+        alerts = pd.DataFrame({"ts": pd.to_datetime(np.array(out, np.int64), unit="us")})
+        yield alerts.assign(**dict(zip(keys, key)))[[*keys, "ts"]]
 
     rows = alert_rows(log).select(*[F.coalesce(k, F.lit("")).alias(k) for k in keys], "ts").withWatermark("ts", delay)
     thinned = rows.mapInPandas(thin, rows.schema)
