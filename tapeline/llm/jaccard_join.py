@@ -136,18 +136,36 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
-def _documents(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """doc_id, row, n_shingles, node (null for empty sets) and signatures of every row."""
-    shape = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.int64()), ("sigs", pa.list_(pa.int64()))])
+def _documents(docs: DataFrame, words: int) -> DataFrame:
+    """doc_id, row, n_shingles and node (null for empty sets) of every row."""
+    shape = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.int64())])
 
     def run(source):
         shingler = Shingler(words)
         for batch in batches(source, 256):
             sets = [shingler.shingles(t) for t in texts(batch)]
-            nodes = [node_of(s) if len(s) else None for s in sets]
-            yield rows_of(shape, [batch.column("doc_id"), batch.column("row"), [len(s) for s in sets], nodes, [signatures(s, percent) for s in sets]])
+            yield rows_of(shape, [batch.column("doc_id"), batch.column("row"), [len(s) for s in sets], [node_of(s) if len(s) else None for s in sets]])
 
-    return docs.mapInArrow(run, "doc_id long, row long, n_shingles long, node long, sigs array<long>")
+    return docs.mapInArrow(run, "doc_id long, row long, n_shingles long, node long")
+
+
+def _signed(docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """sig and node of every set, once for the equal sets of a task."""
+    shape = pa.schema([("sig", pa.int64()), ("node", pa.int64())])
+
+    def run(source):
+        shingler, seen = Shingler(words), set()
+        for batch in batches(source, 256):
+            nodes, sigs = [], [np.zeros(0, np.int64)]
+            for shingles in map(shingler.shingles, texts(batch)):
+                if len(shingles) and (node := node_of(shingles)) not in seen:
+                    seen.add(node)
+                    signed = signatures(shingles, percent)
+                    sigs.append(signed)
+                    nodes.append(np.full(len(signed), node, np.int64))
+            yield rows_of(shape, [np.concatenate(sigs), np.concatenate(nodes or sigs)])
+
+    return docs.mapInArrow(run, "sig long, node long")
 
 
 def _texts_of(docs: DataFrame, members: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
@@ -300,8 +318,9 @@ def _row_key() -> Column:
 def _labelled(docs: DataFrame, words: int, percent: int) -> DataFrame:
     """doc_id, row, n_shingles, component (null for empty sets) and component_id."""
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _row_key().alias("row"), text_column().alias("text"))
-    told = materialize(_documents(slim, words, percent))
-    members, sigs = told.drop("sigs"), told.select(F.explode("sigs").alias("sig"), "node")
+    members = materialize(_documents(slim, words))
+    # signatures are not kept but taken from the texts again, and dealt once for the buckets and for the rows in them
+    sigs = _signed(slim, words, percent).repartition("sig")
     # equal documents have the same node and signatures, so a bucket matters if two of its nodes differ
     buckets = sigs.groupBy("sig").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter(F.col("low") != F.col("high"))
     inside = materialize(sigs.join(buckets.select("sig"), "sig").distinct())
