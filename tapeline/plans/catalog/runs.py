@@ -174,10 +174,23 @@ register(
 )
 
 
-def _stream_fills(s, d):
-    ticks = _zoned(_stream(s, quoted_ticks(s, d)))
+def _stream_fills(s, d, rows=2_000_000):
+    """Ticks and orders arrive in slices of time, so what a micro-batch holds does not grow with the tables."""
+    ticks = quoted_ticks(s, d)
     orders = example_orders(s, d).withColumn("seq", F.substring("trade_id", 2, 20).cast("long"))
-    out = live.drain(live.live_fills(_zoned(_stream(s, orders)), ticks, slippage=0.02))
+    bounds = live.time_slices(ticks, rows=rows)
+    feeds = [df.withColumn("_slice", live.slice_of(bounds)) for df in (ticks, orders)]
+    if bounds:
+        feeds = [materialize(feed.repartitionByRange("_slice", "ts")) for feed in feeds]
+    base = scratch(s)
+    streams = []
+    for i in range(len(bounds) + 1):
+        for name, feed in zip(("ticks", "orders"), feeds):
+            part = feed.filter(F.col("_slice") == i).drop("_slice")
+            part.write.mode("append").parquet(f"{base}/{name}")
+            if not i:
+                streams.append(_zoned(s.readStream.schema(part.schema).parquet(f"{base}/{name}")))
+        out = live.drain(live.live_fills(streams[1], streams[0], slippage=0.02), f"{base}/fills", f"{base}/checkpoint")
     return _plain_ts(out, "exit_ts").select("trade_id", "symbol", "exit_reason", "exit_ts", F.round("exit_price", 6).alias("exit_price"))
 
 

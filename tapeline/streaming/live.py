@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import heapq
 import json
 import math
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType, TimestampType
@@ -101,12 +102,53 @@ def live_supertrend(bars: DataFrame, n: int = 10, mult: float = 3.0) -> DataFram
 # -- order fills ------------------------------------------------------------------------------------------------
 
 
+_LATEST = np.iinfo(np.int64).max  # rows without a time come last
+_OUT_ROWS = 10_000
+
+
+def _known(times: np.ndarray) -> np.ndarray:
+    return np.where(times == np.iinfo(np.int64).min, _LATEST, times)
+
+
+def _first_exits(orders: list[list], starts: np.ndarray, mids: np.ndarray, rows: int = 10_000) -> tuple[list[int], list[int], list[str]]:
+    """Order, tick and reason of every exit; ``orders``: name, sign, goal and stop times sign.
+
+    Open levels lie in two heaps, so a tick looks only at the levels it reaches.
+    """
+    over: list[tuple[float, int]] = []
+    under: list[tuple[float, int]] = []
+    done = np.zeros(len(orders), bool)
+    ended, at, reasons = [], [], []
+    entering = np.argsort(starts, kind="stable")
+    due, n = starts[entering].tolist() + [len(mids)], 0
+    for low in range(0, len(mids), rows):
+        for tick, mid in enumerate(mids[low : low + rows].tolist(), low):
+            while due[n] <= tick and n < len(orders):
+                i = int(entering[n])
+                _, sign, goal, stop = orders[i]
+                for level, up in ((goal, sign > 0), (stop, sign < 0)):
+                    if level is not None:
+                        heapq.heappush(over if up else under, (level * sign if up else -level * sign, i))
+                n += 1
+            for heap, reach in ((over, mid), (under, -mid)):
+                while heap and heap[0][0] <= reach:
+                    i = heapq.heappop(heap)[1]
+                    if not done[i]:
+                        done[i] = True
+                        _, sign, goal, _ = orders[i]
+                        ended.append(i)
+                        at.append(tick)
+                        reasons.append("TP" if goal is not None and mid * sign >= goal else "SL")
+    return ended, at, reasons
+
+
 def live_fills(orders: DataFrame, ticks: DataFrame, slippage: float = 0.0, buckets: int = 8) -> DataFrame:
     """Exits of open orders as ticks arrive; open orders are the state.
 
     Orders of a symbol are spread over ``buckets`` states and every tick visits each of them, so that a busy symbol
     is not one task. ``orders``: trade_id, symbol, ts, seq, side, price, sl, tp; ``ticks``: symbol, ts, seq, bid, ask.
-    An order is live after its own time stamp.
+    An order is live after its own time stamp. Of a micro-batch's ticks a task holds times, numbers and prices, 32 bytes a
+    tick; how many that are is set by how the streams are fed, in order of time (``time_slices``).
     """
     none = F.lit(None)
     left = orders.select(
@@ -123,29 +165,39 @@ def live_fills(orders: DataFrame, ticks: DataFrame, slippage: float = 0.0, bucke
     )
 
     def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        live = json.loads(state.get[0]) if state.exists else []
-        pdf = pd.concat(list(batches)).sort_values(["ts", "kind", "seq"])
-        out = []
-        for ts, kind, trade_id, side, sl, tp, bid, ask in zip(
-            *[pdf[c].tolist() for c in ("ts", "kind", "trade_id", "side", "sl", "tp", "bid", "ask")]
-        ):
-            if kind == 1:
+        orders = json.loads(state.get[0]) if state.exists else []
+        first, parts, asked = len(orders), [], []
+        for pdf in batches:
+            is_tick = pdf["kind"].to_numpy() == 0
+            times = _known(_microseconds(pdf["ts"]))
+            seqs = pdf["seq"].fillna(_LATEST).to_numpy(np.int64)
+            parts.append((times[is_tick], seqs[is_tick], *(pdf[c].to_numpy(float)[is_tick] for c in ("bid", "ask"))))
+            new = pdf[~is_tick]
+            for trade_id, side, sl, tp in zip(*[new[c].tolist() for c in ("trade_id", "side", "sl", "tp")]):
                 sign = 1.0 if side == "buy" else -1.0
-                live.append([trade_id, sign, None if not tp or tp != tp else tp * sign, None if not sl or sl != sl else sl * sign])
-                continue
-            mid = bid if ask is None or ask != ask else (bid + ask) / 2
-            kept = []
-            for order in live:
-                name, sign, goal, stop = order
-                reason = "TP" if goal is not None and mid * sign >= goal else "SL" if stop is not None and mid * sign <= stop else None
-                if reason is None:
-                    kept.append(order)
-                else:
-                    price = bid - abs(slippage) if sign > 0 else (bid if ask is None or ask != ask else ask) + abs(slippage)
-                    out.append((name, key[0], reason, ts, price))
-            live = kept
-        state.update((json.dumps(live),))
-        yield pd.DataFrame(out, columns=["trade_id", "symbol", "exit_reason", "exit_ts", "exit_price"])
+                orders.append([trade_id, sign, None if not tp or tp != tp else tp * sign, None if not sl or sl != sl else sl * sign])
+            asked.append((times[~is_tick], seqs[~is_tick]))
+        times, seqs, bid, ask = (np.concatenate(c) for c in zip(*parts))
+        order = np.lexsort((seqs, times))
+        times, bid, ask = times[order], bid[order], ask[order]
+        del parts, seqs, order
+        # an order is live from the first tick after its time; those of earlier batches from the first tick on
+        starts = np.concatenate([np.zeros(first, np.int64), np.searchsorted(times, np.concatenate([t for t, _ in asked]), "right")])
+        ended, at, reason = _first_exits(orders, starts, np.where(np.isnan(ask), bid, (bid + ask) / 2))
+        gone = set(ended)
+        state.update((json.dumps([o for i, o in enumerate(orders) if i not in gone]),))
+        for k in range(0, max(len(ended), 1), _OUT_ROWS):
+            which, tick = ended[k : k + _OUT_ROWS], np.array(at[k : k + _OUT_ROWS], np.int64)
+            long = np.array([orders[i][1] > 0 for i in which], bool)
+            asks = np.where(np.isnan(ask[tick]), bid[tick], ask[tick])
+            exit_ts = pd.Series(times[tick]).where(times[tick] != _LATEST)
+            yield pd.DataFrame(
+                {
+                    "trade_id": [orders[i][0] for i in which], "symbol": key[0], "exit_reason": reason[k : k + _OUT_ROWS],
+                    "exit_ts": pd.to_datetime(exit_ts.astype("Int64"), unit="us"),
+                    "exit_price": np.where(long, bid[tick] - abs(slippage), asks + abs(slippage)),
+                }
+            )
 
     both = left.unionByName(right)
     return both.groupBy("symbol", "bucket").applyInPandasWithState(update, shape, _STATE, "append", GroupStateTimeout.NoTimeout)
@@ -228,6 +280,24 @@ def strict_order(write: Callable[[DataFrame, int], None]) -> Callable[[DataFrame
     return check
 
 
+def time_slices(df: DataFrame, ts: str = "ts", rows: int = 2_000_000) -> list:
+    """Times that cut a table into slices of about ``rows`` rows; rows of one time are not split."""
+    at = F.unix_micros(F.col(ts).cast("timestamp"))
+    n = -(-df.count() // rows)
+    if n < 2:
+        return []
+    return sorted(set(df.agg(F.percentile_approx(at, [i / n for i in range(1, n)], 100 * n)).first()[0] or []))
+
+
+def slice_of(bounds: Sequence[int], ts: str = "ts") -> Column:
+    """Number of the slice of a row: the bounds at or before its time; rows without a time are in the last slice."""
+    at = F.unix_micros(F.col(ts).cast("timestamp"))
+    if not bounds:
+        return F.lit(0)
+    passed = F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b <= at))
+    return F.when(at.isNull(), len(bounds)).otherwise(passed)
+
+
 def drain(stream: DataFrame, folder: str | None = None, checkpoint: str | None = None) -> DataFrame:
     """Process everything that is available into a parquet table and return it; a checkpoint allows going on later."""
     spark: SparkSession = stream.sparkSession

@@ -35,3 +35,43 @@ def test_alerts_with_many_rows_in_a_second(spark, cooldown):
                 sent = ts
                 want.append((event, ts))
     assert sorted((r.event, r.ts) for r in got.collect()) == sorted(want)
+
+
+@pytest.mark.parametrize("rows", [90, 1000])
+def test_fills_in_slices_of_time(spark, tmp_path, rows):
+    """Slices are bounded, and open orders pass from one to the next; levels may be missing, zero or reached both at once."""
+    rng = random.Random(7)
+    ticks, orders = [], []
+    for i in range(400):
+        at, price = T0 + timedelta(seconds=rng.randrange(300)), 100 + rng.gauss(0, 3)
+        ticks.append((rng.choice("ab"), at, i, price, rng.choice([None, price + 0.5])))
+    for i in range(120):
+        side = rng.choice(["buy", "sell"])
+        levels = [rng.choice([None, 0.0, 100 + rng.gauss(0, 5)]) for _ in range(2)]
+        orders.append((f"o{i}", rng.choice("ab"), T0 + timedelta(seconds=rng.randrange(300)), i, side, 100.0, *levels))
+    feeds = {
+        "ticks": spark.createDataFrame(ticks, "symbol string, ts timestamp_ntz, seq long, bid double, ask double"),
+        "orders": spark.createDataFrame(orders, "trade_id string, symbol string, ts timestamp_ntz, seq long, side string, price double, sl double, tp double"),
+    }
+    bounds = live.time_slices(feeds["ticks"], rows=rows)
+    sizes = [r["count"] for r in feeds["ticks"].groupBy(live.slice_of(bounds).alias("s")).count().collect()]
+    assert len(sizes) == len(bounds) + 1 and max(sizes) <= 1.2 * rows
+    base, got = str(tmp_path), None
+    for i in range(len(bounds) + 1):
+        streams = {}
+        for name, feed in feeds.items():
+            feed.filter(live.slice_of(bounds) == i).write.mode("append").parquet(f"{base}/{name}")
+            streams[name] = spark.readStream.schema(feed.schema).parquet(f"{base}/{name}").withColumn("ts", F.col("ts").cast("timestamp"))
+        got = live.drain(live.live_fills(streams["orders"], streams["ticks"], 0.25, buckets=3), f"{base}/out", f"{base}/checkpoint")
+    got = got.withColumn("exit_ts", F.col("exit_ts").cast("timestamp_ntz"))
+    want = []
+    for name, symbol, placed, _, side, _, sl, tp in orders:
+        sign = 1 if side == "buy" else -1
+        for s, at, _, bid, ask in sorted(ticks, key=lambda t: (t[1], t[2])):
+            mid = bid if ask is None else (bid + ask) / 2
+            reason = "TP" if tp and sign * mid >= sign * tp else "SL" if sl and sign * mid <= sign * sl else None
+            if s == symbol and at > placed and reason:
+                want.append((name, symbol, reason, at, bid - 0.25 if sign > 0 else (bid if ask is None else ask) + 0.25))
+                break
+    assert sorted(tuple(r) for r in got.select("trade_id", "symbol", "exit_reason", "exit_ts", "exit_price").collect()) == sorted(want)
+    assert len(want) > 40
