@@ -74,3 +74,17 @@ def test_files_hold_every_document(spark, docs_of):
 
 def test_no_documents(spark, docs_of):
     assert read_token_files(write_token_files(docs_of([]), tokenizer_path("word_bpe_49k.json"))).count() == 0
+
+
+def test_words_of_letters_are_learned_without_the_splitter(monkeypatch):
+    path = tokenizer_path("word_bpe_49k.json")
+    cache, plain = TokenCache(path, False), Tokenizer.from_file(path)
+    text = "Plain words of LETTERS only s t re dont"
+    want = plain.encode(text, add_special_tokens=False).ids
+    monkeypatch.setattr("tapeline.llm.common._PARTS", {False: Unused()})
+    assert cache.encode([text])[0].tolist() == want
+
+
+class Unused:
+    def findall(self, text):
+        raise AssertionError(f"{text!r} went through the splitter")
