@@ -8,12 +8,16 @@ The join works on groups of similar documents and a token-group matrix.
    some parts more, one that is not empty. Sets of similar size deal alike, so linked sets share a signature: no link is lost.
 3. In every signature bucket the members are compared with one hub (the member that shares most), which is linear in the
    bucket. Linked members form components; most buckets then lie inside one component and are done.
-4. The documents of all other buckets are partitioned into groups of similar ones: those that share such buckets, of about
-   the same size, at most about ``GROUP`` in a group. A group keeps the union of its shingles and, as a token-group matrix,
-   which members have each. A document can link with a member only if at least 0.9 of its shingles are in the union; groups
+4. In all other buckets the sketches of the members are compared. A sketch counts a set's shingles in cells dealt by hash; two
+   sketches never differ by more than the sets do, so pairs that differ too much have no link, and sets that have only a
+   passage in common part here without their texts. Hubs are compared by sketch first, too.
+5. What may still link is partitioned into groups of similar documents: those that such pairs connect, of about the same
+   size, at most about ``GROUP`` in a group. A group keeps the union of its shingles and, as a token-group matrix, which
+   members have each. A document can link with a member only if at least 0.9 of its shingles are in the union; groups
    below that bound stay closed. In an opened group the matrix gives the overlap with every member at once.
 
-Sets are taken from whole texts each time they are needed; what is shuffled are hashes and, for compared documents, texts.
+Sets are taken from whole texts each time they are needed; what is shuffled are hashes, sketches and, for documents that may
+link, texts.
 """
 
 from __future__ import annotations
@@ -33,6 +37,7 @@ from tapeline.llm.components import components
 WORDS = 3
 PERCENT = 90
 GROUP = 256  # documents in a group
+CELLS = 16  # the fewest cells of a sketch
 _MIX = [np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9), np.uint64(0x27D4EB2F165667C5), np.uint64(0x85EBCA77C2B2AE63)]
 
 
@@ -136,17 +141,35 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
+def sketch(shingles: np.ndarray) -> bytes:
+    """How many shingles fall into each cell, at most 255: two to four a cell, a power of two of cells."""
+    cells = max(CELLS, 1 << (max(len(shingles) - 1, 0) // 4).bit_length())
+    counts = np.bincount((shingles & np.uint64(cells - 1)).astype(np.int64), minlength=cells)
+    return np.minimum(counts, 255).astype(np.uint8).tobytes()
+
+
+def folded(sketches: list[bytes]) -> np.ndarray:
+    """Sketches as rows with the number of cells of the shortest."""
+    cells = min(map(len, sketches))
+    return np.stack([np.frombuffer(s, np.uint8).reshape(-1, cells).sum(axis=0, dtype=np.int32) for s in sketches])
+
+
+def may_link(one: np.ndarray, size: int, others: np.ndarray, sizes: np.ndarray, percent: int) -> np.ndarray:
+    """Which sets may link with one: sketches differ by no more than the sets, and linked sets differ in a bounded share."""
+    return (100 + percent) * np.abs(others - one).sum(axis=1) <= (100 - percent) * (size + sizes)
+
+
 def _documents(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, row, n_shingles and node (null for empty sets) of every row."""
-    shape = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.int64())])
+    """doc_id, row, n_shingles, node (null for empty sets) and sketch of every row."""
+    shape = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.int64()), ("sketch", pa.binary())])
 
     def run(source):
         shingler = Shingler(words)
         for batch in batches(source, 256):
             sets = [shingler.shingles(t) for t in texts(batch)]
-            yield rows_of(shape, [batch.column("doc_id"), batch.column("row"), [len(s) for s in sets], [node_of(s) if len(s) else None for s in sets]])
+            yield rows_of(shape, [batch.column("doc_id"), batch.column("row"), [len(s) for s in sets], [node_of(s) if len(s) else None for s in sets], [sketch(s) if len(s) else None for s in sets]])
 
-    return docs.mapInArrow(run, "doc_id long, row long, n_shingles long, node long")
+    return docs.mapInArrow(run, "doc_id long, row long, n_shingles long, node long, sketch binary")
 
 
 def _signed(docs: DataFrame, words: int, percent: int) -> DataFrame:
@@ -171,7 +194,7 @@ def _signed(docs: DataFrame, words: int, percent: int) -> DataFrame:
 def _texts_of(docs: DataFrame, members: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
     """node and text of one document per node of ``nodes``; written once."""
     shape = pa.schema([("node", pa.int64()), ("text", pa.string())])
-    one = members.join(nodes.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("row").alias("row"))
+    one = materialize(members.join(nodes.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("row").alias("row")))
 
     def run(source):
         shingler = Shingler(words)
@@ -185,6 +208,83 @@ def _texts_of(docs: DataFrame, members: DataFrame, nodes: DataFrame, words: int)
     return materialize(found).dropDuplicates(["node"])
 
 
+def _near(pairs: DataFrame, shapes: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of nodes that may link by their sketches."""
+    shape = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def run(source):
+        for batch in batches(source, 2048):
+            rows: list[list] = [[], []]
+            for a, b, m, n, left, right in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "m", "n", "left", "right"))):
+                one, other = folded([left, right])
+                if may_link(one, m, other[None], np.array([n]), percent)[0]:
+                    rows[0].append(a)
+                    rows[1].append(b)
+            yield rows_of(shape, rows)
+
+    both = pairs.join(shapes.toDF("a", "m", "left"), "a").join(shapes.toDF("b", "n", "right"), "b")
+    return both.select("a", "b", "m", "n", "left", "right").mapInArrow(run, "a long, b long")
+
+
+def near_edges(members: list[tuple[int, int, int, int, bytes]], percent: int) -> list[tuple[int, int]]:
+    """Edges that connect whatever is connected by pairs of different components that may link.
+
+    ``members``: side (as in ``open_groups``), node, component, size and sketch.
+    """
+    cells = folded([m[4] for m in members])
+    side, node, component, size = (np.array([m[i] for m in members], np.int64) for i in range(4))
+    group = np.flatnonzero(side > 0)
+    cells_of, size_of, component_of = cells[group], size[group], component[group]
+    root = list(range(len(members)))
+
+    def find(i: int) -> int:
+        while root[i] != i:
+            root[i] = i = root[root[i]]
+        return i
+
+    out = []
+    for i in np.flatnonzero(side != 1).tolist():
+        for j in group[may_link(cells[i], size[i], cells_of, size_of, percent) & (component_of != component[i])].tolist():
+            a, b = find(i), find(j)
+            if a != b:
+                root[a] = b
+                out.append((int(node[i]), int(node[j])))
+    return out
+
+
+def _near_in_buckets(rows: DataFrame, shapes: DataFrame, percent: int) -> DataFrame:
+    """Edges (a, b) that connect the members of buckets that may link; ``rows``: sig, node, component.
+
+    Buckets with the same members are one. A bucket is dealt into groups of about ``GROUP`` members, and each meets the
+    others, so a task holds the sketches of two groups whatever the size of the bucket.
+    """
+    h = F.xxhash64("node")
+    sets = rows.groupBy("sig").agg(F.count("*").alias("size"), F.bit_xor(h).alias("x"), F.bit_xor(F.xxhash64(h, "node")).alias("y"))
+    sets = materialize(sets.groupBy("size", "x", "y").agg(F.min("sig").alias("sig")).select("sig", F.ceil(F.col("size") / GROUP).alias("n")))
+    own = F.pmod(F.xxhash64("node"), F.col("n"))
+    every = F.sequence(F.lit(0).cast("long"), F.col("n") - 1)
+    met = F.transform(every, lambda k: F.struct(F.xxhash64("sig", F.least(own, k), F.greatest(own, k)).alias("unit"), F.when(own == k, 2).when(own < k, 0).otherwise(1).alias("side")))
+    units = rows.join(sets, "sig").select("node", "component", F.explode(met).alias("u")).select("node", "component", "u.*")
+    shown = units.join(shapes, "node").select("unit", "side", "node", "component", "size", "sketch")
+    shape = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def run(source):
+        unit, held = None, []
+        for batch in batches(source, 4096):
+            edges: list[tuple[int, int]] = []
+            for key, *member in zip(*(batch.column(n).to_pylist() for n in ("unit", "side", "node", "component", "size", "sketch"))):
+                if key != unit:
+                    if held:
+                        edges += near_edges(held, percent)
+                    unit, held = key, []
+                held.append(member)
+            yield rows_of(shape, [[a for a, _ in edges], [b for _, b in edges]])
+        edges = near_edges(held, percent) if held else []
+        yield rows_of(shape, [[a for a, _ in edges], [b for _, b in edges]])
+
+    return shown.repartition("unit").sortWithinPartitions("unit").mapInArrow(run, "a long, b long").distinct()
+
+
 def _links(pairs: DataFrame, whole: DataFrame, words: int, percent: int) -> DataFrame:
     """The pairs (a, b) of nodes that link, from the texts of both."""
     shape = pa.schema([("a", pa.int64()), ("b", pa.int64())])
@@ -335,23 +435,28 @@ def _components(slim: DataFrame, members: DataFrame, inside: DataFrame, words: i
     sizes = inside.groupBy("sig").agg(F.count("*").alias("size"))
     weights = inside.join(sizes, "sig").groupBy("node").agg(F.sum("size").alias("weight"))
     hubs = inside.join(weights, "node").groupBy("sig").agg(F.max(F.struct("weight", "node"))["node"].alias("a"))
-    star = inside.join(hubs, "sig").filter(F.col("a") != F.col("node")).select("a", F.col("node").alias("b")).distinct()
-    star = materialize(star)
+    beside = materialize(inside.join(hubs, "sig").filter(F.col("a") != F.col("node")).select("sig", "a", "node"))
+    signed = members.join(inside.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
+    shapes = materialize(signed.select("node", F.col("n_shingles").alias("size"), "sketch"))
+    star = materialize(_near(beside.select("a", F.col("node").alias("b")).distinct(), shapes, percent))
     whole = _texts_of(slim, members, star.select(F.col("a").alias("node")).unionByName(star.select(F.col("b").alias("node"))), words)
     links = materialize(_links(star, whole, words, percent))
     first = components(links)
-    # buckets with members of several components: those may hold further links
-    marked = inside.join(first, "node", "left").select("sig", "node", F.coalesce("component", "node").alias("component"))
+    # hubs are settled; buckets whose other members are of several components may hold further links
+    marked = beside.join(first, "node", "left").select("sig", "node", F.coalesce("component", "node").alias("component"))
     mixed_buckets = lambda rows: rows.join(
         rows.groupBy("sig").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter(F.col("low") != F.col("high")).select("sig"), "sig"
     )
     open_ = materialize(mixed_buckets(marked))
     if open_.isEmpty():
         return first
-    near = open_.join(open_.groupBy("sig").agg(F.min("node").alias("b")), "sig").select(F.col("node").alias("a"), "b").distinct()
+    near = materialize(_near_in_buckets(open_, shapes, percent))
+    if near.isEmpty():
+        return first
     blobs = components(near).select("node", F.col("component").alias("blob"))
-    sizes = members.filter(F.col("node").isNotNull()).groupBy("node").agg(F.first("n_shingles").alias("size"))
-    rows = materialize(open_.select("node", "component").distinct().join(blobs, "node").join(sizes, "node"))
+    named = blobs.join(first, "node", "left").select("node", F.coalesce("component", "node").alias("component"), "blob")
+    rows = materialize(named.join(shapes.select("node", "size"), "node"))
+    whole = _texts_of(slim, members, rows, words)
     more = materialize(_group_links(rows, whole, words, percent))
     if more.isEmpty():
         return first

@@ -145,3 +145,58 @@ def test_near_copies_without_id(spark, docs_of):
     want = sorted(((d, i // 4 if (i // 4) % 5 else None) for i, (d, _) in enumerate(rows)), key=str)
     assert got == want
     assert sorted((r["doc_id"] for r in representatives(table).collect()), key=str) == sorted((i if i % 5 else None for i in range(25)), key=str)
+
+
+def test_sketches_differ_no_more_than_sets():
+    rng = np.random.default_rng(4)
+    linked_pairs = 0
+    for _ in range(1500):
+        n = int(rng.integers(1, 900))
+        base = rng.integers(0, 2**63, n).astype(np.uint64)
+        gone, new = (int(rng.integers(0, n // share + 2)) for share in rng.choice([2, 9], 2))
+        a, b = np.unique(base), np.unique(np.concatenate([base[gone:], rng.integers(0, 2**63, new).astype(np.uint64)]))
+        one, other = jaccard_join.folded([jaccard_join.sketch(a), jaccard_join.sketch(b)])
+        assert np.abs(one - other).sum() <= len(np.setxor1d(a, b))
+        if linked(a, b, 80):
+            linked_pairs += 1
+            assert jaccard_join.may_link(one, len(a), other[None], np.array([len(b)]), 80)[0]
+    assert linked_pairs > 300
+
+
+def test_texts_with_a_common_passage_are_not_compared_by_text(spark, docs_of, monkeypatch):
+    """Unrelated texts around one passage share signatures; their sketches keep their texts from being fetched."""
+    rng = random.Random(6)
+    words = [f"w{i}" for i in range(5000)]
+    passage = rng.choices(words, k=40)
+    texts = [" ".join(rng.choices(words, k=80) + passage + rng.choices(words, k=80)) for _ in range(200)]
+    asked = []
+    texts_of = jaccard_join._texts_of
+
+    def counted(docs, members, nodes, words):
+        asked.append(nodes.select("node").distinct().count())
+        return texts_of(docs, members, nodes, words)
+
+    monkeypatch.setattr(jaccard_join, "_texts_of", counted)
+    got = sorted(map(tuple, join(docs_of(texts), 5, 80).select("doc_id", "component_id").collect()))
+    assert got == [(i, i) for i in range(200)]
+    assert sum(asked) < 20
+
+
+@pytest.mark.parametrize("group", [256, 4])
+def test_links_beside_the_hubs(spark, docs_of, monkeypatch, group):
+    """Links between members of a bucket that do not link with its hub are found, also over several groups."""
+    monkeypatch.setattr(jaccard_join, "GROUP", group)
+    rng = random.Random(9)
+    words = [f"w{i}" for i in range(3000)]
+    texts = []
+    for _ in range(5):
+        base = rng.choices(words, k=160)
+        for _ in range(8):  # branches of one base that part, each with a near copy of its own
+            branch = list(base)
+            for at in rng.sample(range(160), rng.randint(2, 9)):
+                branch[at] = rng.choice(words)
+            texts.append(" ".join(branch))
+            branch[rng.randrange(160)] = rng.choice(words)
+            texts.append(" ".join(branch))
+    got = sorted(map(tuple, join(docs_of(texts), 5, 80).collect()))
+    assert got == sorted(brute(range(len(texts)), texts, 80, 5))
