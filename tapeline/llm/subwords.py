@@ -10,8 +10,10 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 from dataclasses import dataclass, field
+from functools import cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -24,16 +26,21 @@ LETTERS = re.compile(r"[^\W\d_]+")
 BUCKETS = 1 << 17
 GRAMS = (2, 3, 4, 5)
 BATCH = 2048
+LEARNED = 20_000  # words whose rows are taken at once
 LONGEST_WORD = 60  # longer runs of letters are cut into words of this length
 _SAMPLE_UNITS = 1 << 20
+_ASCII = bytes(c if chr(c).isalpha() else 32 for c in bytes(range(128)).lower()).ljust(256)  # letters in lower case, all else a space
 
 
 def words_of(text: str) -> list[str]:
     """Lower-case runs of letters (the Unicode categories of letters; other word characters part them)."""
-    found = LETTERS.findall(text.lower())
-    if not all(map(str.isalpha, found)):
-        found = [w for run in found for w in "".join(c if c.isalpha() else " " for c in run).split()]
-    if any(len(w) > LONGEST_WORD for w in found):
+    if text.isascii():
+        found = text.encode().translate(_ASCII).decode().split()
+    else:
+        found = LETTERS.findall(text.lower())
+        if not all(map(str.isalpha, found)):
+            found = [w for run in found for w in "".join(c if c.isalpha() else " " for c in run).split()]
+    if found and max(map(len, found)) > LONGEST_WORD:
         found = [w[i : i + LONGEST_WORD] for w in found for i in range(0, len(w), LONGEST_WORD)]
     return found
 
@@ -47,6 +54,49 @@ def grams_of(word: str) -> list[int]:
     return out
 
 
+@cache
+def _crc_tables(size: int) -> tuple[np.ndarray, np.ndarray]:
+    """What each byte adds (by exclusive or) to a crc32 when 0 to ``size`` - 1 bytes follow it, and the crc32 of that many zeros."""
+    zeros = [zlib.crc32(bytes(n)) for n in range(size + 1)]
+    adds = [[zlib.crc32(bytes([b]) + bytes(n)) ^ zeros[n + 1] for b in range(256)] for n in range(size)]
+    return np.array(adds, np.uint32), np.array(zeros, np.uint32)
+
+
+def _crcs(data: np.ndarray, at: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """crc32 of many slices of ``data``."""
+    out = np.zeros(len(at), np.uint32)
+    adds, zeros = _crc_tables(-(-int(sizes.max(initial=1)) // 64) * 64)
+    for n in np.flatnonzero(np.bincount(sizes)).tolist():
+        mine = np.flatnonzero(sizes == n)
+        first, crc = at[mine], np.full(len(mine), zeros[n])
+        for j in range(n):
+            crc ^= adds[n - 1 - j][data[first + j]]
+        out[mine] = crc
+    return out
+
+
+def laid_grams(words: Sequence[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``grams_of`` many words, end to end, with the start and count of each word's rows."""
+    marked = [f"<{w}>".encode() for w in words]
+    data = np.frombuffer(b"".join(marked), np.uint8)
+    lengths = np.fromiter(map(len, marked), np.int64, len(marked))
+    chars = np.flatnonzero((data & 0xC0) != 0x80)
+    word = np.repeat(np.arange(len(words)), lengths)[chars]
+    n_chars = np.bincount(word, minlength=len(words))
+    nth = np.arange(len(chars)) - (np.cumsum(n_chars) - n_chars)[word]
+    left, ends = n_chars[word] - nth, np.append(chars, len(data))
+    sizes = 1 + sum(np.maximum(n_chars - n + 1, 0) for n in GRAMS)
+    starts = np.cumsum(sizes) - sizes
+    out = np.zeros(sizes.sum(), np.int32)
+    out[starts] = _crcs(data, np.cumsum(lengths) - lengths, lengths) % BUCKETS
+    at = starts + 1
+    for n in GRAMS:
+        k = np.flatnonzero(left >= n)
+        out[at[word[k]] + nth[k]] = _crcs(data, chars[k], ends[k + n] - chars[k]) % BUCKETS
+        at = at + np.maximum(n_chars - n + 1, 0)
+    return out, starts, sizes
+
+
 @dataclass
 class Bag:
     """Words by number, with their rows laid end to end."""
@@ -54,13 +104,17 @@ class Bag:
     index: dict = field(default_factory=dict)
     rows: list = field(default_factory=list)
 
+    def learn(self, words: Iterable[str]) -> None:
+        new = [w for w in dict.fromkeys(words) if w not in self.index]
+        for start in range(0, len(new), LEARNED):
+            part = new[start : start + LEARNED]
+            flat, starts, _ = laid_grams(part)
+            self.index.update(zip(part, range(len(self.rows), len(self.rows) + len(part))))
+            self.rows += np.split(flat, starts[1:])
+
     def numbers(self, words: Sequence[str]) -> np.ndarray:
-        index = self.index
-        for w in words:
-            if w not in index:
-                index[w] = len(self.rows)
-                self.rows.append(np.array(grams_of(w), np.int32))
-        return np.fromiter(map(index.__getitem__, words), np.int32, len(words))
+        """Numbers of words that were learned."""
+        return np.fromiter(map(self.index.__getitem__, words), np.int32, len(words))
 
 
 def _laid(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -79,7 +133,7 @@ class Model:
 
     def word_scores(self, words: Sequence[str]) -> np.ndarray:
         """Mean class scores of the n-grams of every word."""
-        flat, starts, sizes = _laid([np.array(grams_of(w), np.int32) for w in words])
+        flat, starts, sizes = laid_grams(words)
         return np.add.reduceat(self.rows[flat], starts, axis=0) / sizes[:, None]
 
 
@@ -90,6 +144,7 @@ def train(windows: Sequence[Sequence[str]], target: np.ndarray, labels: list, pa
     remember single documents by their rare n-grams.
     """
     rng, bag, k = np.random.default_rng(seed), Bag(), len(labels)
+    bag.learn(chain.from_iterable(windows))
     numbers = [bag.numbers(w) for w in windows]
     # rows start at zero, so n-grams never seen in training say nothing; the softmax starts at random
     table = np.zeros((BUCKETS, dim), np.float32)
@@ -153,8 +208,8 @@ class Scorer:
         if len(self.index) > self.limit:
             self.index, self.known = {}, self.known[:0]
         new = sorted(w for w in set().union(*many) if w not in self.index)
-        for start in range(0, len(new), 20_000):
-            part = new[start : start + 20_000]
+        for start in range(0, len(new), LEARNED):
+            part = new[start : start + LEARNED]
             self.known = np.concatenate([self.known, self.model.word_scores(part)])
             self.index.update(zip(part, range(len(self.index), len(self.index) + len(part))))
         get = self.index.__getitem__

@@ -8,7 +8,7 @@ import pytest
 
 from tapeline.llm import languages, toxicity
 from tapeline.llm.common import table
-from tapeline.llm.subwords import Scorer, grams_of, train, words_of
+from tapeline.llm.subwords import Scorer, grams_of, laid_grams, train, words_of
 from tests.llm.conftest import AWKWARD
 
 SF = "/root/testdata/sf0.01"
@@ -33,6 +33,27 @@ def test_words_and_rows():
     assert words_of("² ½ Ⅳ ① 3 _") == [] and words_of("m²x ªb") == ["m", "x", "ªb"]
 
 
+def test_rows_of_many_words_at_once():
+    """Scoring takes the rows of all new words together; a call for each word took most of op4's time."""
+    rng = random.Random(2)
+    words = ["a", "ab", "東京", "ǅx", "été", "ªb", "x" * 60, "\U0001d4b3" * 60, *("".join(rng.choice("abcdéß東") for _ in range(rng.randrange(1, 61))) for _ in range(3000))]
+    flat, starts, sizes = laid_grams(words)
+    each = [grams_of(w) for w in words]
+    assert flat.tolist() == sum(each, []) and sizes.tolist() == list(map(len, each)) and starts.tolist() == np.cumsum([0, *sizes[:-1]]).tolist()
+    assert len(laid_grams([])[0]) == 0
+    model = train([[w] for w in words], np.arange(len(words)) % 2, ["0", "1"])
+    worst = toxicity.WorstWindow(model, limit=50)
+    odds = {w: s[0, 1] - s[0, 0] for w, s in zip(words, Scorer(model).scores([[w] for w in words]))}
+    for many in ([words[:9], [], ["a", "a"]], [words[i : i + 7] for i in range(0, 3000, 7)]):
+        want = [max(float(odds[w]) for w in t) + worst.bias if t else -np.inf for t in many]
+        assert worst.of(many).tolist() == want
+
+
+def test_ascii_words_are_those_of_the_pattern():
+    text = "".join(map(chr, range(128))) + " It's X_ray 9to5 " + "Q" * 130
+    assert words_of(text) == [w for w in words_of(text + " é") if w != "é"]
+
+
 def test_held_out_languages(spark):
     docs = table(spark, SF, "documents")
     model = languages.fit(docs)
