@@ -8,7 +8,7 @@ The join works on groups of similar documents and a token-group matrix.
    some parts more, one that is not empty. Sets of similar size deal alike, so linked sets share a signature: no link is lost.
 3. In every signature bucket the members are compared with one hub (the member that shares most), which is linear in the
    bucket. Linked members form components; most buckets then lie inside one component and are done.
-4. In all other buckets the sketches of the members are compared. A sketch counts a set's shingles in cells dealt by hash; two
+4. In all other buckets the sketches of the members are compared, in rounds that skip what is connected by then. A sketch counts a set's shingles in cells dealt by hash; two
    sketches never differ by more than the sets do, so pairs that differ too much have no link, and sets that have only a
    passage in common part here without their texts. Hubs are compared by sketch first, too.
 5. What may still link is partitioned into groups of similar documents: those that such pairs connect, of about the same
@@ -28,7 +28,7 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapeline.llm.common import _LOWER, batches, materialize, rows_of, text_column, texts
@@ -37,6 +37,8 @@ from tapeline.llm.components import components
 WORDS = 3
 PERCENT = 90
 GROUP = 256  # documents in a group
+FIRST = 4  # buckets of a document that are compared before all of them are
+GROWTH = 8  # how many times as many documents the sections of a bucket hold from round to round
 CELLS = 16  # the fewest cells of a sketch
 _MIX = [np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9), np.uint64(0x27D4EB2F165667C5), np.uint64(0x85EBCA77C2B2AE63)]
 
@@ -226,15 +228,16 @@ def _near(pairs: DataFrame, shapes: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", "m", "n", "left", "right").mapInArrow(run, "a long, b long")
 
 
-def near_edges(members: list[tuple[int, int, int, int, bytes]], percent: int) -> list[tuple[int, int]]:
-    """Edges that connect whatever is connected by pairs of different components that may link.
+def near_edges(members: list[tuple[int, int, int, int, int, bytes]], percent: int) -> list[tuple[int, int]]:
+    """Edges that connect whatever blobs are connected by pairs of different components that may link: fewer than there are blobs.
 
-    ``members``: side (as in ``open_groups``), node, component, size and sketch.
+    ``members``: side (as in ``open_groups``), node, component, blob, size and sketch. Members of a blob are connected already.
     """
-    cells = folded([m[4] for m in members])
-    side, node, component, size = (np.array([m[i] for m in members], np.int64) for i in range(4))
+    cells = folded([m[5] for m in members])
+    side, node, component, size = (np.array([m[i] for m in members], np.int64) for i in (0, 1, 2, 4))
+    blob = np.unique(np.array([m[3] for m in members], np.int64), return_inverse=True)[1]
     group = np.flatnonzero(side > 0)
-    cells_of, size_of, component_of = cells[group], size[group], component[group]
+    cells_of, size_of, component_of, blob_of = cells[group], size[group], component[group], blob[group]
     root = list(range(len(members)))
 
     def find(i: int) -> int:
@@ -244,35 +247,77 @@ def near_edges(members: list[tuple[int, int, int, int, bytes]], percent: int) ->
 
     out = []
     for i in np.flatnonzero(side != 1).tolist():
-        for j in group[may_link(cells[i], size[i], cells_of, size_of, percent) & (component_of != component[i])].tolist():
-            a, b = find(i), find(j)
+        meant = (component_of != component[i]) & (blob_of != blob[i])
+        for j in group[may_link(cells[i], size[i], cells_of, size_of, percent) & meant].tolist():
+            a, b = find(int(blob[i])), find(int(blob[j]))
             if a != b:
                 root[a] = b
                 out.append((int(node[i]), int(node[j])))
     return out
 
 
-def _near_in_buckets(rows: DataFrame, shapes: DataFrame, percent: int) -> DataFrame:
-    """Edges (a, b) that connect the members of buckets that may link; ``rows``: sig, node, component.
+def _near_in_buckets(rows: DataFrame, shapes: DataFrame, percent: int) -> DataFrame | None:
+    """node and blob of the members of buckets that may link, None if none may; ``rows``: sig, node, component.
 
-    Buckets with the same members are one. A bucket is dealt into groups of about ``GROUP`` members, and each meets the
-    others, so a task holds the sketches of two groups whatever the size of the bucket.
+    A blob is what pairs that may link connect. Buckets with the same members are one. Comparing all groups of a large bucket
+    at once would find the same connections once for every two groups, so blobs are found in rounds: first every node in its
+    ``FIRST`` largest buckets only, then all buckets, each cut at random into sections of about ``GROUP`` members and, round by round,
+    ``GROWTH`` times as many, until a section is the whole bucket. A round compares only what earlier ones have not
+    connected, so it adds edges in proportion to the members. The last round meets every pair of different blobs.
     """
     h = F.xxhash64("node")
-    sets = rows.groupBy("sig").agg(F.count("*").alias("size"), F.bit_xor(h).alias("x"), F.bit_xor(F.xxhash64(h, "node")).alias("y"))
-    sets = materialize(sets.groupBy("size", "x", "y").agg(F.min("sig").alias("sig")).select("sig", F.ceil(F.col("size") / GROUP).alias("n")))
-    own = F.pmod(F.xxhash64("node"), F.col("n"))
-    every = F.sequence(F.lit(0).cast("long"), F.col("n") - 1)
-    met = F.transform(every, lambda k: F.struct(F.xxhash64("sig", F.least(own, k), F.greatest(own, k)).alias("unit"), F.when(own == k, 2).when(own < k, 0).otherwise(1).alias("side")))
-    units = rows.join(sets, "sig").select("node", "component", F.explode(met).alias("u")).select("node", "component", "u.*")
-    shown = units.join(shapes, "node").select("unit", "side", "node", "component", "size", "sketch")
+    sets = rows.groupBy("sig").agg(F.count("*").alias("all"), F.bit_xor(h).alias("x"), F.bit_xor(F.xxhash64(h, "node")).alias("y"))
+    sets = materialize(sets.groupBy("all", "x", "y").agg(F.min("sig").alias("sig")).select("sig", "all"))
+    kept = rows.join(sets, "sig")
+    most = sets.agg(F.max("all")).first()[0]
+    nth = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("all"), "sig"))
+    own = kept.withColumn("nth", nth).filter(F.col("nth") <= FIRST).drop("nth")
+    rounds, seen = [(own, GROUP)], 0
+    while seen < most:
+        now = GROUP if not seen else seen * GROWTH
+        rounds.append((kept.filter(F.col("all") > seen), now))  # smaller buckets have been compared whole
+        seen = now
+    blobs = None
+    for i, (part, most) in enumerate(rounds):
+        section = F.pmod(F.xxhash64("node", F.lit(i)), F.ceil(F.col("all") / most))
+        told = part.withColumn("key", F.xxhash64("sig", section))
+        told = told.withColumn("blob", F.col("node")) if blobs is None else told.join(blobs, "node", "left").withColumn("blob", F.coalesce("blob", "node"))
+        edges = materialize(_near_in_sections(told.select("key", "node", "component", "blob"), shapes, percent))
+        if not edges.isEmpty():
+            every = edges if blobs is None else edges.unionByName(blobs.toDF("a", "b"))
+            blobs = components(every).select("node", F.col("component").alias("blob"))
+    return blobs
+
+
+def _near_in_sections(rows: DataFrame, shapes: DataFrame, percent: int) -> DataFrame:
+    """Edges (a, b) that connect the blobs of every section that may link; ``rows``: key, node, component and blob.
+
+    A section without two blobs or two components has nothing to find. The members of its largest blob are dealt into groups of about
+    ``GROUP``, the others likewise; the others' groups meet each other and those of the blob, which do not meet each other. So a
+    task holds the sketches of two groups whatever the size of the section.
+    """
+    counts = rows.groupBy("key", "blob").agg(F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high"))
+    tops = counts.groupBy("key").agg(F.max(F.struct("n", "blob")).alias("top"), F.sum("n").alias("all"), F.min("low").alias("low"), F.max("high").alias("high"))
+    rest = F.col("all") - F.col("top.n")
+    tops = tops.filter((rest > 0) & (F.col("low") != F.col("high")))
+    tops = materialize(tops.select("key", "all", F.col("top.blob").alias("main"), F.ceil(F.col("top.n") / GROUP).alias("n_main"), F.ceil(rest / GROUP).alias("n_rest")))
+    inside = F.col("blob") == F.col("main")
+    at = F.pmod(F.xxhash64("node"), F.when(inside, F.col("n_main")).otherwise(F.col("n_rest")))
+    unit = lambda side, *names: F.struct(F.xxhash64("key", *names).alias("unit"), side.cast("int").alias("side"))
+    every = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
+    shown = F.transform(every("n_rest"), lambda k: unit(F.lit(1), F.lit("main"), at, k))
+    asking = F.transform(every("n_main"), lambda k: unit(F.lit(0), F.lit("main"), k, at))
+    among = F.transform(every("n_rest"), lambda k: unit(F.when(at == k, 2).when(at < k, 0).otherwise(1), F.lit("rest"), F.least(at, k), F.greatest(at, k)))
+    met = F.when(F.col("all") <= 2 * GROUP, F.array(unit(F.lit(2)))).when(inside, shown).otherwise(F.concat(asking, among))
+    units = rows.join(tops, "key").select("node", "component", "blob", F.explode(met).alias("u")).select("node", "component", "blob", "u.*")
+    shown = units.join(shapes, "node").select("unit", "side", "node", "component", "blob", "size", "sketch")
     shape = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(source):
         unit, held = None, []
         for batch in batches(source, 4096):
             edges: list[tuple[int, int]] = []
-            for key, *member in zip(*(batch.column(n).to_pylist() for n in ("unit", "side", "node", "component", "size", "sketch"))):
+            for key, *member in zip(*(batch.column(n).to_pylist() for n in ("unit", "side", "node", "component", "blob", "size", "sketch"))):
                 if key != unit:
                     if held:
                         edges += near_edges(held, percent)
@@ -450,10 +495,9 @@ def _components(slim: DataFrame, members: DataFrame, inside: DataFrame, words: i
     open_ = materialize(mixed_buckets(marked))
     if open_.isEmpty():
         return first
-    near = materialize(_near_in_buckets(open_, shapes, percent))
-    if near.isEmpty():
+    blobs = _near_in_buckets(open_, shapes, percent)
+    if blobs is None:
         return first
-    blobs = components(near).select("node", F.col("component").alias("blob"))
     named = blobs.join(first, "node", "left").select("node", F.coalesce("component", "node").alias("component"), "blob")
     rows = materialize(named.join(shapes.select("node", "size"), "node"))
     whole = _texts_of(slim, members, rows, words)

@@ -200,3 +200,52 @@ def test_links_beside_the_hubs(spark, docs_of, monkeypatch, group):
             texts.append(" ".join(branch))
     got = sorted(map(tuple, join(docs_of(texts), 5, 80).collect()))
     assert got == sorted(brute(range(len(texts)), texts, 80, 5))
+
+
+def test_near_pairs_of_a_large_bucket_grow_with_its_members(spark, monkeypatch):
+    """All members may link: the edges that are made stay about as many as members, not as pairs of groups."""
+    monkeypatch.setattr(jaccard_join, "GROUP", 8)
+    made = []
+    sections = jaccard_join._near_in_sections
+
+    def counted(*args):
+        edges = jaccard_join.materialize(sections(*args))
+        made.append(edges.count())
+        return edges
+
+    monkeypatch.setattr(jaccard_join, "_near_in_sections", counted)
+    cells = bytes([7] * 16)
+    for n in (60, 480):
+        made.clear()
+        rows = spark.createDataFrame([(sig, i, i) for sig in (1, 2) for i in range(n) if sig == 1 or i], "sig long, node long, component long")
+        shapes = spark.createDataFrame([(i, 112, cells) for i in range(n)], "node long, size long, sketch binary")
+        blobs = jaccard_join._near_in_buckets(rows, shapes, 80).collect()
+        assert sorted(map(tuple, blobs)) == [(i, 0) for i in range(n)]
+        assert sum(made) <= 3 * n
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_blobs_against_brute_force(spark, monkeypatch, seed):
+    """Blobs are what pairs of one bucket and different components connect, however many rounds they take."""
+    monkeypatch.setattr(jaccard_join, "GROUP", 4)
+    monkeypatch.setattr(jaccard_join, "GROWTH", 3)
+    rng = np.random.default_rng(seed)
+    n, starts = 260, rng.integers(0, 14, (9, 16))
+    cells = np.abs(starts[rng.integers(0, 9, n)] + rng.integers(-2, 3, (n, 16))).astype(np.uint8)
+    size, component = cells.sum(axis=1).astype(int), rng.integers(0, 150, n)
+    buckets = {1: range(0, 200), 2: range(100, n), 3: rng.choice(n, 30, replace=False).tolist(), 4: [3, 250]}
+    near = set()
+    for members in buckets.values():
+        for a in members:
+            may = jaccard_join.may_link(cells[a].astype(int), size[a], cells.astype(int), size, 80)
+            near |= {(a, b) for b in members if may[b] and component[a] != component[b]}
+    root = list(range(n))
+    for _ in range(n):
+        for a, b in near:
+            root[a] = root[b] = min(root[a], root[b])
+    rows = spark.createDataFrame([(s, int(i), int(component[i])) for s, members in buckets.items() for i in members], "sig long, node long, component long")
+    shapes = spark.createDataFrame([(i, int(size[i]), cells[i].tobytes()) for i in range(n)], "node long, size long, sketch binary")
+    got = jaccard_join._near_in_buckets(rows, shapes, 80)
+    want = sorted((i, root[i]) for i in {a for a, _ in near})
+    assert len(set(root)) < n and len({r for _, r in want}) > 3
+    assert sorted(map(tuple, got.collect())) == want
