@@ -181,6 +181,15 @@ def test_first_touch_equals_search(spark, fan):
         assert got[name] == want
 
 
+def test_first_touch_climbs_every_level_once(spark):
+    """What a level finds is written, so the plan of the result holds one join of events with a level on the way up, not one for each use."""
+    rows = spark.range(300).select(F.lit("P").alias("symbol"), F.col("id").alias("_pos"), (F.col("id") % 97).cast("double").alias("p"))
+    events = rows.select(F.col("_pos").alias("id"), "symbol", F.col("_pos").alias("at"), (F.col("p") + 5).alias("up"), F.lit(-1.0).alias("down"))
+    found = first_touch(events, rows, ["id"], "at", "up", "down", "p", "p", fan=3)  # five levels above the rows
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") <= 5 + 1 + 2 * 5 + 1  # open events, the top, opening and children of each level, the events
+
+
 def test_dense_ticks_narrow_the_buckets(spark, monkeypatch):
     """100,000 ticks in one hour, stated as five minutes apart: no ranking window is longer than the bound."""
     from tapeline.operators import layout
